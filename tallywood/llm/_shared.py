@@ -50,5 +50,6 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         edges = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
-    found = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
-    return found.union(edges.select("v", "v").distinct().join(edges.select(F.col("u").alias("v")), "v", "left_anti").toDF("node", "component"))
+    found = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return found.union(roots.join(found, "node", "left_anti"))

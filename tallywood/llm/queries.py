@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from tallywood.llm import decontam, packing
+from tallywood.llm import ann, decontam, langid, neardup, packing, quality
 
 QUERIES = {
     f.__name__: f
     for f in (
         packing.op1_best_fit_packing,
         decontam.op2_benchmark_decontamination,
+        langid.op3_language_id,
+        ann.op6_nearest_neighbours,
+        quality.op9_quality_classifier,
+        neardup.op10_minhash_near_dedup,
     )
 }
 
