@@ -7,29 +7,48 @@ their length.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallywood.llm import _shared
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Words that a worker's cache holds in each of its two generations.
+#: Words that each cache of a worker holds in each of its two generations.
 CACHE_WORDS = 250_000
 #: Pieces of one length that one task ranks.
 RANKED_TOGETHER = 100_000
 
 
+class _Cache(dict):
+    """What ``make`` gives for a key, kept while the key is asked for; at most two generations of CACHE_WORDS."""
+
+    def __init__(self, make):
+        self.make, self.old = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(self) >= CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
 class WordTokenizer:
     """Token ids of whole texts, word by word, for tokenizers whose tokens never span white space.
 
-    A word that was seen lately comes from a bounded two-generation cache; a plain word goes through
-    the tokenizer's own model; any other word goes through the whole tokenizer.
+    Texts of Latin characters that no normal form changes are cut by the tokenizer's own pattern, and
+    each part goes through its model; other words go through the whole tokenizer. Parts and words
+    that were seen lately come from bounded caches.
     """
 
     def __init__(self, path: str):
@@ -40,42 +59,24 @@ class WordTokenizer:
         bytes_kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = iter(range(256, 512))
         self.as_char = {b: chr(b) if b in bytes_kept else chr(next(other)) for b in range(256)}
-        self.parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        # characters that no normal form changes and that have one lower-case character
-        self.plain = regex.compile(r"[!-~À-ÖØ-öø-ÿ¡-¬®-¿]+")
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _fresh(self, word: str) -> bytes:
-        if not self.plain.fullmatch(word) or "<|" in word:
-            ids = self.whole.encode(word, add_special_tokens=False).ids
-        else:
-            ids = []
-            for part in self.parts.findall(word.lower()):
-                text = part if part.isascii() else "".join(map(self.as_char.__getitem__, part.encode()))
-                ids += [t.id for t in self.model.tokenize(text)]
-        return np.array(ids, "<u4").tobytes()
-
-    def _slow(self, word: str) -> bytes:
-        found = self.old.get(word)
-        if found is None:
-            found = self._fresh(word)
-        if len(self.young) >= CACHE_WORDS:
-            self.old, self.young = self.young, {}
-        self.young[word] = found
-        return found
+        # the tokenizer's pattern for lower-case text of the characters of ``plain``
+        letters, digits = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾"
+        self.parts = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^\s{letters}{digits}]+")
+        self.plain = re.compile(r"[\t\n\r -~¡-ÿ]*")
+        self.part_ids, self.word_ids = _Cache(self._part), _Cache(self._word)
+
+    def _part(self, part: str) -> bytes:
+        text = part if part.isascii() else "".join(map(self.as_char.__getitem__, part.encode()))
+        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        return array("I", self.whole.encode(word, add_special_tokens=False).ids).tobytes()
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        get, slow = self.young.get, self._slow
-        out = []
-        for word in text.split(" "):
-            found = get(word)
-            if found is None:
-                found = b"".join(map(slow, word.split("\n"))) if "\n" in word else slow(word)
-                get = self.young.get
-            out.append(found)
-        return b"".join(out)
+        if self.plain.fullmatch(text) and "<|" not in text:
+            return b"".join(map(self.part_ids.__getitem__, self.parts.findall(text.lower())))
+        return b"".join(self.ids(w) if self.plain.fullmatch(w) and "<|" not in w else self.word_ids[w] for w in re.split("[ \n]", text))
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
@@ -167,12 +168,12 @@ def pack(pieces: DataFrame, limit: int = 2048) -> DataFrame:
     ranked = dealt.withColumn("_in", F.row_number().over(Window.partitionBy("length", "_part").orderBy("doc_id", "piece")))
     ranked = ranked.join(before, ["length", "_part"]).withColumn("_rank", F.col("_before") + F.col("_in") - 1)
     # slots of a length are looked up by blocks of ranks, so that a piece meets a few of them
-    width = {length: max(1, n // 256) for length, n in histogram.items()}
+    width = {length: max(1, -(-n // 32)) for length, n in histogram.items()}
     cut = [(length, b, r0, r1, first, per, at, width[length]) for length, r0, r1, first, per, at in rows for b in range(r0 // width[length], (r1 - 1) // width[length] + 1)]
     slots = spark.createDataFrame(cut, "length long, _block long, _r0 long, _r1 long, _first long, _per long, _at long, _width long")
     widths = F.broadcast(spark.createDataFrame(list(width.items()), "length long, _w long"))
     ranked = ranked.join(widths, "length").withColumn("_block", F.expr("_rank div _w"))
-    # at most limit lengths x (their groups + 256 blocks) rows whatever the number of documents
+    # at most limit lengths x (their groups + 32 blocks) rows whatever the number of documents
     placed = ranked.join(F.broadcast(slots), ["length", "_block"]).where("_rank >= _r0 and _rank < _r1")
     placed = placed.withColumn("sequence_id", F.expr("_first + (_rank - _r0) div _per")).withColumn("offset", F.expr("_at + ((_rank - _r0) % _per) * length"))
     return placed.select(*pieces.columns, "sequence_id", "offset")

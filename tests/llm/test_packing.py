@@ -25,7 +25,7 @@ def test_cache_stays_bounded(monkeypatch):
     words, whole = packing.WordTokenizer(PATH), Tokenizer.from_file(PATH)
     text = " ".join(f"word{i % 37} the" for i in range(300))
     assert words.ids(text) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    assert len(words.young) <= 10 and len(words.old) <= 10
+    assert len(words.part_ids) <= 10 and len(words.part_ids.old) <= 10
 
 
 @pytest.mark.parametrize("seed", range(5))
