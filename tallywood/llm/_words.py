@@ -19,19 +19,22 @@ ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
 NONSPACE = np.ones(256, bool)
 NONSPACE[[32, 9, 10, 11, 12, 13]] = False
 _VALUE = _LOWER.astype(U) + U(1)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = max(1 << 16, 1 << (n - 1).bit_length() if n else 1)
-    if size not in _powers:
-        up, down = np.full(size, U(_BASE)), np.full(size, U(pow(_BASE, -1, 1 << 64)))
-        up[0] = down[0] = U(1)
-        made = np.cumprod(up), np.cumprod(down)
-        if size > 1 << 21:  # only a very long text asks for this; not kept
-            return made
-        _powers[size] = made
-    return _powers[size]
+def _power_tables(n: int) -> list[np.ndarray]:
+    """At least ``n`` powers of the base and of its inverse; one table serves all shorter texts."""
+    global _powers
+    if len(_powers[0]) >= n:
+        return _powers
+    made = []
+    for factor in (_BASE, pow(_BASE, -1, 1 << 64)):
+        table = np.full(1 << (n - 1).bit_length(), U(factor))
+        table[0] = U(1)
+        made.append(np.cumprod(table, out=table))
+    if n <= 1 << 20:  # what only a very long text asks for isn't kept
+        _powers = made
+    return made
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -51,7 +54,7 @@ def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)), off
 
 
-def spans(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def spans(offsets: np.ndarray, limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes; a longer row comes alone."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
@@ -99,21 +102,25 @@ def words_of(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> Words:
     return Words(x, starts, np.flatnonzero(end) + 1, np.searchsorted(starts, at))
 
 
-def shingles(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all ``width``-word shingles, row after row, and the bounds of rows.
+def shingles_at(hashes: np.ndarray, begin: np.ndarray, n: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all ``width``-word shingles of the rows of ``n`` words from ``begin``, and the bounds of rows.
 
     A row of fewer words has its whole sequence as its one shingle; a row without words has none.
     """
-    n = np.diff(first)
     count = np.where(n >= width, n - width + 1, (n > 0).astype(np.int64))
     bounds = np.concatenate([[0], np.cumsum(count)])
-    begin = np.repeat(first[:-1] - bounds[:-1], count) + np.arange(bounds[-1])
+    at = np.repeat(begin - bounds[:-1], count) + np.arange(bounds[-1])
     size = np.repeat(np.minimum(n, width), count)
     out = size.astype(U)
     for k in range(width):
         has = size > k
         if has.all():
-            out = mix(out * U(0xD6E8FEB86659FD93) + hashes[begin + k])
+            out = mix(out * U(0xD6E8FEB86659FD93) + hashes[at + k])
         else:
-            out[has] = mix(out[has] * U(0xD6E8FEB86659FD93) + hashes[begin[has] + k])
+            out[has] = mix(out[has] * U(0xD6E8FEB86659FD93) + hashes[at[has] + k])
     return out, bounds
+
+
+def shingles(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of rows that follow one another; see :func:`shingles_at`."""
+    return shingles_at(hashes, first[:-1], np.diff(first), width)

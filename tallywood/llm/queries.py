@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallywood.llm import ann, decontam, langid, neardup, packing, quality
+from tallywood.llm import ann, decontam, langid, licenses, linededup, neardup, packing, quality, secrets, substring
 
 QUERIES = {
     f.__name__: f
@@ -10,7 +10,11 @@ QUERIES = {
         packing.op1_best_fit_packing,
         decontam.op2_benchmark_decontamination,
         langid.op3_language_id,
+        secrets.op4_secret_scan,
+        linededup.op5_line_dedup,
         ann.op6_nearest_neighbours,
+        licenses.op7_license_scan,
+        substring.op8_substring_dedup,
         quality.op9_quality_classifier,
         neardup.op10_minhash_near_dedup,
     )
