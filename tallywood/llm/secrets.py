@@ -113,7 +113,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     tokens = rows.where((F.col("kind") == 3) & F.col("match").rlike("[0-9]") & F.col("match").rlike("[A-Za-z]"))
     length = sum((F.length("match") > end).cast("int") for end in LENGTHS)
     both = F.array(F.struct(F.lit(0).alias("fake"), F.col("match").alias("token")), F.struct(F.lit(1).alias("fake"), F.col("before").alias("token")))
-    tokens = tokens.select("row", "doc_id", "kind", "start", "stop", "match", length.alias("range"), F.inline(both)).where("fake = 0 or length(token) >= 16")
+    tokens = tokens.select("row", "doc_id", "kind", "start", "stop", "match", length.alias("range"), F.inline(both)).where("fake = 0 or length(token) = length(match)")
     tokens = with_randomness(tokens, "token", "p").withColumn("p", F.coalesce("p", F.lit(0.0)))
     tokens = _shared.cut(tokens.withColumn("step", F.least(F.floor(F.col("p") * STEPS), F.lit(STEPS - 1)).cast("int")))
     counts = tokens.groupBy("range", "step").agg(F.sum(1 - F.col("fake")).alias("token"), F.sum("fake").alias("fake"))
