@@ -8,16 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) is a temporary folder taken.
-    """
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; only where that is unset (tests on one machine), a temporary folder."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it from there."""
+    folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tallywood.llm import ann, decontam, langid, licenses, linededup, neardup, packing, quality, secrets, substring
 
 QUERIES = {
@@ -19,6 +20,7 @@ QUERIES = {
         neardup.op10_minhash_near_dedup,
     )
 }
+QUERIES["pipeline"] = corpus_pipeline.run
 
 OP2 = r"""
 with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
@@ -37,3 +39,5 @@ from d left join hit using (doc_id) left join items using (doc_id)
 """
 
 ORACLES = {"op2_benchmark_decontamination": OP2}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
