@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tallywood.llm import _shared
 
 #: Sets, and hashes in them, of one block of a group.
-BLOCK_SETS, BLOCK_HASHES = 1024, 1 << 20
+BLOCK_SETS, BLOCK_HASHES = 1024, 1 << 19
 
 
 def _edges(keys: DataFrame) -> DataFrame:
