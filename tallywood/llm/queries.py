@@ -38,6 +38,29 @@ select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(hit.n, 0) as b
 from d left join hit using (doc_id) left join items using (doc_id)
 """
 
-ORACLES = {"op2_benchmark_decontamination": OP2}
+OP5 = r"""
+with l as (select doc_id, i, a[i] as line, md5(a[i]) as h, len(a) as n from (select doc_id, a, unnest(range(1, len(a) + 1)) as i from (select doc_id, string_split(text, chr(10)) as a from documents where text is not null))),
+r as (select *, i = n or (i > 1 and substr(md5(concat(lag(h) over (partition by doc_id order by i), h)), 1, 1) in ('0', '1', '2', '3', '4')) as stop from l),
+k as (select *, coalesce(sum(cast(stop as int)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as k from r),
+c as (select doc_id, k, count(*) as m, string_agg(line, chr(10) order by i) as chunk from k group by doc_id, k),
+f as (select *, m >= 2 and length(chunk) >= 40 and row_number() over (partition by chunk order by doc_id, k) > 1 as gone from c),
+t as (select doc_id, cast(sum(case when gone then m else 0 end) as bigint) as removed_lines, string_agg(chunk, chr(10) order by k) filter (where not gone) as text from f group by doc_id)
+select d.doc_id, coalesce(removed_lines, 0) as removed_lines, sha256(coalesce(t.text, '')) as text_sha256 from documents d left join t using (doc_id)
+"""
+
+OP10 = r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, array_to_string(list_slice(w, i, i + least(3, len(w)) - 1), ' ') as t from (select doc_id, w, unnest(range(1, len(w) - least(3, len(w)) + 2)) as i from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select x.doc_id as a, y.doc_id as b, count(*) as i from s x join s y on x.t = y.t and x.doc_id < y.doc_id group by 1, 2),
+e as (select a, b from p join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * i >= 85 * (na.n + nb.n - i)),
+links as (select a, b from e union all select b, a from e),
+reach as (select a as x, a as y from links union select reach.x, links.b from reach join links on reach.y = links.a),
+least_of as (select x, min(y) as component_id from reach group by x)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(component_id, d.doc_id) as component_id, coalesce(component_id, d.doc_id) = d.doc_id as kept
+from d left join n using (doc_id) left join least_of on x = d.doc_id
+"""
+
+ORACLES = {"op2_benchmark_decontamination": OP2, "op5_line_dedup": OP5, "op10_minhash_near_dedup": OP10}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
