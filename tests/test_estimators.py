@@ -161,3 +161,16 @@ def test_command_line(spark, tmp_path):
     bed.write_text("chr1\t1\t30\tx\t0\t+\nchr1\t1\t40\ty\t0\t+\nchr2\t5\t9\tz\t0\t-\n")
     assert cli.run(spark, ["c_curve", "-s", "1", str(bed)])[1:] == ["0\t0", "1\t2", "2\t2", "3\t2"]
     assert cli.run(spark, ["c_curve", "-P", "-s", "3", str(bed)])[-1] == "3\t3"
+
+
+# A published histogram of duplicate counts, and its rarefaction curve in steps of 100,000.
+READS = {1: 982419, 2: 6060, 3: 214, 4: 63, 5: 32, 6: 21, 7: 14, 8: 9, 9: 6, 10: 3, 11: 6, 12: 2, 13: 2, 14: 2, 15: 3, 16: 2, 24: 2, 31: 1}
+READS_CURVE = (99910, 199638, 299216, 398655, 497958, 597127, 696168, 795082, 893871)
+
+
+def test_published_rarefaction(spark):
+    hist = frame(spark, {j: float(h) for j, h in READS.items()})
+    lines = report.rarefaction(rarefy.rarefaction_curve(hist, 100_000))
+    assert lines == ["total_reads\tdistinct_reads", "0\t0", *(f"{100_000 * k}\t{y}" for k, y in enumerate(READS_CURVE, 1))]
+    exact = rarefy.rarefaction_curve(hist, 100_000, compat="exact").orderBy("n").first().expected_distinct
+    assert exact == pytest.approx(99901.3627, abs=0.05)
