@@ -120,28 +120,29 @@ def isotonic(position: np.ndarray, positives: np.ndarray, total: np.ndarray) ->
     return np.array(edges), np.array(shares)
 
 
-def _with_statistics(docs: DataFrame, keep: dict[str, str], text_col: str) -> DataFrame:
-    """``keep`` (name: type) of ``docs`` and ``stats``, the statistics as doubles."""
+def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, stats`` for every row: the statistics of its whole text, null counting as empty."""
+    kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = texts_of(batch.column("_text"))
+            data, offsets = texts_of(batch.column(1))
             stats = np.concatenate([statistics(data, offsets[lo : hi + 1]) for lo, hi in spans(offsets)] or [np.empty((0, len(STATISTICS)))])
-            own = pa.FixedSizeListArray.from_arrays(pa.array(stats.ravel()), len(STATISTICS)).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), own], [*keep, "stats"])
+            own = pa.ListArray.from_arrays(pa.array(np.arange(len(stats) + 1) * len(STATISTICS), pa.int32()), pa.array(stats.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), own], ["doc_id", "stats"])
 
-    own = docs.select(*(F.col(k).cast(t).alias(k) for k, t in keep.items()), F.col(text_col).cast("string").alias("_text"))
-    return own.mapInArrow(run, ", ".join(f"{k} {t}" for k, t in (keep | {"stats": "array<double>"}).items()))
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return own.mapInArrow(run, f"doc_id {kind}, stats array<double>")
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "quality", ridge: float = 1.0, seed: int = 0) -> QualityModel:
-    """Learn from all rows of ``labelled`` with a text (null counts as empty) and a label 0 or 1.
+def fit(labelled: DataFrame, label_col: str = "quality", ridge: float = 1.0, seed: int = 0) -> QualityModel:
+    """Learn from all rows of ``labelled`` with ``stats`` and a label 0 or 1.
 
-    Four fifths, by a hash of the text, fit the ridge; the rest calibrate it. Rows with other or null
-    labels are left out.
+    Four fifths, by a hash of the statistics, fit the ridge; the rest calibrate it. Rows with other
+    or null labels are left out.
     """
-    rows = labelled.withColumn("_y", F.col(label_col).cast("int")).withColumn("_fold", F.pmod(F.xxhash64(F.col(text_col)), F.lit(5)).cast("int")).where("_y in (0, 1)")
-    rows = _shared.cut(_with_statistics(rows, {"_y": "int", "_fold": "int"}, text_col))
+    rows = labelled.select("stats", F.col(label_col).cast("int").alias("_y"), F.pmod(F.xxhash64("stats"), F.lit(5)).cast("int").alias("_fold"))
+    rows = _shared.cut(rows.where("_y in (0, 1)"))
     k = len(STATISTICS)
     got = rows.agg(*(F.avg(F.col("stats")[i]).alias(f"m{i}") for i in range(k)), *(F.stddev_pop(F.col("stats")[i]).alias(f"s{i}") for i in range(k))).first()
     rng = np.random.default_rng(seed)
@@ -181,22 +182,20 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "quality",
     return model
 
 
-def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, score`` for every row: 0 to 1, higher where label 1 is likelier. A null text counts as empty."""
-    kind = dict(docs.dtypes)[id_col]
+def score(stats: DataFrame, model: QualityModel) -> DataFrame:
+    """``doc_id, score`` for every row of ``stats(doc_id, stats)``: 0 to 1, higher where label 1 is likelier."""
+    kind = dict(stats.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = texts_of(batch.column(1))
-            scores = np.concatenate([model.score(statistics(data, offsets[lo : hi + 1])) for lo, hi in spans(offsets)] or [np.empty(0)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.clip(scores, 0, 1))], ["doc_id", "score"])
+            scores = model.score(np.array(batch.column("stats").flatten()).reshape(-1, len(STATISTICS)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.clip(scores, 0, 1))], ["doc_id", "score"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
+    return stats.mapInArrow(run, f"doc_id {kind}, score double")
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _shared.table(spark, sf_dir, "documents")
+    stats = _shared.cut(with_statistics(_shared.table(spark, sf_dir, "documents")))
     labels = _shared.table(spark, sf_dir, "labels").select("doc_id", "quality").where((_shared.fold("doc_id", 4) != 2) & F.col("quality").isNotNull())
-    model = fit(docs.select("doc_id", "text").join(labels, "doc_id").select("text", "quality"))
-    scored = score(docs, model)
+    scored = score(stats, fit(stats.join(labels, "doc_id")))
     return scored.select(F.col("doc_id").cast("long").alias("doc_id"), (_shared.fold("doc_id", 4) == 2).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))

@@ -21,9 +21,10 @@ def texts(n, seed=0):
 
 def test_held_out_accuracy(spark):
     rows = texts(600)
-    model = quality.fit(spark.createDataFrame(rows[:450] + [(1, "x", None, ""), (2, None, 1, ""), (3, "y", 7, "")], SCHEMA))
+    known = spark.createDataFrame([(i + 10_000, t, y, s) for i, t, y, s in rows[:450]] + [(1, "x", None, ""), (2, None, 1, ""), (3, "y", 7, "")], SCHEMA)
+    model = quality.fit(quality.with_statistics(known).join(known.select("doc_id", "quality"), "doc_id"))
     docs = spark.createDataFrame(rows[450:] + [(7001, None, 1, ""), (7002, "", 0, ""), (7003, "word " * 60000, 0, ""), (None, "a b", 1, "")], SCHEMA)
-    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    got = {r.doc_id: r.score for r in quality.score(quality.with_statistics(docs), model).collect()}
     assert len(got) == 154 and all(0 <= s <= 1 for s in got.values()) and got[7001] == got[7002]
     assert sum((got[i] >= 0.5) == bool(y) for i, _, y, _ in rows[450:]) >= 0.95 * 150
 
@@ -50,6 +51,7 @@ def test_isotonic():
 
 
 def test_nothing_to_learn_from(spark):
-    model = quality.fit(spark.createDataFrame([], SCHEMA))
-    assert [r.score for r in quality.score(spark.createDataFrame([(1, "a", 1, "")], SCHEMA), model).collect()] == [0.5]
-    assert quality.score(spark.createDataFrame([], SCHEMA), model).count() == 0
+    stats = lambda rows: quality.with_statistics(spark.createDataFrame(rows, SCHEMA))
+    model = quality.fit(spark.createDataFrame([], "stats array<double>, quality int"))
+    assert [r.score for r in quality.score(stats([(1, "a", 1, "")]), model).collect()] == [0.5]
+    assert quality.score(stats([]), model).count() == 0
