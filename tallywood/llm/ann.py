@@ -3,7 +3,7 @@
 A unit vector is padded, rotated and kept as the signs of its coordinates, packed into bits, with the
 inner product of vector and signs as correction. From the bits alone the inner product with a query is
 estimated within a bound that holds with high probability; only vectors whose upper bound reaches the
-query's k-th largest lower bound are compared in full.
+k-th largest exact product among the best estimates are compared in full.
 """
 
 from __future__ import annotations
@@ -93,11 +93,11 @@ def nearest(table: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec
         for batch in batches:
             v = np.array(batch.column("v").flatten()).reshape(-1, dims)
             packed, norm, correction = encode(v, turn)
-            packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(packed.shape[1]), len(v), [None, pa.py_buffer(packed.tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("class"), batch.column("code_block"), packed, pa.array(norm), pa.array(correction)], ["class", "code_block", "code", "norm", "correction"])
+            packed = pa.array([row.tobytes() for row in packed], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("class"), batch.column("code_block"), packed, pa.array(norm), pa.array(correction), batch.column("v")], ["class", "code_block", "code", "norm", "correction", "v"])
 
     block = lambda n: F.pmod(F.xxhash64("class", F.lit(7)), F.lit(n)).cast("int")
-    coded = classes.withColumn("code_block", block(code_blocks)).select("class", "code_block", "v").mapInArrow(codes, "class long, code_block int, code binary, norm double, correction double")
+    coded = classes.withColumn("code_block", block(code_blocks)).select("class", "code_block", "v").mapInArrow(codes, "class long, code_block int, code binary, norm double, correction double, v array<double>")
     # every block of codes meets every block of queries once
     left = coded.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     right = classes.where("asks").withColumn("query_block", block(query_blocks)).withColumn("code_block", F.explode(F.sequence(F.lit(0), F.lit(code_blocks - 1)))).select("class", "query_block", "code_block", "v")
@@ -105,24 +105,30 @@ def nearest(table: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            left = left.sort_values("class")
             packed = np.frombuffer(b"".join(left["code"]), np.uint8).reshape(len(left), -1)
             ids, norm, correction = left["class"].to_numpy(), left["norm"].to_numpy(), left["correction"].to_numpy()
+            vectors, few = np.stack(left["v"].to_numpy()), min(k + 1, len(left))
             for at in range(0, len(right), 128):
                 part = right.iloc[at : at + 128]
-                estimate, off = bounds(packed, norm, correction, np.stack(part["v"].to_numpy()), turn, epsilon)
-                low, high = estimate - off, estimate + off
-                # of k + 1 vectors one may be the query's own
-                least = np.partition(low, -(k + 1), axis=0)[-(k + 1)] if len(left) > k else np.full(len(part), -np.inf)
-                i, j = np.nonzero(high >= least)
-                out.append(pd.DataFrame({"query": part["class"].to_numpy()[j], "class": ids[i], "low": low[i, j], "high": high[i, j]}))
-        return pd.concat(out) if out else pd.DataFrame({"query": [], "class": [], "low": [], "high": []})
-
-    kept = left.groupBy("code_block", "query_block").cogroup(right.groupBy("code_block", "query_block")).applyInPandas(cell, "query long, class long, low double, high double")
-    # the k + 1 largest lower bounds over all blocks rule out most of the rest
-    kept = _shared.cut(kept)
-    floor = kept.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("low"), "class"))).where(F.col("n") == k + 1).select("query", F.col("low").alias("floor"))
-    kept = kept.join(floor, "query", "left").where("floor is null or high >= floor").select("query", "class")
+                asked = np.stack(part["v"].to_numpy())
+                estimate, off = bounds(packed, norm, correction, asked, turn, epsilon)
+                estimate += off
+                # the k + 1 best of the bounds in full (one may be the query's own vector), then all that may beat them
+                best = np.argpartition(estimate, len(left) - few, axis=0)[len(left) - few :]
+                least = np.einsum("kqd,qd->kq", vectors[best], asked).min(axis=0)
+                i, j = np.nonzero(estimate >= (least - 1e-6 * np.abs(least))[None, :].astype(np.float32))
+                score = np.einsum("nd,nd->n", vectors[i], asked[j])
+                order = np.lexsort((-score, j))
+                rank = np.arange(len(j)) - np.searchsorted(j[order], j[order])
+                # with ties at the last place, so that what stays is the same however the blocks fall
+                last = np.full(len(part), -np.inf)
+                at_last = order[rank == few - 1]
+                last[j[at_last]] = score[at_last]
+                keep = score >= last[j]
+                out.append(pd.DataFrame({"query": part["class"].to_numpy()[j[keep]], "class": ids[i[keep]]}))
+        return pd.concat(out) if out else pd.DataFrame({"query": [], "class": []})
+
+    kept = left.groupBy("code_block", "query_block").cogroup(right.groupBy("code_block", "query_block")).applyInPandas(cell, "query long, class long")
     exact = classes.select("class", "v")
     scored = kept.join(exact, "class").join(exact.toDF("query", "q"), "query")
     scored = scored.select("query", "class", F.expr("aggregate(zip_with(v, q, (a, b) -> a * b), 0D, (s, x) -> s + x)").alias("score"))
