@@ -68,10 +68,11 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     cut = _chunked(cut, "_text")
     gone = F.aggregate(F.filter("_chunks", lambda c, k: F.array_contains(F.col("_places"), k)), F.lit(0), lambda n, c: n + F.size(c))
     left = F.array_join(F.flatten(F.filter("_chunks", lambda c, k: ~F.array_contains(F.col("_places"), k))), "\n")
-    cut = cut.withColumn("removed_lines", F.coalesce(gone, F.lit(0)).cast("long"))
     kind = dict(docs.dtypes)[text_col]
-    cut = cut.withColumn(text_col, F.when(F.col("_places").isNull(), F.col(text_col)).otherwise(left.cast(kind)))
-    return cut.select(*docs.columns, "removed_lines")
+    after = F.struct(F.when(F.col("_places").isNull(), F.col(text_col)).otherwise(left.cast(kind)).alias("_after"), F.coalesce(gone, F.lit(0)).cast("long").alias("_gone"))
+    # a generator, so that no filter on the results moves below and has the chunks made again for each line
+    cut = cut.select(*docs.columns, F.inline_outer(F.array(after)))
+    return cut.select(*(F.col("_after").alias(c) if c == text_col else c for c in docs.columns), F.col("_gone").alias("removed_lines"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
