@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywood.llm import _shared
@@ -23,12 +23,9 @@ BLOCK_SETS, BLOCK_HASHES = 1024, 1 << 19
 
 
 def _edges(keys: DataFrame) -> DataFrame:
-    """``(a, b)``: each node of a key with the key's least node. ``keys`` has ``key`` and ``node``, each pair once."""
-    shared = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("n")).where("least < most")
-    shared = _shared.cut(shared)
-    ends = shared.select(F.col("least").alias("a"), F.col("most").alias("b"))
-    more = keys.join(shared.where("n > 2").select("key", "least"), "key").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
-    return ends.union(more).distinct()
+    """``(a, b)``: each node of a key with the key's least node; ``keys`` has ``key`` and ``node``."""
+    least = F.first("node").over(Window.partitionBy("key").orderBy("node"))
+    return keys.withColumn("least", least).where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
 
 
 class _Cell:

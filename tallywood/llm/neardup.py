@@ -118,7 +118,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     classes = some.groupBy("set_1", "set_2", "n_shingles").agg(F.min("doc_id").alias("node"))
     members = _shared.cut(some.select("doc_id", "set_1", "set_2", "n_shingles").join(classes, ["set_1", "set_2", "n_shingles"]))
     first = members.where("doc_id = node").select("doc_id", "set_1", "set_2", F.col("n_shingles").alias("size")).distinct()
-    keys = rows.join(first, ["doc_id", "set_1", "set_2"], "left_semi").select(F.explode(F.array_distinct("keys")).alias("key"), F.col("doc_id").alias("node")).distinct()
+    keys = rows.join(first, ["doc_id", "set_1", "set_2"], "left_semi").select(F.explode(F.array_distinct("keys")).alias("key"), F.col("doc_id").alias("node"))
     nodes = first.groupBy(F.col("doc_id").alias("node")).agg(F.max("size").alias("size"))
 
     def sets_of(few: DataFrame) -> DataFrame:

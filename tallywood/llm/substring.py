@@ -105,12 +105,12 @@ def repeated_passages(docs: DataFrame, width: int = 5, percent: int = 80, min_wo
     returned. Null texts, and rows with a null id, have none; rows with one id are one document.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    rows = _shared.cut(_sketch(own, width, bands_for(percent / 100), min_words))
-    places = rows.select("doc_id", "place", "n_words", "node", "size").dropDuplicates(["doc_id", "place", "node"])
-    nodes = rows.groupBy("node").agg(F.min(F.struct("doc_id", "place")).alias("at"), F.max("size").alias("size"))
+    sketch = _sketch(own, width, bands_for(percent / 100), min_words)
+    places = _shared.cut(sketch.select("doc_id", "place", "n_words", "node", "size")).dropDuplicates(["doc_id", "place", "node"])
+    nodes = places.groupBy("node").agg(F.min(F.struct("doc_id", "place")).alias("at"), F.max("size").alias("size"))
     nodes = _shared.cut(nodes.select("node", "size", "at.doc_id", "at.place"))
-    # of the copies of a set one has the keys
-    keys = rows.join(nodes.select("node", "doc_id", "place"), ["node", "doc_id", "place"], "left_semi").select(F.explode(F.array_distinct("keys")).alias("key"), "node").distinct()
+    # the keys are wide, so they are made again for the one join that needs them, and copies of a set combined before they move
+    keys = sketch.groupBy("node").agg(F.first("keys").alias("keys")).select(F.explode(F.array_distinct("keys")).alias("key"), "node")
 
     def sets_of(few: DataFrame) -> DataFrame:
         wanted = nodes.join(few.distinct(), "node", "left_semi").groupBy("doc_id").agg(F.collect_list("place").alias("places"), F.collect_list("node").alias("nodes"))
