@@ -1,0 +1,132 @@
+"""Runs of equal words that repeat across documents, wherever their lines break or begin.
+
+Of every ``SPAN`` windows of ``GRAM`` words that follow one another the one of least hash is a mark, so
+a run of ``GRAM + SPAN - 1`` words in two documents has a mark that both have. Around marks that occur in
+more than one document all windows of that many words are named by 96 bits of their words, and the windows
+that have an equal one in another document are joined into runs.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from tallywood.llm import _shared
+from tallywood.llm._words import NONSPACE, U, Words, _power_tables, mix, spans, texts_of, words_of
+
+#: Words of a mark, and neighbouring windows of which one is a mark.
+GRAM, SPAN = 25, 26
+#: The shortest run that is found.
+LEAST = GRAM + SPAN - 1
+#: Up to so many documents with marks are named to all tasks, so that only their texts move.
+MOST_NAMED = 1 << 21
+_NONE = U((1 << 64) - 1)
+
+
+def _windows(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the ``n`` words from each word on that has as many after it."""
+    if len(hashes) < n:
+        return np.empty(0, U)
+    up, down = _power_tables(len(hashes))
+    sums = np.zeros(len(hashes) + 1, U)
+    np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
+    return mix((sums[n:] - sums[:-n]) * down[: len(hashes) - n + 1])
+
+
+def _slide(x: np.ndarray, n: int, best: Callable) -> np.ndarray:
+    """The ``best`` of each ``n`` values that follow one another."""
+    size = 1
+    while size < n:
+        step = min(size, n - size)
+        x = best(x[:-step], x[step:])
+        size += step
+    return x
+
+
+def _marks(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The words where marks begin, and the marks' hashes; what stands in other rows may add marks but takes none."""
+    grams = _windows(words.hashes(), GRAM)
+    if len(grams) < SPAN:
+        return np.empty(0, np.int64), grams[:0]
+    end = np.repeat(words.first[1:], np.diff(words.first))[: len(grams)]
+    inside = np.arange(len(grams)) + GRAM <= end
+    grams[~inside] = _NONE
+    least = _slide(grams, SPAN, np.minimum)
+    edge = np.zeros(SPAN - 1, U)
+    at = np.flatnonzero((_slide(np.concatenate([edge, least, edge]), SPAN, np.maximum) == grams) & inside)
+    return at, grams[at]
+
+
+def _marked(texts: DataFrame) -> DataFrame:
+    """``doc_id, part, at, mark``: the marks of every text, ``at`` counting its words from 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = texts_of(batch.column("text"))
+            for lo, hi in spans(offsets):
+                words = words_of(data, offsets[lo : hi + 1], NONSPACE)
+                at, marks = _marks(words)
+                row = np.searchsorted(words.first, at, "right") - 1
+                own = [batch.column(c).take(pa.array(row + lo)) for c in ("doc_id", "part")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array((at - words.first[row]).astype(np.int32)), pa.array(marks.view(np.int64))], ["doc_id", "part", "at", "mark"])
+
+    return texts.mapInArrow(run, "doc_id long, part int, at int, mark long")
+
+
+def _named(texts: DataFrame) -> DataFrame:
+    """``doc_id, part, at, a, b``: the windows of ``LEAST`` words around the marks ``marks`` of ``text``, by two hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = texts_of(batch.column("text"))
+            for lo, hi in spans(offsets):
+                words = words_of(data, offsets[lo : hi + 1], NONSPACE)
+                listed = batch.column("marks").slice(lo, hi - lo)
+                row = np.repeat(np.arange(hi - lo), listed.value_lengths().to_numpy(zero_copy_only=False))
+                at = words.first[row] + listed.flatten().to_numpy(zero_copy_only=False)
+                begin, end = np.maximum(at + GRAM - LEAST, words.first[row]), np.minimum(at, words.first[row + 1] - LEAST) + 1
+                some = end > begin
+                change = np.zeros(len(words.starts) + 1, np.int64)
+                np.add.at(change, begin[some], 1)
+                np.add.at(change, end[some], -1)
+                at = np.flatnonzero(np.cumsum(change) > 0)
+                row = np.searchsorted(words.first, at, "right") - 1
+                hashes = words.hashes()
+                a, b = _windows(hashes, LEAST), _windows(mix(hashes + U(17)), LEAST)
+                own = [batch.column(c).take(pa.array(row + lo)) for c in ("doc_id", "part")]
+                rest = [pa.array((at - words.first[row]).astype(np.int32)), pa.array(a[at].view(np.int64)), pa.array((b[at] >> U(32)).astype(np.uint32).view(np.int32))]
+                yield pa.RecordBatch.from_arrays([*own, *rest], ["doc_id", "part", "at", "a", "b"])
+
+    return texts.mapInArrow(run, "doc_id long, part int, at int, a long, b int")
+
+
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, part, word, n_words, first_doc_id, first_part, first_word, removed``: all runs of ``LEAST`` or more words in two documents.
+
+    ``word`` counts the words between white space from 0; A-Z count as a-z. Every window of ``LEAST``
+    words that another document has lies in a row whose words are equal, one by one, to those from
+    ``first_word`` on, where its windows stand first by id, then text and word. Rows of first places have
+    themselves there, all others are to be ``removed``; rows of one document may overlap. ``part`` (a
+    hash of the text) tells the texts of one id apart. Null texts, and rows with a null id, have none.
+    """
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
+    own = own.withColumn("part", F.hash("text"))
+    mark = Window.partitionBy("mark")
+    marks = _marked(own).withColumn("low", F.min("doc_id").over(mark)).withColumn("high", F.max("doc_id").over(mark)).where("low <> high")
+    wanted = _shared.cut(marks.groupBy("doc_id", "part").agg(F.collect_set("at").alias("marks")))
+    if wanted.count() <= MOST_NAMED:
+        own = own.join(F.broadcast(wanted.select("doc_id")), "doc_id", "left_semi")
+    name = Window.partitionBy("a", "b")
+    windows = _named(own.join(wanted, ["doc_id", "part"]).select("doc_id", "part", "text", "marks"))
+    windows = windows.withColumn("first", F.min(F.struct("doc_id", "part", "at")).over(name)).withColumn("high", F.max("doc_id").over(name)).where("first.doc_id <> high")
+    windows = windows.select("doc_id", "part", "at", F.col("first.doc_id").alias("first_doc_id"), F.col("first.part").alias("first_part"), (F.col("at") - F.col("first.at")).alias("shift"))
+    keys = ["doc_id", "part", "first_doc_id", "first_part", "shift"]
+    # windows that follow one another there and here are one run; a row that the table has twice counts once
+    windows = windows.withColumn("run", F.col("at") - F.dense_rank().over(Window.partitionBy(*keys).orderBy("at")))
+    out = windows.groupBy(*keys, "run").agg(F.min("at").alias("word"), (F.max("at") - F.min("at") + LEAST).cast("long").alias("n_words"))
+    same = (F.col("doc_id") == F.col("first_doc_id")) & (F.col("part") == F.col("first_part")) & (F.col("shift") == 0)
+    return out.select("doc_id", "part", "word", "n_words", "first_doc_id", "first_part", (F.col("word") - F.col("shift")).alias("first_word"), (~same).alias("removed"))

@@ -2,7 +2,8 @@
 
 A paragraph is a line of at least ``min_words`` words. Paragraphs that agree in some band of MinHash
 values are compared by their whole sets of word shingles; of each connected group the first place
-stays and the others can be removed.
+stays and the others can be removed. Runs of equal words inside longer lines, or across short ones, are
+found by :mod:`tallywood.llm.runs`.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywood.llm import _link, _shared
+from tallywood.llm import _link, _shared, runs
 from tallywood.llm._words import NONSPACE, U, Words, mix, shingles_at, spans, texts_of, words_of
 from tallywood.llm.neardup import distinct_sets, signatures
 
@@ -136,4 +137,9 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(_shared.table(spark, sf_dir, "documents"))
+    """Passages by whole lines, edited ones too (``unit`` line, places count lines), and equal runs wherever they lie (``unit`` word, places count words)."""
+    docs = _shared.table(spark, sf_dir, "documents")
+    lines = repeated_passages(docs).select("doc_id", F.lit("line").alias("unit"), "place", "n_words", "passage", "first_doc_id", "first_place", "removed")
+    found = runs.repeated_runs(docs)
+    passage = F.xxhash64("first_doc_id", "first_part", "first_word", "n_words").alias("passage")
+    return lines.unionByName(found.select("doc_id", F.lit("word").alias("unit"), F.col("word").alias("place"), "n_words", passage, "first_doc_id", F.col("first_word").alias("first_place"), "removed"))

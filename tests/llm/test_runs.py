@@ -1,0 +1,82 @@
+import random
+
+import pytest
+
+from tallywood.llm import runs, substring
+
+SCHEMA = "doc_id long, text string"
+
+
+def windows(text):
+    w = (text or "").lower().split()
+    return [tuple(w[i : i + runs.LEAST]) for i in range(len(w) - runs.LEAST + 1)]
+
+
+def brute(rows):
+    """The words of every id and text that another document has in a run, and those that aren't a first place."""
+    where = {}
+    for i, t in {(i, t) for i, t in rows if i is not None}:
+        for k, x in enumerate(windows(t)):
+            where.setdefault(x, []).append((i, t, k))
+    found, again = set(), set()
+    for places in where.values():
+        if len({i for i, _, _ in places}) > 1:
+            for i, t, k in places:
+                covered = {(i, t, k + n) for n in range(runs.LEAST)}
+                found |= covered
+                if i > min(places)[0]:
+                    again |= covered
+    return found, again
+
+
+def corpus():
+    rng = random.Random(0)
+    vocab = [f"w{k}" for k in range(300)]
+    text = lambda n: rng.choices(vocab, k=n)
+    passages = [text(n) for n in (49, 50, 51, 57, 120, 400)]
+    rows = []
+    for i in range(60):
+        w = text(rng.choice([0, 20, 140]))
+        for p in rng.sample(passages, 2):
+            w += [*p, *text(rng.choice([0, 1, 30]))]
+        w = [x.upper() if rng.random() < 0.1 else x for x in w]
+        # in one line, hard-wrapped, or any
+        rows.append((i, "".join(x + rng.choice([" ", "\n", "  "]) if i % 3 == 0 else x + ("\n" if i % 3 == 1 and k % 9 == 8 else " ") for k, x in enumerate(w))))
+    return rows + [(60, None), (61, ""), (62, "same " * 300), (63, "x " + "same " * 90), (64, "alone " * 200), rows[5], (7, rows[9][1]), (None, rows[4][1]), (65, "é " * 60), (66, "é\n" * 60)]
+
+
+@pytest.mark.parametrize("named", [0, 1 << 21])
+def test_every_run_as_brute_force(spark, monkeypatch, named):
+    monkeypatch.setattr(runs, "MOST_NAMED", named)
+    rows = corpus()
+    table = spark.createDataFrame(rows, SCHEMA)
+    parts = {(r.doc_id, r.part): r.text for r in table.selectExpr("doc_id", "hash(text) as part", "text").collect()}
+    found, again = set(), set()
+    for r in runs.repeated_runs(table).collect():
+        t, first = parts[r.doc_id, r.part], parts[r.first_doc_id, r.first_part]
+        w = t.lower().split()
+        assert w[r.word : r.word + r.n_words] == first.lower().split()[r.first_word : r.first_word + r.n_words] and len(w) >= r.word + r.n_words
+        assert r.removed == ((r.doc_id, r.part, r.word) != (r.first_doc_id, r.first_part, r.first_word))
+        covered = {(r.doc_id, t, r.word + n) for n in range(r.n_words)}
+        found |= covered
+        if r.doc_id != r.first_doc_id:
+            again |= covered
+    want = brute(rows)
+    assert found == want[0] and again == want[1] and len(again) > 3000
+
+
+def test_op8_finds_passages_inside_lines_and_across_short_lines(spark, tmp_path):
+    rng = random.Random(2)
+    word = lambda: f"v{rng.random()}"
+    one, two = [word() for _ in range(57)], [word() for _ in range(80)]
+    line = lambda p: " ".join([*(word() for _ in range(40)), *p, *(word() for _ in range(43))])
+    wrapped = lambda p, n: "\n".join(" ".join(p[k : k + n]) for k in range(0, len(p), n))
+    texts = [line(one), line(one), wrapped(two, 9), "head\n" + wrapped(two, 11), line([])]
+    spark.createDataFrame(list(enumerate(texts)), SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.unit, r.place, r.n_words, r.first_doc_id, r.first_place, r.removed) for r in substring.op8_substring_dedup(spark, str(tmp_path)).collect())
+    assert got == [(0, "word", 40, 57, 0, 40, False), (1, "word", 40, 57, 0, 40, True), (2, "word", 0, 80, 2, 0, False), (3, "word", 1, 80, 2, 0, True)]
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None)], [(1, "few words")]])
+def test_nothing(spark, rows):
+    assert runs.repeated_runs(spark.createDataFrame(rows, SCHEMA)).count() == 0
