@@ -29,28 +29,35 @@ def _chunked(docs: DataFrame, text_col: str) -> DataFrame:
     return out.withColumn("_stops", F.expr(stops)).withColumn("_chunks", F.expr(chunks)).drop("_lines", "_hashed", "_stops")
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str, names: tuple[str, str]) -> DataFrame:
+    """``docs`` with its ids, null last, and a hash of the text, which tells rows of one id or of none apart."""
+    last = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
+    return docs.withColumns({names[0]: last, names[1]: F.xxhash64(F.col(text_col).cast("string"))})
+
+
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, places``: of every document with a chunk that an earlier document or place has, the chunks' places.
+    """``doc_id, part, places``: of every text with a chunk that an earlier document or place has, the chunks' places.
 
     Earlier is by id, then place. A null id comes after all others. Rows with one id are one
-    document; a null text has no chunk.
+    document, in which ``part``, the text's hash, says whose places these are; rows without an id are
+    one document only if their texts are equal. A null text has no chunk.
     """
-    last = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
-    own = docs.select(last.alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    own = _keyed(docs, id_col, text_col, ("_last_id", "_part")).select(F.col("_last_id").alias("doc_id"), F.col("_part").alias("part"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     # the outer generators keep the optimizer from making the chunks a second time, for a filter
     chunk = F.struct((F.size("x") >= LINES).alias("many"), F.array_join("x", "\n").alias("chunk"))
-    rows = _chunked(own, "text").select("doc_id", F.posexplode_outer("_chunks").alias("place", "x")).select("doc_id", "place", chunk.alias("c")).select("doc_id", "place", "c.*")
-    rows = rows.where(F.col("many") & (F.length("chunk") >= CHARS)).select("doc_id", "place", F.xxhash64("chunk").alias("hash"), "chunk")
+    rows = _chunked(own, "text").select("doc_id", "part", F.posexplode_outer("_chunks").alias("place", "x")).select("doc_id", "part", "place", chunk.alias("c")).select("doc_id", "part", "place", "c.*")
+    rows = rows.where(F.col("many") & (F.length("chunk") >= CHARS)).select("doc_id", "part", "place", F.xxhash64("chunk").alias("hash"))
     # first only hashes meet; then the texts of those that occur again
-    hashes = rows.select("hash", "doc_id", "place")
+    hashes = rows.select("hash", "doc_id", "part", "place")
     often = _shared.cut(hashes.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
-    where = _shared.cut(hashes.join(often, "hash").groupBy("doc_id").agg(F.collect_set("place").alias("again")))
-    picked = F.transform("again", lambda k: F.struct(k.alias("place"), F.array_join(F.col("_chunks")[k], "\n").alias("chunk")))
-    texts = _chunked(own.join(where, "doc_id"), "text").select("doc_id", F.explode_outer(picked).alias("c"))
-    texts = _shared.cut(texts.select("doc_id", "c.*").where("chunk is not null"))
-    first = texts.groupBy("chunk").agg(F.min("doc_id").alias("first_doc"), F.min(F.struct("doc_id", "place")).alias("first"))
-    later = texts.join(first, "chunk").where("doc_id <> first.doc_id or place <> first.place")
-    return later.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+    where = _shared.cut(hashes.join(often, "hash").groupBy("doc_id", "part").agg(F.collect_set("place").alias("again")))
+    picked = F.transform("again", lambda k: F.struct(k.alias("place"), F.array_join(F.get("_chunks", k), "\n").alias("chunk")))
+    texts = _chunked(own.join(where, ["doc_id", "part"]), "text").select("doc_id", "part", F.explode_outer(picked).alias("c"))
+    texts = _shared.cut(texts.select("doc_id", "part", "c.*").where("chunk is not null"))
+    at = F.struct("doc_id", F.when(F.col("doc_id") == (1 << 63) - 1, F.col("part")).alias("of"), "place")
+    first = texts.groupBy("chunk").agg(F.min(at).alias("first"))
+    later = texts.join(first, "chunk").where(~at.eqNullSafe(F.col("first")))
+    return later.groupBy("doc_id", "part").agg(F.collect_set("place").alias("places"))
 
 
 def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -60,9 +67,8 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     of which all is repeated becomes empty; null stays null with 0 removed. A chunk of one line or of
     fewer than CHARS characters always stays. An empty table gives no rows.
     """
-    again = repeated_chunks(docs, id_col, text_col).toDF("_last_id", "_places")
-    last = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
-    both = docs.withColumn("_last_id", last).join(again, "_last_id", "left")
+    again = repeated_chunks(docs, id_col, text_col).toDF("_last_id", "_part", "_places")
+    both = _keyed(docs, id_col, text_col, ("_last_id", "_part")).join(again, ["_last_id", "_part"], "left")
     # only a text that loses something is cut up
     cut = both.withColumn("_text", F.when(F.col("_places").isNotNull(), F.col(text_col)))
     cut = _chunked(cut, "_text")

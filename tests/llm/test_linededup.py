@@ -65,3 +65,31 @@ def test_an_inserted_line_moves_no_other_boundary():
 def test_nothing_to_remove(spark, rows):
     got = linededup.remove_repeated_lines(spark.createDataFrame(rows, SCHEMA)).collect()
     assert [(r.text, r.removed_lines) for r in got] == [(None, 0)] * len(rows)
+
+
+def test_rows_of_one_id_or_of_none_lose_only_their_own_chunks(spark):
+    rng = random.Random(3)
+    lines = lambda n: [f"a line of words {rng.random()}" for _ in range(n)]
+    passages = [lines(rng.randint(4, 9)) for _ in range(5)]
+    rows = [(1, "\n".join(x for p in passages[:2] for x in p))]
+    for k in range(40):
+        parts = [lines(rng.randint(0, 9)) for _ in range(rng.randint(1, 6))] + [passages[k % 5]]
+        rng.shuffle(parts)
+        rows.append((rng.choice([None, 2, 3]), "\n".join(x for p in parts for x in p)))
+    rows += [(None, rows[5][1]), (None, rows[5][1]), (3, "short"), (None, "short"), (2, None), (None, None)]
+    table = spark.createDataFrame([(i, t, 9, "x") for i, t in rows], SCHEMA)
+    names = {r.text: r.part for r in table.selectExpr("text", "xxhash64(text) as part").collect()}
+    place = lambda i, t, k: (1 << 63, names[t], k) if i is None else (i, 0, k)
+    ok = lambda c: len(c) >= linededup.LINES and len("\n".join(c)) >= linededup.CHARS
+    first = {}
+    for i, t in rows:
+        for k, c in enumerate(chunks(t) if t is not None else []):
+            first["\n".join(c)] = min(first.get("\n".join(c), (1 << 64,)), place(i, t, k))
+    want = []
+    for i, t in rows:
+        parts = chunks(t) if t is not None else []
+        gone = {k for k, c in enumerate(parts) if ok(c) and first["\n".join(c)] != place(i, t, k)}
+        want.append((i, t if not gone else "\n".join(x for k, c in enumerate(parts) if k not in gone for x in c), sum(len(parts[k]) for k in gone)))
+    order = lambda x: (x[0] is None, x[0] or 0, x[1] or "", x[2])
+    got = [(r.doc_id, r.text, r.removed_lines) for r in linededup.remove_repeated_lines(table).collect()]
+    assert sorted(got, key=order) == sorted(want, key=order) and sum(n > 0 for _, _, n in want) > 15
