@@ -39,17 +39,19 @@ def _grouped(hist: DataFrame, by: Sequence[str]):
     return hist.select(*by, "multiplicity", "n_keys").groupBy(*by) if by else hist.select("multiplicity", "n_keys").groupBy()
 
 
-def quick_curve(hist: DataFrame, step: float = 1e6, most: float = 1e10, max_terms: int = 100, by: Sequence[str] = (), defects: bool = False, compat: str = "reference") -> DataFrame:
+def quick_curve(hist: DataFrame, step: float = 1e6, most: float = 1e10, max_terms: int = 100, by: Sequence[str] = (), defects: bool = False, compat: str = "reference", in_totals: bool = False) -> DataFrame:
     """``by, x, expected_distinct, status``: the curve of each histogram without resampling.
 
     ``status`` is ``ok``; a histogram that is ``saturated``, ``too_shallow`` or ``unstable`` gives
-    one row of it without a curve.
+    one row of it without a curve. With ``in_totals``, ``step`` and ``most`` are multiples of each
+    histogram's own total.
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         h = contfrac.dense(pdf["multiplicity"].to_numpy(), pdf["n_keys"].to_numpy())
         status = _judged(h, max_terms)
-        x = _sizes(step, most)
+        unit = float(np.arange(len(h)) @ h) if in_totals else 1.0
+        x = _sizes(step * unit, most * unit) if status == "ok" else None
         y = contfrac.curve(h, x, max_terms, defects=defects, compat=compat) if status == "ok" else None
         if y is None:
             return _rows(pdf, by, x=[np.nan], expected_distinct=[np.nan], status=["unstable" if status == "ok" else status])

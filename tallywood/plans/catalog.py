@@ -321,14 +321,18 @@ def cf_eval_exact(spark, sf_dir):
     return g.select("at", F.expr(f"t * ({_CF})").alias("y"))
 
 
+#: Step and end of extrapolated curves, in multiples of a sample's total.
+FOLDS = 0.5, 1000
+
+
 @query(None)
 def quick_extrap_words(spark, sf_dir):
-    return _rounded(extrapolate.quick_curve(hist_words(spark, sf_dir), 100_000, 10_000_000), "expected_distinct")
+    return _rounded(extrapolate.quick_curve(hist_words(spark, sf_dir), *FOLDS, in_totals=True), "expected_distinct")
 
 
 @query(None)
 def quick_extrap_samples(spark, sf_dir):
-    return _rounded(extrapolate.quick_curve(_keyed(spark, sf_dir), 100_000, 2_000_000, by=["sample"]), "expected_distinct")
+    return _rounded(extrapolate.quick_curve(_keyed(spark, sf_dir), *FOLDS, by=["sample"], in_totals=True), "expected_distinct")
 
 
 # where the histogram has four usable terms, as that of whole texts has at the middle scale
@@ -346,7 +350,7 @@ def quick_extrap_docs_dup(spark, sf_dir):
 
 @query(None)
 def gc_extrap_quick(spark, sf_dir):
-    return _rounded(extrapolate.quick_curve(coverage_hist(spark, sf_dir), 100_000, 5_000_000), "expected_distinct")
+    return _rounded(extrapolate.quick_curve(coverage_hist(spark, sf_dir), *FOLDS, in_totals=True), "expected_distinct")
 
 
 # richness bounds
@@ -405,7 +409,9 @@ def percentile_ci_of_replicates(spark, sf_dir):
 
 @query(None)
 def bootstrap_curve_ci(spark, sf_dir):
-    return extrapolate.lc_extrap(hist_words(spark, sf_dir), 200_000, 4_000_000, replicates=40)
+    hist = hist_words(spark, sf_dir).persist()
+    total = histogram.summary(hist).first().total
+    return extrapolate.lc_extrap(hist, *(f * total for f in FOLDS))
 
 
 @query(None)
@@ -432,7 +438,7 @@ def pop_size_convergence(spark, sf_dir):
 
 @query(None)
 def pop_size_words(spark, sf_dir):
-    return extrapolate.pop_size(hist_words(spark, sf_dir), replicates=20)
+    return extrapolate.pop_size(hist_words(spark, sf_dir))
 
 
 @query("select l_orderkey, l_linenumber, round(" + _uniform_sql("l_orderkey", "l_linenumber") + ", 9) as u from lineitem")
