@@ -168,13 +168,13 @@ def windows_of(data: np.ndarray, offsets: np.ndarray, size: int = WINDOW) -> tup
 
 
 def sample_windows(docs: DataFrame, per_language: int = WINDOWS_PER_LANGUAGE, window: int = WINDOW, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``lang, part``: at most ``per_language`` labelled stretches of ``window`` characters.
+    """``lang, part``: at most ``per_language`` labelled stretches of ``window`` characters, of different texts.
 
     Rows are picked, and the stretch within a text placed, by hashes of the text.
     """
     own = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and length(text) > 0")
     own = own.withColumn("h", F.xxhash64("text")).withColumn("at", F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - window, F.lit(1))).cast("int") + 1)
-    own = own.select("lang", "h", F.expr(f"substring(text, at, {window})").alias("part"))
+    own = own.select("lang", "h", F.expr(f"substring(text, at, {window})").alias("part")).distinct()
     return own.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "part"))).where(F.col("n") <= per_language).select("lang", "part")
 
 

@@ -61,3 +61,10 @@ def test_nothing_to_learn_from(spark):
     assert langid.identify(spark.createDataFrame([(1, "abc", None, 0.0)], SCHEMA), None).first() == (1, "und", 0.0)
     one = spark.createDataFrame([(1, "abc", "aa", 0.0)], SCHEMA)
     assert langid.identify(one, langid.learn(one, steps=5)).first() == (1, "aa", 1.0)
+
+
+def test_copies_of_a_text_take_one_place_of_the_sample(spark):
+    rows = [("en", "one text of very many copies")] * 500 + [("en", f"another text, number {k}") for k in range(60)]
+    for many in (40, 100):
+        parts = [r.part for r in langid.sample_windows(spark.createDataFrame(rows, "lang string, text string"), many).collect()]
+        assert len(parts) == len(set(parts)) == min(many, 61)
