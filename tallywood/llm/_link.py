@@ -1,76 +1,168 @@
 """Exact similarity components among sets of hashes, from candidate keys.
 
-Sets that share a key are candidates. Candidates are joined to the least set of each key, never to
-each other, and the connected groups that this gives hold every candidate pair. A group is then
-compared in cells of two bounded blocks each; a cell counts whole intersections and returns only a
-spanning forest of its links.
+Sets that share a key are candidates. First each set is compared with the least set of each of its
+keys, which joins what is really alike. What is left are keys whose sets lie in different components:
+there all pairs of different components are compared, key by key, in cells of two bounded blocks. So a
+candidate pair is always compared or already joined, loose candidates never chain up across keys, and
+no task holds a whole key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywood.llm import _shared
 
-#: Sets, and hashes in them, of one block of a group.
+#: Sets, and hashes in them, of one block of a key.
 BLOCK_SETS, BLOCK_HASHES = 1024, 1 << 19
+#: Sets of a cell of which all pairs are compared at once.
+SMALL_CELL = 64
+#: Up to so many keys are named to all tasks (8 bytes each), so that no other key moves; more are joined by a shuffle.
+MOST_NAMED = 1 << 21
 
 
-def _edges(keys: DataFrame) -> DataFrame:
-    """``(a, b)``: each node of a key with the key's least node; ``keys`` has ``key`` and ``node``."""
-    least = F.first("node").over(Window.partitionBy("key").orderBy("node"))
-    return keys.withColumn("least", least).where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+def _members(keys: DataFrame) -> DataFrame:
+    """``key, node, least``: the members of all keys that have two or more different nodes."""
+    # two 32-bit digests say whether a key's nodes differ, and combine before they move
+    digest = F.hash("node")
+    often = keys.groupBy("key").agg(F.min(digest).alias("low"), F.max(digest).alias("high")).where("low <> high").select("key")
+    often = _shared.cut(often)
+    named = F.broadcast(often) if often.count() <= MOST_NAMED else often
+    own = _shared.cut(keys.join(named, "key").distinct())
+    return own.join(own.groupBy("key").agg(F.min("node").alias("least")), "key")
 
 
-class _Cell:
-    """Links of one cell, as rows (a, b): a forest that joins what is linked."""
+def _gather(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` of ``size`` values from ``begin`` on, one after the other."""
+    return flat[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())]
 
-    def __init__(self, part: float, whole: float):
-        self.part, self.whole = part, whole
 
-    def links(self, nodes: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], within: bool) -> list[tuple[int, int]]:
-        """``sides``: 0 or 1, the block of each set; ``within``: the two blocks are one."""
-        size = np.array([len(s) for s in sets])
-        flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
-        ends = np.cumsum(size)
-        root = np.arange(len(nodes))
+class _Cells:
+    """Rows of whole cells: cell, side, node, the group it is in, and its set.
+
+    ``side`` has bit 1 for the left and bit 2 for the right; a cell's left sets are compared with its right ones.
+    """
+
+    def __init__(self, columns: list[np.ndarray], size: np.ndarray, flat: np.ndarray):
+        self.columns, self.size, self.flat = columns, size, flat
+        self.begin = np.cumsum(size) - size
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch, held: _Cells | None) -> _Cells:
+        columns = [batch.column(c).to_numpy() for c in ("cell", "side", "node", "of")]
+        sets = batch.column("hashes").cast(pa.large_binary())
+        _, offsets, data = sets.buffers()
+        at = np.frombuffer(offsets, np.int64)[sets.offset : sets.offset + len(sets) + 1]
+        flat = np.frombuffer(data, np.uint8)[at[0] : at[-1]].copy().view("<u8") if data is not None else np.empty(0, np.uint64)
+        if held is None:
+            return cls(columns, np.diff(at) // 8, flat)
+        return cls([np.concatenate(x) for x in zip(held.columns, columns, strict=True)], np.concatenate([held.size, np.diff(at) // 8]), np.concatenate([held.flat, flat]))
+
+    def rows(self, lo: int, hi: int) -> _Cells:
+        end = self.begin[hi] if hi < len(self.size) else len(self.flat)
+        return _Cells([c[lo:hi] for c in self.columns], self.size[lo:hi], self.flat[self.begin[lo] if lo < len(self.size) else end : end])
+
+    def links(self, part: float, whole: float) -> list[tuple[int, int]]:
+        cell, side, node, group = self.columns
+        if not len(cell):
+            return []
+        edge = np.append(np.flatnonzero(np.append(True, cell[1:] != cell[:-1])), len(cell))
+        rows = np.diff(edge)
+        out = []
+        for k in np.flatnonzero(rows > SMALL_CELL):
+            out += self.rows(edge[k], edge[k + 1])._large(part, whole)
+        # all pairs of small cells at once
+        of_cell = np.repeat(np.arange(len(rows)), rows)
+        left = np.flatnonzero((side & 1 > 0) & (rows[of_cell] <= SMALL_CELL))
+        for at in range(0, len(left), 1 << 14):
+            i = np.repeat(left[at : at + (1 << 14)], rows[of_cell[left[at : at + (1 << 14)]]])
+            first = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+            j = edge[of_cell[i]] + np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i))))
+            least, most = np.minimum(self.size[i], self.size[j]), np.maximum(self.size[i], self.size[j])
+            meet = (side[j] & 2 > 0) & (group[i] != group[j]) & ((side[i] != 3) | (j > i)) & (part * least >= whole * most)
+            i, j = i[meet], j[meet]
+            # so many pairs that their sets have some million hashes
+            step = max(1, int((1 << 21) // max(1, int((self.size[i] + self.size[j]).mean() if len(i) else 1))))
+            for s in range(0, len(i), step):
+                a, b = i[s : s + step], j[s : s + step]
+                pair = np.concatenate([np.repeat(np.arange(len(a)), self.size[a]), np.repeat(np.arange(len(b)), self.size[b])])
+                values = np.concatenate([_gather(self.flat, self.begin[a], self.size[a]), _gather(self.flat, self.begin[b], self.size[b])])
+                order = np.lexsort((values, pair))
+                pair, values = pair[order], values[order]
+                both = np.bincount(pair[1:][(values[1:] == values[:-1]) & (pair[1:] == pair[:-1])], minlength=len(a))
+                fine = part * both >= whole * (self.size[a] + self.size[b] - both)
+                out += list(zip(node[a[fine]].tolist(), node[b[fine]].tolist(), strict=True))
+        return out
+
+    def _large(self, part: float, whole: float) -> list[tuple[int, int]]:
+        """Of one cell a forest that joins what is linked."""
+        _, side, node, group = self.columns
+        size, begin = self.size, self.begin
+        flat = np.unique(self.flat, return_inverse=True)[1]
+        root = np.unique(group, return_inverse=True)[1]
         seen = np.zeros(int(flat.max(initial=0)) + 1, np.int32)
         out = []
-        others = np.arange(len(nodes)) if within else np.flatnonzero(sides == 1)
-        begin = (ends - size)[others]
-        taken = flat if within else np.concatenate([flat[a:b] for a, b in zip(begin, ends[others], strict=True)])
+        others = np.flatnonzero(side & 2)
+        taken = _gather(flat, begin[others], size[others])
         at = np.concatenate([[0], np.cumsum(size[others])])
-        for i in np.flatnonzero(sides == 0) if not within else range(len(nodes)):
+        for i in np.flatnonzero(side & 1):
             apart = root[others] != root[i]
-            if within:
-                apart[: i + 1] = False
+            if side[i] == 3:
+                apart[: np.searchsorted(others, i, "right")] = False
             least, most = np.minimum(size[others], size[i]), np.maximum(size[others], size[i])
-            apart &= self.part * least >= self.whole * most
+            apart &= part * least >= whole * most
             if not apart.any():
                 continue
-            seen[flat[ends[i] - size[i] : ends[i]]] = 1
+            seen[flat[begin[i] : begin[i] + size[i]]] = 1
             few = np.flatnonzero(apart)
             if len(few) * 4 < len(others):
                 both = np.array([seen[taken[at[j] : at[j + 1]]].sum() for j in few])
             else:
                 sums = np.concatenate([[0], np.cumsum(seen[taken])])
                 both = (sums[at[1:]] - sums[at[:-1]])[few]
-            seen[flat[ends[i] - size[i] : ends[i]]] = 0
+            seen[flat[begin[i] : begin[i] + size[i]]] = 0
             joint = size[others][few] + size[i] - both
-            for j in others[few[self.part * both >= self.whole * joint]]:
+            for j in others[few[part * both >= whole * joint]]:
                 if root[j] != root[i]:
-                    out.append((int(nodes[i]), int(nodes[j])))
+                    out.append((int(node[i]), int(node[j])))
                     root[root == root[j]] = root[i]
         return out
 
 
-def linked(nodes: DataFrame, keys: DataFrame, sets_of, part: int, whole: int) -> DataFrame:
+def _compare(cells: DataFrame, sets: DataFrame, part: float, whole: float) -> DataFrame:
+    """``a, b``: the links of ``cells(cell, side, node, of)``; ``of`` names the group that a node is already in."""
+    rows = cells.join(sets, "node").select("cell", "side", "node", "of", "hashes")
+    rows = rows.repartition("cell").sortWithinPartitions("cell", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: _Cells | None = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            now = _Cells.of(batch, held)
+            # the last cell may go on in the next batch
+            last = int(np.searchsorted(now.columns[0], now.columns[0][-1]))
+            found, held = now.rows(0, last).links(part, whole), now.rows(last, len(now.size))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+        if held is not None:
+            found = held.links(part, whole)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _blocks(rows: DataFrame, by: str) -> DataFrame:
+    """``rows`` with the number of blocks of their ``by``, and the block that each is dealt to."""
+    many = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("size") / BLOCK_HASHES)).cast("int").alias("blocks")
+    return rows.join(rows.groupBy(by).agg(many), by).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+
+
+def linked(nodes: DataFrame, keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], part: int, whole: int) -> DataFrame:
     """``(node, component)`` of every node that is linked to another.
 
     ``nodes`` has ``node`` and ``size`` (of its set), ``keys`` has ``key`` and ``node``; two sets
@@ -78,40 +170,24 @@ def linked(nodes: DataFrame, keys: DataFrame, sets_of, part: int, whole: int) ->
     gives ``node`` and ``hashes`` (its set, as sorted distinct little-endian 64-bit integers) for the
     nodes of a DataFrame ``few``. The component is named by its least node.
     """
-    groups = _shared.components(_edges(keys))
-    groups = _shared.cut(groups.join(nodes.select("node", "size"), "node"))
-    blocks = groups.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("size") / BLOCK_HASHES)).cast("int").alias("blocks"))
-    members = groups.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    members = members.join(sets_of(members.select("node")), "node")
+    members = _shared.cut(_members(keys))
+    sizes = nodes.select("node", "size")
+    # every set meets the least set of each of its keys: a hub's partners are dealt to cells, each with the hub's set
+    stars = members.where("node <> least").select("least", "node").distinct().join(sizes, "node")
+    stars = _shared.cut(_blocks(stars, "least").select("least", "block", "node", F.xxhash64("least", "block").alias("cell")))
+    cells = stars.select("cell", F.lit(2).alias("side"), "node").union(stars.select("cell", F.lit(1), "least").distinct())
+    links = _shared.cut(_compare(cells.withColumn("of", F.col("node")), sets_of(cells.select("node")), part, whole))
+    found = _shared.cut(_shared.components(links))
+    # keys that still hold different components; of keys with the same members one is enough
+    now = members.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("of"))
+    apart = now.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high"), F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same"))
+    apart = apart.where("low <> high and n > 2").groupBy("n", "same").agg(F.min("key").alias("key"))
+    rest = _shared.cut(_blocks(now.join(apart.select("key"), "key").join(sizes, "node"), "key"))
+    if not rest.limit(1).count():
+        return found
     # block i meets block j >= i in the cell (i, j)
-    cells = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "hashes")
-    # one hash deals the cells; rows of a cell come one after the other
-    cells = cells.withColumn("cell", F.xxhash64("component", "i", "j"))
-    cells = cells.repartition("cell").sortWithinPartitions("cell", "component", "i", "j", "node")
-    compare = _Cell(part, whole)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pd.DataFrame] = []
-
-        def flush() -> pa.RecordBatch:
-            pdf = pd.concat(held)
-            within = pdf["i"].iloc[0] == pdf["j"].iloc[0]
-            found = compare.links(pdf["node"].to_numpy(), pdf["side"].to_numpy(), [np.frombuffer(h, "<u8") for h in pdf["hashes"]], within)
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
-
-        for batch in batches:
-            pdf = batch.to_pandas()
-            names = pdf["cell"].to_numpy()
-            edge = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(pdf)]
-            for lo, hi in zip(edge, edge[1:], strict=False):
-                piece = pdf.iloc[lo:hi]
-                if held and len(piece) and held[0]["cell"].iloc[0] != piece["cell"].iloc[0]:
-                    yield flush()
-                    held.clear()
-                if len(piece):
-                    held.append(piece)
-        if held:
-            yield flush()
-
-    return _shared.components(cells.mapInArrow(run, "a long, b long"))
+    cells = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("block") == F.col("other"), 3).when(F.col("block") < F.col("other"), 1).otherwise(2)
+    cells = cells.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), side.alias("side"), "node", "of")
+    more = _compare(cells, sets_of(rest.select("node")), part, whole)
+    return _shared.components(links.union(more))

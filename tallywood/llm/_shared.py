@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where that is unset (tests on one machine), a temporary folder."""
+    """The session's ``spark.checkpoint.dir``; a temporary folder only where that is unset and Spark runs on this machine alone."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()
 
 
@@ -22,6 +26,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """As :func:`cut`, but as Parquet: for wide or long tables of which later steps read some columns."""
+    path = f"{folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fresh(docs: DataFrame, n: int) -> list[str]:
+    """``n`` names that no column of ``docs`` has."""
+    taken, out, k = {c.lower() for c in docs.columns}, [], 0
+    while len(out) < n:
+        if (name := f"inner_{k}") not in taken:
+            out.append(name)
+        k += 1
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -31,6 +52,13 @@ def fold(doc_id, parts: int):
     return F.crc32(F.col(doc_id).cast("string")) % parts
 
 
+def without(docs: DataFrame, rejected: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows of the ids in ``rejected``; rows with a null id stay."""
+    name = fresh(docs, 1)[0]
+    gone = rejected.select(F.col(rejected.columns[0]).alias(name)).where(F.col(name).isNotNull()).distinct()
+    return docs.join(gone, docs[id_col] == gone[name], "left_anti")
+
+
 def components(links: DataFrame) -> DataFrame:
     """``(node, component)`` for every node of ``links(a, b)``: the smallest node it is connected to.
 

@@ -1,9 +1,11 @@
-"""Passages that repeat across documents: MinHash banding of paragraphs, whole-set checks, components.
+"""Passages that repeat across documents: MinHash banding of paragraphs, exact checks, components.
 
-A paragraph is a line of at least ``min_words`` words. Paragraphs that agree in some band of MinHash
-values are compared by their whole sets of word shingles; of each connected group the first place
-stays and the others can be removed. Runs of equal words inside longer lines, or across short ones, are
-found by :mod:`tallywood.llm.runs`.
+A paragraph is a stretch of words cut out by its content, wherever lines break: a word whose hash is
+the least among its neighbours' begins one, so the paragraphs inside a passage are the same in every
+document that has it. Paragraphs that agree in a band of MinHash values are compared by their whole
+sets of word shingles and joined into components. A document's neighbouring paragraphs whose
+components an earlier document has, at one distance, are aligned with that document word by word, edits
+included, as far as both go on alike; what is long enough is a passage, and the earlier place stays.
 """
 
 from __future__ import annotations
@@ -12,20 +14,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallywood.llm import _link, _shared, runs
-from tallywood.llm._words import NONSPACE, U, Words, mix, shingles_at, spans, texts_of, words_of
+from tallywood.llm import _link, _shared
+from tallywood.llm._words import NONSPACE, U, Words, _power_tables, mix, shingles_at, spans, texts_of, words_of
 from tallywood.llm.neardup import distinct_sets, signatures
 
-#: Values in a band.
-ROWS = 3
-#: Pairs of exactly the least similarity that may agree in no band.
-MISSED = 1e-4
-#: Words that a paragraph has at least.
-MIN_WORDS = 30
-_LINE = np.arange(256) != 10
+#: A paragraph begins where a word's hash is the least of so many to each side; the most words of one.
+REACH, MOST = 6, 30
+#: Values in a band, and pairs of exactly the least similarity that may agree in no band.
+ROWS, MISSED = 2, 0.01
+#: Words of the shortest passage.
+LEAST = 50
+#: Words around paragraphs that the alignment may go on into, and between two that it may bridge.
+AROUND = 48
+#: Different paragraphs whose keys a task remembers, so that a common one gives its keys once and not each time.
+REMEMBERED = 200_000
 
 
 def bands_for(similarity: float, rows: int = ROWS, missed: float = MISSED) -> int:
@@ -39,107 +44,290 @@ def band_keys(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
     for b in range(bands):
         key = np.full(len(signature), U(b + 1))
         for k in range(rows):
-            key = mix(key * U(0xD6E8FEB86659FD93) + signature[:, b * rows + k])
+            key = mix(key * U(0xD6E8FEB86659FD93) + signature[:, b * rows + k].astype(U))
         out[:, b] = key
     return out
 
 
-def _paragraphs(data: np.ndarray, offsets: np.ndarray, min_words: int) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The words of texts, and of each paragraph: its row, line number, first word and word count."""
-    words, lines = words_of(data, offsets, NONSPACE), words_of(data, offsets, _LINE)
-    row = np.repeat(np.arange(len(lines.first) - 1), np.diff(lines.first))
-    breaks = np.concatenate([[0], np.cumsum(words.data == 10)])
-    number = breaks[lines.starts] - breaks[(offsets - offsets[0])[row]]
-    begin, end = np.searchsorted(words.starts, lines.starts), np.searchsorted(words.starts, lines.ends)
-    long = end - begin >= min_words
-    return words, row[long], number[long], begin[long], (end - begin)[long]
+def paragraphs(words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each paragraph its row, first word and word count; together they cover all words."""
+    n, first = len(hashes), words.first
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    # pairs of words are less often equal than words; the last word of a row has none
+    pair = np.empty(n, U)
+    pair[:-1] = mix(hashes[:-1] * U(3) + hashes[1:])
+    pair[first[1:][np.diff(first) > 0] - 1] = U((1 << 64) - 1)
+    begins = np.ones(n, bool)
+    for d in range(1, min(REACH, n - 1) + 1):
+        same = row[d:] == row[:-d]
+        begins[d:] &= ~same | (pair[d:] < pair[:-d])
+        begins[:-d] &= ~same | (pair[:-d] <= pair[d:])
+    begins[first[:-1][np.diff(first) > 0]] = True
+    start = np.flatnonzero(begins)
+    size = np.diff(np.append(start, n))
+    # a row's last paragraph ends with the row, as the next row's first word begins one
+    pieces = -(-size // MOST)
+    begin = np.repeat(start, pieces) + MOST * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    return row[begin], begin, np.diff(np.append(begin, n))
 
 
-def _sets(words: Words, begin: np.ndarray, n: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    return distinct_sets(*shingles_at(words.hashes(), begin, n, width))
+def _sequence(hashes: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A hash of the words of each stretch, in order."""
+    up, down = _power_tables(len(hashes))
+    sums = np.zeros(len(hashes) + 1, U)
+    np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
+    return mix((sums[begin + n] - sums[begin]) * down[begin] + n.astype(U))
 
 
-def _sketch(docs: DataFrame, width: int, bands: int, min_words: int) -> DataFrame:
-    """``doc_id, place, n_words, node, size, keys`` for every paragraph; equal sets have one node."""
+def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return own.where("doc_id is not null and text is not null").withColumn("part", F.xxhash64("text"))
+
+
+def _places(own: DataFrame) -> DataFrame:
+    """``doc_id, part, k, at, n, node`` of all paragraphs: number, first word, words, and the name of their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = texts_of(batch.column("text"))
             for lo, hi in spans(offsets):
-                words, row, number, begin, n = _paragraphs(data, offsets[lo : hi + 1], min_words)
-                sets, bounds = _sets(words, begin, n, width)
-                keys = band_keys(signatures(sets, bounds, bands * ROWS, 16))
-                sums = np.concatenate([[U(0)], np.cumsum(mix(sets + U(11)))])
-                node = mix(sums[bounds[1:]] - sums[bounds[:-1]] + np.diff(bounds).astype(U)).view(np.int64)
-                listed = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1) * bands, pa.int32()), pa.array(keys.ravel().view(np.int64)))
-                ids = batch.column("doc_id").slice(lo, hi - lo).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(number, pa.int32()), pa.array(n), pa.array(node), pa.array(np.diff(bounds)), listed], ["doc_id", "place", "n_words", "node", "size", "keys"])
+                words = words_of(data, offsets[lo : hi + 1], NONSPACE)
+                hashes = words.hashes()
+                row, begin, n = paragraphs(words, hashes)
+                k = np.arange(len(row)) - np.searchsorted(row, row)
+                ids = [batch.column(c).take(pa.array(row + lo)) for c in ("doc_id", "part")]
+                rest = [pa.array(x.astype(np.int32)) for x in (k, begin - words.first[row], n)]
+                yield pa.RecordBatch.from_arrays([*ids, *rest, pa.array(_sequence(hashes, begin, n).view(np.int64))], ["doc_id", "part", "k", "at", "n", "node"])
 
-    return docs.mapInArrow(run, "doc_id long, place int, n_words long, node long, size long, keys array<long>")
+    return own.mapInArrow(run, "doc_id long, part long, k int, at int, n int, node long")
 
 
-def _sets_at(places: DataFrame, width: int, min_words: int) -> DataFrame:
-    """``node, hashes`` of the paragraphs ``nodes`` at ``places`` (arrays) of ``text``."""
+def _keys(own: DataFrame, width: int, bands: int) -> DataFrame:
+    """``key, node``: the bands of all paragraphs; what a task has lately given it doesn't give again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recent: set[int] = set()
         for batch in batches:
             data, offsets = texts_of(batch.column("text"))
-            where, nodes = batch.column("places").to_pylist(), batch.column("nodes").to_pylist()
             for lo, hi in spans(offsets):
-                words, row, number, begin, n = _paragraphs(data, offsets[lo : hi + 1], min_words)
-                asked = {(r, p): node for r in range(lo, hi) for p, node in zip(where[r], nodes[r], strict=True)}
-                names = [asked.get((r + lo, p)) for r, p in zip(row.tolist(), number.tolist(), strict=True)]
-                pick = np.array([k for k, x in enumerate(names) if x is not None], np.int64)
-                sets, bounds = _sets(words, begin[pick], n[pick], width)
-                whole = [sets[a:b].astype("<u8").tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in pick], pa.int64()), pa.array(whole, pa.binary())], ["node", "hashes"])
+                words = words_of(data, offsets[lo : hi + 1], NONSPACE)
+                hashes = words.hashes()
+                _, begin, n = paragraphs(words, hashes)
+                node, pick = np.unique(_sequence(hashes, begin, n).view(np.int64), return_index=True)
+                fresh = np.array([x not in recent for x in node.tolist()], bool)
+                node, pick = node[fresh], pick[fresh]
+                if len(recent) + len(node) > REMEMBERED:
+                    recent.clear()
+                recent.update(node.tolist())
+                keys = band_keys(signatures(*shingles_at(hashes, begin[pick], n[pick], width), bands * ROWS, 16))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(node, bands))], ["key", "node"])
+
+    return own.select("text").mapInArrow(run, "key long, node long")
+
+
+def _slices(own: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``doc_id, part, lo, hi, words``: hashes of the words ``lo`` to ``hi`` (cut off at the ends) of the texts named."""
+    wanted = wanted.groupBy("doc_id", "part").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
+    texts = own.join(wanted, ["doc_id", "part"]).dropDuplicates(["doc_id", "part"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = texts_of(batch.column("text"))
+            for lo, hi in spans(offsets):
+                words = words_of(data, offsets[lo : hi + 1], NONSPACE)
+                hashes = words.hashes().astype("<u8")
+                listed = batch.column("ranges").slice(lo, hi - lo)
+                row = np.repeat(np.arange(hi - lo), listed.value_lengths().to_numpy(zero_copy_only=False))
+                begin, end = (listed.flatten().field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                a = words.first[row] + np.maximum(begin, 0)
+                b = np.minimum(words.first[row] + end, words.first[row + 1])
+                ids = [batch.column(c).take(pa.array(row + lo)) for c in ("doc_id", "part")]
+                step = 20_000
+                for s in range(0, len(row), step):
+                    cut = slice(s, s + step)
+                    whole = pa.array([hashes[x:y].tobytes() for x, y in zip(a[cut], b[cut], strict=True)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([*(x.slice(s, step) for x in ids), pa.array(begin[cut], pa.int32()), pa.array(end[cut], pa.int32()), whole], ["doc_id", "part", "lo", "hi", "words"])
+
+    return texts.select("doc_id", "part", "text", "ranges").mapInArrow(run, "doc_id long, part long, lo int, hi int, words binary")
+
+
+def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    """How many words of ``a`` and ``b`` go on alike from their beginnings, and the edits between them.
+
+    After a word that differs, up to 3 words of each are passed over where 4 equal words follow (the
+    fewest passed over count as edits); the last words are equal ones.
+    """
+    i = j = edits = 0
+    stop = (0, 0, 0)
+    while True:
+        m = min(len(a) - i, len(b) - j)
+        differ = np.flatnonzero(a[i : i + m] != b[j : j + m])
+        go = int(differ[0]) if len(differ) else m
+        i, j = i + go, j + go
+        if go:
+            stop = (i, j, edits)
+        for x, y in ((1, 1), (1, 0), (0, 1), (2, 2), (2, 1), (1, 2), (2, 0), (0, 2), (3, 3), (3, 2), (2, 3), (3, 1), (1, 3), (3, 0), (0, 3)):
+            if i + x + 4 <= len(a) and j + y + 4 <= len(b) and (a[i + x : i + x + 4] == b[j + y : j + y + 4]).all():
+                i, j, edits = i + x, j + y, edits + max(x, y)
+                break
+        else:
+            return stop
+
+
+def align(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]], least: int, percent: int) -> list[tuple[int, int, int, int]]:
+    """Ranges of ``a`` and ``b`` that are alike around the ``seeds`` (places in both): ``(begin, end, begin, end)``.
+
+    A range has ``least`` words in both and, of its longer side, at least ``percent`` hundredths unedited.
+    """
+    out, covered = [], -1
+    for s, t in seeds:
+        if s < covered:
+            continue
+        right, left = _extend(a[s:], b[t:]), _extend(a[:s][::-1], b[:t][::-1])
+        lo, hi, other_lo, other_hi = s - left[0], s + right[0], t - left[1], t + right[1]
+        covered = max(covered, hi)
+        size = max(hi - lo, other_hi - other_lo)
+        if min(hi - lo, other_hi - other_lo) >= least and 100 * (size - left[2] - right[2]) >= percent * size:
+            out.append((lo, hi, other_lo, other_hi))
+    return out
+
+
+PASSAGE = "doc_id long, part long, word int, n_words int, first_doc_id long, first_part long, first_word int, first_n_words int, passage long"
+
+
+def _aligned(pairs: DataFrame, least: int, percent: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            get = {c: batch.column(c).to_pylist() for c in batch.schema.names}
+            for r in range(len(batch)):
+                lo, first_lo = max(get["lo"][r], 0), max(get["first_lo"][r], 0)
+                seeds = [(x - lo, x - get["shift"][r] - first_lo) for x in sorted(get["seeds"][r])]
+                for a0, a1, b0, b1 in align(np.frombuffer(get["words"][r], "<u8"), np.frombuffer(get["first_words"][r], "<u8"), seeds, least, percent):
+                    rows.append((get["doc_id"][r], get["part"][r], lo + a0, a1 - a0, get["first_doc_id"][r], get["first_part"][r], first_lo + b0, b1 - b0, get["passage"][r]))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), KINDS, strict=True)], NAMES)
+
+    return pairs.mapInArrow(run, PASSAGE)
+
 
-    return places.mapInArrow(run, "node long, hashes binary")
+NAMES = [c.split()[0] for c in PASSAGE.split(", ")]
+KINDS = [pa.int64() if c.endswith("long") else pa.int32() for c in PASSAGE.split(", ")]
 
 
-def repeated_passages(docs: DataFrame, width: int = 5, percent: int = 80, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, place, n_words, passage, first_doc_id, first_place, removed`` of every paragraph that repeats.
+def repeated_passages(docs: DataFrame, width: int = 5, percent: int = 80, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, part, word, n_words, passage, first_doc_id, first_part, first_word, first_n_words, removed`` of passages in two documents.
 
-    ``place`` counts lines from 0. Paragraphs are of one passage where chains of pairs, each with at
-    least ``percent`` hundredths of their shingles in common, join them; ``first_...`` is the least
-    place by id, then line, and all others are to be ``removed``. Paragraphs that occur once are not
-    returned. Null texts, and rows with a null id, have none; rows with one id are one document.
+    A passage has ``least`` or more words, counted from 0 between white space, A-Z counting as a-z; line
+    ends are white space. It stands in an earlier document (of smaller id) from ``first_word`` on with
+    at most 100 - ``percent`` hundredths of its words edited; of several earlier documents the earliest is
+    named, and another may go on alike for a few words more. ``removed`` rows are the later places;
+    the others name the places that those are copies of. ``passage`` is the component of the first
+    paragraph that both have. Rows of one document may overlap. ``part`` is a hash of the text: rows
+    with one id are one document of several texts, equal texts of different ids are compared as one
+    text and each copy is a passage of all its words. Null texts, and rows with a null id, have none;
+    an empty table gives no rows.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    sketch = _sketch(own, width, bands_for(percent / 100), min_words)
-    places = _shared.cut(sketch.select("doc_id", "place", "n_words", "node", "size")).dropDuplicates(["doc_id", "place", "node"])
-    nodes = places.groupBy("node").agg(F.min(F.struct("doc_id", "place")).alias("at"), F.max("size").alias("size"))
-    nodes = _shared.cut(nodes.select("node", "size", "at.doc_id", "at.place"))
-    # the keys are wide, so they are made again for the one join that needs them, and copies of a set combined before they move
-    keys = sketch.groupBy("node").agg(F.first("keys").alias("keys")).select(F.explode(F.array_distinct("keys")).alias("key"), "node")
+    own = _own(docs, id_col, text_col)
+    places = _shared.written(_places(own))
+    # copies of a text are one text, of the least id
+    ends = places.groupBy("part", "doc_id").agg(F.max(F.col("at") + F.col("n")).alias("n_words"))
+    least_id = ends.groupBy("part").agg(F.min("doc_id").alias("first_doc_id"))
+    texts = _shared.cut(ends.join(least_id, "part"))
+    copies = texts.where("doc_id <> first_doc_id and n_words >= %d" % least)
+    zero = F.lit(0).alias
+    copies = copies.select("doc_id", "part", zero("word"), "n_words", "first_doc_id", F.col("part").alias("first_part"), zero("first_word"), F.col("n_words").alias("first_n_words"), F.col("part").alias("passage"))
+    places = places.join(texts.where("doc_id = first_doc_id").select("doc_id", "part"), ["doc_id", "part"]).distinct()
+    places = _shared.written(places)
+    nodes = places.groupBy("node").agg(F.min("n").alias("size"))
 
     def sets_of(few: DataFrame) -> DataFrame:
-        wanted = nodes.join(few.distinct(), "node", "left_semi").groupBy("doc_id").agg(F.collect_list("place").alias("places"), F.collect_list("node").alias("nodes"))
-        return _sets_at(own.join(wanted, "doc_id").select("text", "places", "nodes"), width, min_words)
+        picked = places.join(few.distinct(), "node", "left_semi")
+        # one place of each node, found without sorting: the least hash of a place
+        name = F.xxhash64("doc_id", "part", "at").alias("name")
+        one = picked.select("node", "doc_id", "part", "at", "n", name)
+        one = one.join(one.groupBy("node").agg(F.min("name").alias("name")), ["node", "name"]).dropDuplicates(["node"])
+        one = one.select("node", "doc_id", "part", F.col("at").alias("lo"), (F.col("at") + F.col("n")).alias("hi"))
+        got = _slices(own, one).join(one, ["doc_id", "part", "lo", "hi"]).select("node", "words")
 
-    found = _link.linked(nodes, keys, sets_of, 100, percent)
-    named = places.join(found, "node", "left").withColumn("passage", F.coalesce("component", "node")).select("doc_id", "place", "n_words", "passage")
-    named = _shared.cut(named)
-    first = named.groupBy("passage").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    out = named.join(first.select("passage", "first"), "passage")
-    out = out.select("doc_id", "place", "n_words", "passage", F.col("first.doc_id").alias("first_doc_id"), F.col("first.place").alias("first_place"))
-    return out.withColumn("removed", (F.col("doc_id") != F.col("first_doc_id")) | (F.col("place") != F.col("first_place")))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                words = [np.frombuffer(x, "<u8") for x in batch.column("words").to_pylist()]
+                n = np.array([len(w) for w in words], np.int64)
+                sets, bounds = distinct_sets(*shingles_at(np.concatenate([*words, np.empty(0, U)]).astype(U), np.cumsum(n) - n, n, width))
+                whole = [sets[a:b].astype("<u8").tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(whole, pa.binary())], ["node", "hashes"])
+
+        return got.mapInArrow(run, "node long, hashes binary")
+
+    found = _link.linked(nodes, _keys(own, width, bands_for(percent / 100)), sets_of, 100, percent)
+    named = places.join(found, "node", "left").withColumn("name", F.coalesce("component", "node")).select("doc_id", "part", "k", "at", "n", "name")
+    often = named.groupBy("name").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("name")
+    again = _shared.written(named.join(often, "name"))
+    # a paragraph's earlier place is that of the longest row of paragraphs from it on, of 1, 2 and 4, so that rare neighbours tell
+    along = Window.partitionBy("doc_id", "part").orderBy("k")
+    rows = again
+    for d in (1, 2, 3):
+        rows = rows.withColumn(f"next_{d}", F.when(F.lead("k", d).over(along) == F.col("k") + d, F.lead("name", d).over(along)))
+    name_of = [F.col("name"), F.when(F.col("next_1").isNotNull(), F.xxhash64("name", "next_1")), F.when(F.col("next_3").isNotNull(), F.xxhash64("name", "next_1", "next_2", "next_3"))]
+    rows = rows.select("doc_id", "part", "at", "n", F.col("name").alias("passage"), F.explode(F.array(*name_of)).alias("name")).where("name is not null")
+    place = F.struct("doc_id", "part", "at")
+    first = rows.groupBy("name").agg(F.min(place).alias("first"))
+    rows = rows.join(first, "name").where("doc_id <> first.doc_id")
+    rows = rows.select("doc_id", "part", "at", "n", "passage", F.col("first.doc_id").alias("first_doc_id"), F.col("first.part").alias("first_part"), (F.col("at") - F.col("first.at")).alias("shift")).distinct()
+    # what lies at one distance from one text, with few words between, is aligned together
+    pair = ["doc_id", "part", "first_doc_id", "first_part", "shift"]
+    order = Window.partitionBy(*pair).orderBy("at")
+    rows = rows.withColumn("opens", (F.col("at") > F.coalesce(F.lag(F.col("at") + F.col("n")).over(order), F.lit(-(1 << 30))) + AROUND).cast("int"))
+    rows = rows.withColumn("stretch", F.sum("opens").over(order))
+    lo, hi = F.min("at") - AROUND, F.max(F.col("at") + F.col("n")) + AROUND
+    pairs = rows.groupBy(*pair, "stretch").agg(lo.alias("lo"), hi.alias("hi"), F.collect_set("at").alias("seeds"), F.min("passage").alias("passage"))
+    pairs = _shared.cut(pairs.drop("stretch").withColumn("first_lo", F.col("lo") - F.col("shift")).withColumn("first_hi", F.col("hi") - F.col("shift")))
+    earlier = pairs.select(F.col("first_doc_id").alias("doc_id"), F.col("first_part").alias("part"), F.col("first_lo").alias("lo"), F.col("first_hi").alias("hi"))
+    slices = _shared.written(_slices(own, pairs.select("doc_id", "part", "lo", "hi").union(earlier)))
+    both = pairs.join(slices, ["doc_id", "part", "lo", "hi"])
+    both = both.join(slices.toDF("first_doc_id", "first_part", "first_lo", "first_hi", "first_words"), ["first_doc_id", "first_part", "first_lo", "first_hi"])
+    later = _shared.cut(_aligned(both, least, percent).union(copies).distinct())
+    kept = later.select(F.col("first_doc_id").alias("doc_id"), F.col("first_part").alias("part"), F.col("first_word").alias("word"), F.col("first_n_words").alias("n_words"), "first_doc_id", "first_part", "first_word", "first_n_words", "passage").distinct()
+    out = later.withColumn("removed", F.lit(True)).union(kept.withColumn("removed", F.lit(False)))
+    return out.select("doc_id", "part", "word", F.col("n_words").cast("long").alias("n_words"), "passage", "first_doc_id", "first_part", "first_word", F.col("first_n_words").cast("long").alias("first_n_words"), "removed")
 
 
 def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the lines that :func:`repeated_passages` says to remove; all other columns and rows stay."""
+    """``docs`` without the words that :func:`repeated_passages` says to remove; all other columns and rows stay.
+
+    What goes reaches from a passage's first word to just before the word after it, so the white space around
+    it stays once. Only a row whose own id and text have the passage loses it.
+    """
     again = repeated_passages(docs, id_col=id_col, text_col=text_col, **options).where("removed")
-    again = again.groupBy("doc_id").agg(F.collect_set("place").alias("_places")).withColumnRenamed("doc_id", "_id")
-    both = docs.join(again, docs[id_col].cast("long") == again["_id"], "left")
-    left = F.array_join(F.filter(F.split(F.col(text_col).cast("string"), "\n", -1), lambda x, i: ~F.array_contains(F.col("_places"), i)), "\n")
+    names = _shared.fresh(docs, 5)
+    again = again.groupBy("doc_id", "part").agg(F.collect_list(F.struct("word", "n_words")).alias("words")).toDF(*names[:3])
+    text = F.col(text_col).cast("string")
+    keyed = docs.withColumns({names[3]: F.col(id_col).cast("long"), names[4]: F.xxhash64(text)})
+    both = keyed.join(again, (F.col(names[3]) == F.col(names[0])) & (F.col(names[4]) == F.col(names[1])), "left").drop(*names[:2], *names[3:])
+    both = both.withColumn(names[0], text)
+    ranges, at = both.columns.index(names[2]), both.columns.index(names[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            for r, gone in enumerate(batch.column(ranges).to_pylist()):
+                if gone:
+                    data, offsets = texts_of(batch.column(at).slice(r, 1))
+                    words = words_of(data, offsets, NONSPACE)
+                    keep = np.ones(len(words.data), bool)
+                    edge = np.append(words.starts, len(words.data))
+                    for x in gone:
+                        keep[edge[x["word"]] : edge[min(x["word"] + x["n_words"], len(words.starts))]] = False
+                    texts[r] = words.data[keep].tobytes().decode()
+            columns = [*batch.columns[:ranges], *batch.columns[ranges + 1 : at], pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [n for k, n in enumerate(batch.schema.names) if k != ranges])
+
     kind = dict(docs.dtypes)[text_col]
-    return both.withColumn(text_col, F.when(F.col("_places").isNull(), F.col(text_col)).otherwise(left.cast(kind))).select(*docs.columns)
+    done = both.mapInArrow(run, both.drop(names[2]).schema)
+    return done.select(*(F.col(names[0]).cast(kind).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages by whole lines, edited ones too (``unit`` line, places count lines), and equal runs wherever they lie (``unit`` word, places count words)."""
-    docs = _shared.table(spark, sf_dir, "documents")
-    lines = repeated_passages(docs).select("doc_id", F.lit("line").alias("unit"), "place", "n_words", "passage", "first_doc_id", "first_place", "removed")
-    found = runs.repeated_runs(docs)
-    passage = F.xxhash64("first_doc_id", "first_part", "first_word", "n_words").alias("passage")
-    return lines.unionByName(found.select("doc_id", F.lit("word").alias("unit"), F.col("word").alias("place"), "n_words", passage, "first_doc_id", F.col("first_word").alias("first_place"), "removed"))
+    found = repeated_passages(_shared.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "word", "n_words", "passage", "first_doc_id", "first_word", "first_n_words", "removed")
