@@ -162,18 +162,18 @@ def _blocks(rows: DataFrame, by: str) -> DataFrame:
     return rows.join(rows.groupBy(by).agg(many), by).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
 
 
-def linked(nodes: DataFrame, keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], part: int, whole: int) -> DataFrame:
+def linked(nodes: DataFrame | int, keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], part: int, whole: int) -> DataFrame:
     """``(node, component)`` of every node that is linked to another.
 
-    ``nodes`` has ``node`` and ``size`` (of its set), ``keys`` has ``key`` and ``node``; two sets
+    ``nodes`` has ``node`` and ``size`` (of its set), or is the size that none exceeds; ``keys`` has ``key`` and ``node``; two sets
     with a key in common are linked where ``part * intersection >= whole * union``. ``sets_of(few)``
     gives ``node`` and ``hashes`` (its set, as sorted distinct little-endian 64-bit integers) for the
     nodes of a DataFrame ``few``. The component is named by its least node.
     """
     members = _shared.cut(_members(keys))
-    sizes = nodes.select("node", "size")
+    sized = lambda rows: rows.withColumn("size", F.lit(nodes)) if isinstance(nodes, int) else rows.join(nodes.select("node", "size"), "node")
     # every set meets the least set of each of its keys: a hub's partners are dealt to cells, each with the hub's set
-    stars = members.where("node <> least").select("least", "node").distinct().join(sizes, "node")
+    stars = sized(members.where("node <> least").select("least", "node").distinct())
     stars = _shared.cut(_blocks(stars, "least").select("least", "block", "node", F.xxhash64("least", "block").alias("cell")))
     cells = stars.select("cell", F.lit(2).alias("side"), "node").union(stars.select("cell", F.lit(1), "least").distinct())
     links = _shared.cut(_compare(cells.withColumn("of", F.col("node")), sets_of(cells.select("node")), part, whole))
@@ -182,7 +182,7 @@ def linked(nodes: DataFrame, keys: DataFrame, sets_of: Callable[[DataFrame], Dat
     now = members.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("of"))
     apart = now.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high"), F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same"))
     apart = apart.where("low <> high and n > 2").groupBy("n", "same").agg(F.min("key").alias("key"))
-    rest = _shared.cut(_blocks(now.join(apart.select("key"), "key").join(sizes, "node"), "key"))
+    rest = _shared.cut(_blocks(sized(now.join(apart.select("key"), "key")), "key"))
     if not rest.limit(1).count():
         return found
     # block i meets block j >= i in the cell (i, j)

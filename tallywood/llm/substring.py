@@ -29,6 +29,8 @@ ROWS, MISSED = 2, 0.01
 LEAST = 50
 #: Words around paragraphs that the alignment may go on into, and between two that it may bridge.
 AROUND = 48
+#: Up to so many ranges of words (some 64 bytes each), or ids of texts, are sent to all tasks; more meet the texts in a shuffle.
+MOST_RANGES, MOST_NAMED = 1 << 19, 1 << 21
 #: Different paragraphs whose keys a task remembers, so that a common one gives its keys once and not each time.
 REMEMBERED = 200_000
 
@@ -127,8 +129,14 @@ def _keys(own: DataFrame, width: int, bands: int) -> DataFrame:
 
 def _slices(own: DataFrame, wanted: DataFrame) -> DataFrame:
     """``doc_id, part, lo, hi, words``: hashes of the words ``lo`` to ``hi`` (cut off at the ends) of the texts named."""
-    wanted = wanted.groupBy("doc_id", "part").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
-    texts = own.join(wanted, ["doc_id", "part"]).dropDuplicates(["doc_id", "part"])
+    wanted = _shared.cut(wanted.groupBy("doc_id", "part").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")))
+    texts, ranges = wanted.agg(F.count("*"), F.coalesce(F.sum(F.size("ranges")), F.lit(0))).first()
+    # few ranges go to the texts; else at least no other text moves
+    if ranges <= MOST_RANGES:
+        wanted = F.broadcast(wanted)
+    elif texts <= MOST_NAMED:
+        own = own.join(F.broadcast(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
+    texts = own.join(wanted, ["doc_id", "part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,18 +245,17 @@ def repeated_passages(docs: DataFrame, width: int = 5, percent: int = 80, least:
     copies = texts.where("doc_id <> first_doc_id and n_words >= %d" % least)
     zero = F.lit(0).alias
     copies = copies.select("doc_id", "part", zero("word"), "n_words", "first_doc_id", F.col("part").alias("first_part"), zero("first_word"), F.col("n_words").alias("first_n_words"), F.col("part").alias("passage"))
-    places = places.join(texts.where("doc_id = first_doc_id").select("doc_id", "part"), ["doc_id", "part"]).distinct()
-    places = _shared.written(places)
-    nodes = places.groupBy("node").agg(F.min("n").alias("size"))
 
     def sets_of(few: DataFrame) -> DataFrame:
-        picked = places.join(few.distinct(), "node", "left_semi")
+        few = _shared.cut(few.distinct())
+        few = F.broadcast(few) if few.count() <= MOST_NAMED else few
         # one place of each node, found without sorting: the least hash of a place
         name = F.xxhash64("doc_id", "part", "at").alias("name")
-        one = picked.select("node", "doc_id", "part", "at", "n", name)
+        one = _shared.cut(places.join(few, "node", "left_semi").select("node", "doc_id", "part", "at", "n", name))
         one = one.join(one.groupBy("node").agg(F.min("name").alias("name")), ["node", "name"]).dropDuplicates(["node"])
         one = one.select("node", "doc_id", "part", F.col("at").alias("lo"), (F.col("at") + F.col("n")).alias("hi"))
-        got = _slices(own, one).join(one, ["doc_id", "part", "lo", "hi"]).select("node", "words")
+        one = _shared.cut(one)
+        got = _slices(own, one).join(one, ["doc_id", "part", "lo", "hi"]).select("node", "words").dropDuplicates(["node"])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -260,16 +267,19 @@ def repeated_passages(docs: DataFrame, width: int = 5, percent: int = 80, least:
 
         return got.mapInArrow(run, "node long, hashes binary")
 
-    found = _link.linked(nodes, _keys(own, width, bands_for(percent / 100)), sets_of, 100, percent)
-    named = places.join(found, "node", "left").withColumn("name", F.coalesce("component", "node")).select("doc_id", "part", "k", "at", "n", "name")
-    often = named.groupBy("name").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("name")
-    again = _shared.written(named.join(often, "name"))
-    # a paragraph's earlier place is that of the longest row of paragraphs from it on, of 1, 2 and 4, so that rare neighbours tell
+    found = _link.linked(MOST, _keys(own, width, bands_for(percent / 100)), sets_of, 100, percent)
+    # the words that two documents have, as they are or alike
+    same = places.groupBy("node").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("node")
+    often = found.toDF("node", "name").union(same.join(found, "node", "left_anti").select("node", F.col("node").alias("name")))
+    again = places.join(often, "node").drop("node")
+    again = again.join(texts.where("doc_id = first_doc_id").select("doc_id", "part"), ["doc_id", "part"])
+    again = _shared.written(again.dropDuplicates(["doc_id", "part", "k"]))
+    # a paragraph's earlier place is that of the that of its name, and that of its name and the next one's, which fewer texts have
     along = Window.partitionBy("doc_id", "part").orderBy("k")
     rows = again
-    for d in (1, 2, 3):
-        rows = rows.withColumn(f"next_{d}", F.when(F.lead("k", d).over(along) == F.col("k") + d, F.lead("name", d).over(along)))
-    name_of = [F.col("name"), F.when(F.col("next_1").isNotNull(), F.xxhash64("name", "next_1")), F.when(F.col("next_3").isNotNull(), F.xxhash64("name", "next_1", "next_2", "next_3"))]
+    following = F.when(F.lead("k").over(along) == F.col("k") + 1, F.xxhash64("name", F.lead("name").over(along)))
+    name_of = [F.col("name"), F.col("following")]
+    rows = rows.withColumn("following", following)
     rows = rows.select("doc_id", "part", "at", "n", F.col("name").alias("passage"), F.explode(F.array(*name_of)).alias("name")).where("name is not null")
     place = F.struct("doc_id", "part", "at")
     first = rows.groupBy("name").agg(F.min(place).alias("first"))
@@ -282,7 +292,7 @@ def repeated_passages(docs: DataFrame, width: int = 5, percent: int = 80, least:
     rows = rows.withColumn("stretch", F.sum("opens").over(order))
     lo, hi = F.min("at") - AROUND, F.max(F.col("at") + F.col("n")) + AROUND
     pairs = rows.groupBy(*pair, "stretch").agg(lo.alias("lo"), hi.alias("hi"), F.collect_set("at").alias("seeds"), F.min("passage").alias("passage"))
-    pairs = _shared.cut(pairs.drop("stretch").withColumn("first_lo", F.col("lo") - F.col("shift")).withColumn("first_hi", F.col("hi") - F.col("shift")))
+    pairs = _shared.written(pairs.drop("stretch").withColumn("first_lo", F.col("lo") - F.col("shift")).withColumn("first_hi", F.col("hi") - F.col("shift")))
     earlier = pairs.select(F.col("first_doc_id").alias("doc_id"), F.col("first_part").alias("part"), F.col("first_lo").alias("lo"), F.col("first_hi").alias("hi"))
     slices = _shared.written(_slices(own, pairs.select("doc_id", "part", "lo", "hi").union(earlier)))
     both = pairs.join(slices, ["doc_id", "part", "lo", "hi"])
