@@ -21,7 +21,7 @@ from tallywood.llm import _shared
 #: Sets, and hashes in them, of one block of a key.
 BLOCK_SETS, BLOCK_HASHES = 1024, 1 << 19
 #: Sets of a cell of which all pairs are compared at once.
-SMALL_CELL = 64
+SMALL_CELL = 16
 #: Up to so many keys are named to all tasks (8 bytes each), so that no other key moves; more are joined by a shuffle.
 MOST_NAMED = 1 << 21
 

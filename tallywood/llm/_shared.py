@@ -33,6 +33,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate results that nothing reads any more, on whatever file system it lies."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def fresh(docs: DataFrame, n: int) -> list[str]:
     """``n`` names that no column of ``docs`` has."""
     taken, out, k = {c.lower() for c in docs.columns}, [], 0
@@ -56,7 +62,7 @@ def without(docs: DataFrame, rejected: DataFrame, id_col: str = "doc_id") -> Dat
     """``docs`` without the rows of the ids in ``rejected``; rows with a null id stay."""
     name = fresh(docs, 1)[0]
     gone = rejected.select(F.col(rejected.columns[0]).alias(name)).where(F.col(name).isNotNull()).distinct()
-    return docs.join(gone, docs[id_col] == gone[name], "left_anti")
+    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -7,7 +7,6 @@ bucket, narrowed by the prefix hash, names the patterns that are compared with t
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,38 +15,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywood.llm import _shared
-from tallywood.llm._words import ALNUM, U, mix, spans, texts_of, words_of
+from tallywood.llm._words import ALNUM, U, Words, mix, spans, texts_of, words_of
 
 #: Bytes of benchmark text searched for in one pass; more text takes more passes.
-PASS_BYTES = 32 << 20
+PASS_BYTES = 8 << 20
+#: Words of a part of a long benchmark item.
+PART_WORDS = 50_000
 #: Cursors per text: a lane of so many words has one.
 LANE = 128
 FOUND = "doc_id long, n_words long, hits array<struct<start:long,stop:long>>, items array<string>"
 
 
 class Patterns:
-    """Shift table and buckets of the patterns of one length."""
+    """Shift table and buckets of the windows of ``m`` words; all of it arrays over the words of one pass.
 
-    def __init__(self, texts: list[bytes], items: list[list[int]], hashes: np.ndarray):
-        self.m = hashes.shape[1]
-        self.block = min(3, self.m)
-        self.jump = self.m - self.block + 1
-        bits = max(12, int(hashes.size * 4).bit_length())
+    ``at`` are the windows' first words among ``words`` (and ``hashes``), ``item`` the items they are of.
+    """
+
+    def __init__(self, words: Words, hashes: np.ndarray, at: np.ndarray, item: np.ndarray, m: int):
+        self.words, self.hashes, self.m = words, hashes, m
+        self.block = min(3, m)
+        self.jump = m - self.block + 1
+        bits = max(12, int(len(at) * 8).bit_length())
         self.mask = U((1 << bits) - 1)
         self.shift = np.full(1 << bits, self.jump, np.uint8)
-        for end in range(self.block, self.m + 1):
-            at = (self._hash(hashes, np.arange(len(hashes)), end) & self.mask).astype(np.int64)
-            np.minimum.at(self.shift, at, self.m - end)
-        key = self._key(self._hash(hashes, np.arange(len(hashes)), self.m), self._hash(hashes, np.arange(len(hashes)), self.block))
-        order = np.argsort(key, kind="stable")
-        self.key, self.hashes = key[order], hashes[order]
-        self.texts, self.items = [texts[i] for i in order], [items[i] for i in order]
-
-    def _hash(self, hashes: np.ndarray, rows: np.ndarray, end: int) -> np.ndarray:
-        out = np.zeros(len(rows), U)
-        for k in range(end - self.block, end):
-            out = mix(out + hashes[rows, k])
-        return out
+        for end in range(self.block, m + 1):
+            slot = (self._blocks(hashes, at + end - 1) & self.mask).astype(np.int64)
+            np.minimum.at(self.shift, slot, m - end)
+        key = self._key(self._blocks(hashes, at + m - 1), self._blocks(hashes, at + self.block - 1))
+        order = np.lexsort((item, key))
+        self.key, self.at, self.item = key[order], at[order].astype(np.int32), item[order].astype(np.int32)
 
     @staticmethod
     def _key(suffix: np.ndarray, prefix: np.ndarray) -> np.ndarray:
@@ -89,31 +86,50 @@ class Patterns:
         many = hi - lo
         which = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         start = np.repeat(end, many) - self.m + 1
-        same = (words[start[:, None] + np.arange(self.m)] == self.hashes[which]).all(axis=1) if len(start) else np.empty(0, bool)
+        same = np.ones(len(start), bool)
+        for k in range(self.m):
+            same &= words[start + k] == self.hashes[self.at[which] + k]
         return start[same], which[same]
 
+    def text(self, which: int) -> bytes:
+        return self.words.text(int(self.at[which]), int(self.at[which]) + self.m)
+
 
 def compile_patterns(items: list[tuple[str, str]], window: int) -> tuple[list[Patterns], list[str]]:
+    """The windows of ``items(name, text)`` by their numbers of words; a name may have several parts."""
     names = sorted({i for i, _ in items})
     number = {n: k for k, n in enumerate(names)}
-    texts = pa.array([t for _, t in items], pa.large_string())
-    found = words_of(*texts_of(texts), ALNUM)
-    hashes, owners, where = found.hashes(), defaultdict(set), {}
-    for r, (name, _) in enumerate(items):
-        a, b = int(found.first[r]), int(found.first[r + 1])
-        m = min(window, b - a)
-        for at in range(a, b - m + 1 if m else a):
-            text = found.text(at, at + m)
-            owners[m, text].add(number[name])
-            where[m, text] = at
+    words = words_of(*texts_of(pa.array([t for _, t in items], pa.large_string())), ALNUM)
+    words.starts, words.ends = words.starts.astype(np.int32), words.ends.astype(np.int32)
+    hashes, size = words.hashes(), np.diff(words.first)
+    owner = np.array([number[n] for n, _ in items], np.int32)
     out = []
-    for m in sorted({m for m, _ in where}):
-        keys = [k for k in where if k[0] == m]
-        rows = np.array([where[k] for k in keys])[:, None] + np.arange(m)
-        out.append(Patterns([t for _, t in keys], [sorted(owners[k]) for k in keys], hashes[rows]))
+    for m in sorted({min(window, int(n)) for n in np.unique(size) if n}):
+        rows = np.flatnonzero(size == m if m < window else size >= window)
+        many = size[rows] - m + 1
+        at = np.repeat(words.first[rows] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        out.append(Patterns(words, hashes, at, np.repeat(owner[rows], many), m))
     return out, names
 
 
+def _parts(items: DataFrame, window: int) -> DataFrame:
+    """``item, text``: items of more than PART_WORDS words in parts that overlap, so that each window is in one part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = texts_of(batch.column("text"))
+            for lo, hi in spans(offsets):
+                words = words_of(data, offsets[lo : hi + 1], ALNUM)
+                for r in range(hi - lo):
+                    a, b = int(words.first[r]), int(words.first[r + 1])
+                    for at in range(a, b if b - a > PART_WORDS else min(b, a + 1), PART_WORDS):
+                        end = b if b - a <= PART_WORDS else min(b, at + PART_WORDS + window - 1)
+                        if at == a or end - at >= window:
+                            yield pa.RecordBatch.from_arrays([batch.column("item").slice(lo + r, 1), pa.array([words.data[words.starts[at] : words.ends[end - 1]].tobytes().decode()], pa.string())], ["item", "text"])
+
+    return items.mapInArrow(run, "item string, text string")
+
+
 def _pass(docs: DataFrame, patterns: list[Patterns], names: list[str], keep_text: bool) -> DataFrame:
     """Adds the hits and items of one block of patterns to what ``docs(doc_id, text, hits, items)`` has."""
 
@@ -129,10 +145,10 @@ def _pass(docs: DataFrame, patterns: list[Patterns], names: list[str], keep_text
                     start, which = p.search(hashes, ends)
                     rows = np.searchsorted(ends, start, "right") - 1
                     for s, w, r in zip(start.tolist(), which.tolist(), rows.tolist(), strict=True):
-                        if words.text(s, s + p.m) == p.texts[w]:
+                        if words.text(s, s + p.m) == p.text(w):
                             at = seen.setdefault(r, ([], set()))
                             at[0].append((s - int(ends[r]), s - int(ends[r]) + p.m))
-                            at[1].update(p.items[w])
+                            at[1].add(int(p.item[w]))
                 counts += np.diff(ends).tolist()
                 hits += [seen[r][0] if r in seen else [] for r in range(hi - lo)]
                 items += [sorted(names[i] for i in seen[r][1]) if r in seen else [] for r in range(hi - lo)]
@@ -164,11 +180,14 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_co
     ids (as strings) of the items they come from. An item of fewer words than ``window`` is one
     pattern; one without words or with a null text or id is none. Null and empty texts have no
     words; rows with one id are each their own document. A benchmark of more than ``pass_bytes`` is
-    searched for in several passes, none of which holds more than that on the driver.
+    searched for in several passes. Of a pass the driver and each task hold the text and arrays of about 60 bytes
+    for each of its words (some ten times the text, measured in a test); long items are cut into parts before.
     """
     own = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")).where("item is not null and text is not null")
-    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size, longest = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.max(F.octet_length("text")), F.lit(0))).first()
     passes = max(1, -(-size // pass_bytes))
+    if longest > 2 * PART_WORDS:  # only then can an item have more words than a part
+        own = _parts(own, window)
     found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.expr("cast(array() as array<struct<start:long,stop:long>>)").alias("hits"), F.expr("cast(array() as array<string>)").alias("items"))
     for k in range(passes):
         block = own if passes == 1 else own.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k)

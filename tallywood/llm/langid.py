@@ -164,23 +164,33 @@ def windows_of(data: np.ndarray, offsets: np.ndarray, size: int = WINDOW) -> tup
     begin = offsets[row] + (np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)) * size
     at = begin[:, None] + np.arange(size)
     inside = at < offsets[row + 1][:, None]
-    return np.where(inside, data[np.where(inside, at, 0)] if len(data) else 0, PAD).astype(np.int64), row
+    if not len(row):
+        return np.empty((0, size), np.int64), row
+    # a byte has no room for PAD, so the bytes are widened first
+    return np.where(inside, data[np.where(inside, at, 0)].astype(np.int64), PAD), row
 
 
 def sample_windows(docs: DataFrame, per_language: int = WINDOWS_PER_LANGUAGE, window: int = WINDOW, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``lang, part``: at most ``per_language`` labelled stretches of ``window`` characters, of different texts.
 
-    Rows are picked, and the stretch within a text placed, by hashes of the text.
+    Rows are picked, and the stretch within a text placed, by hashes of the text: those of the least
+    hashes. What can't be among them, by a count of a language's texts, goes before anything moves, so
+    a task sorts a few times ``per_language`` rows however many a language has.
     """
     own = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and length(text) > 0")
-    own = own.withColumn("h", F.xxhash64("text")).withColumn("at", F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - window, F.lit(1))).cast("int") + 1)
+    own = own.withColumn("h", F.shiftrightunsigned(F.xxhash64("text"), 1))
+    # about so many different texts, to 5 %; twice the share that is wanted holds enough of them
+    counts = own.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
+    most = F.when(F.col("n") <= 2 * per_language, F.lit(2.0**63)).otherwise(2.0 * per_language / F.col("n") * 2.0**63)
+    own = own.join(counts.select("lang", most.alias("most")), "lang").where(F.col("h") <= F.col("most"))
+    own = own.withColumn("at", F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - window, F.lit(1))).cast("int") + 1)
     own = own.select("lang", "h", F.expr(f"substring(text, at, {window})").alias("part")).distinct()
     return own.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "part"))).where(F.col("n") <= per_language).select("lang", "part")
 
 
 def learn(docs: DataFrame, **options) -> ByteNetwork | None:
     """A network for the languages that label ``docs``; None where no row has both a text and a language."""
-    rows = sorted((r.lang, r.part) for r in sample_windows(docs).collect())  # bounded by the sample's parameter
+    rows = sorted((r.lang, r.part) for r in sample_windows(docs).collect())  # at most WINDOWS_PER_LANGUAGE of a language
     if not rows:
         return None
     languages = sorted({lang for lang, _ in rows})

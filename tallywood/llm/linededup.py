@@ -63,22 +63,26 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with its repeated chunks cut out of ``text_col``, and ``removed_lines``, how many lines went.
 
-    All other columns stay as they are. A text keeps the order and the line ends of what is left; one
-    of which all is repeated becomes empty; null stays null with 0 removed. A chunk of one line or of
-    fewer than CHARS characters always stays. An empty table gives no rows.
+    All other columns stay as they are, whatever their names; a ``removed_lines`` that ``docs`` has already
+    is replaced. A text keeps the order and the line ends of what is left; one of which all is repeated
+    becomes empty; null stays null with 0 removed. A chunk of one line or of fewer than CHARS characters
+    always stays. Rows of equal id and text are cut alike. An empty table gives no rows.
     """
+    # all of a row is one column, so that no name of its own meets an inner one
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     again = repeated_chunks(docs, id_col, text_col).toDF("_last_id", "_part", "_places")
-    both = _keyed(docs, id_col, text_col, ("_last_id", "_part")).join(again, ["_last_id", "_part"], "left")
+    both = _keyed(rows, "id", "text", ("_last_id", "_part")).drop("id", "text").join(again, ["_last_id", "_part"], "left")
     # only a text that loses something is cut up
-    cut = both.withColumn("_text", F.when(F.col("_places").isNotNull(), F.col(text_col)))
-    cut = _chunked(cut, "_text")
+    text = F.col("row").getField(text_col)
+    cut = _chunked(both.withColumn("_text", F.when(F.col("_places").isNotNull(), text)), "_text")
     gone = F.aggregate(F.filter("_chunks", lambda c, k: F.array_contains(F.col("_places"), k)), F.lit(0), lambda n, c: n + F.size(c))
     left = F.array_join(F.flatten(F.filter("_chunks", lambda c, k: ~F.array_contains(F.col("_places"), k))), "\n")
     kind = dict(docs.dtypes)[text_col]
-    after = F.struct(F.when(F.col("_places").isNull(), F.col(text_col)).otherwise(left.cast(kind)).alias("_after"), F.coalesce(gone, F.lit(0)).cast("long").alias("_gone"))
+    after = F.struct(F.when(F.col("_places").isNull(), text).otherwise(left.cast(kind)).alias("_after"), F.coalesce(gone, F.lit(0)).cast("long").alias("_gone"))
     # a generator, so that no filter on the results moves below and has the chunks made again for each line
-    cut = cut.select(*docs.columns, F.inline_outer(F.array(after)))
-    return cut.select(*(F.col("_after").alias(c) if c == text_col else c for c in docs.columns), F.col("_gone").alias("removed_lines"))
+    cut = cut.select("row", F.inline_outer(F.array(after)))
+    own = [F.col("_after").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() != "removed_lines"]
+    return cut.select(*own, F.col("_gone").alias("removed_lines"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

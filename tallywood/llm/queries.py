@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-from tallywood.llm import ann, decontam, langid, licenses, linededup, neardup, packing, quality, secrets, substring
+from tallywood.llm import ann, decontam, langid, licenses, linededup, neardup, packing, pipeline, quality, secrets, substring
 
 QUERIES = {
     f.__name__: f
@@ -20,7 +19,7 @@ QUERIES = {
         neardup.op10_minhash_near_dedup,
     )
 }
-QUERIES["pipeline"] = corpus_pipeline.run
+QUERIES["pipeline"] = pipeline.run
 
 OP2 = r"""
 with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
@@ -62,5 +61,5 @@ from d left join n using (doc_id) left join least_of on x = d.doc_id
 """
 
 ORACLES = {"op2_benchmark_decontamination": OP2, "op5_line_dedup": OP5, "op10_minhash_near_dedup": OP10}
-if corpus_pipeline.ORACLE_SQL:
-    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+if pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = pipeline.ORACLE_SQL

@@ -65,5 +65,44 @@ def test_bounds_hold():
     rng = np.random.default_rng(1)
     v, q = rng.standard_normal((500, 64)), rng.standard_normal((40, 64))
     turn = ann.rotation(64, 512)
-    estimate, off = ann.bounds(*ann.encode(v, turn), q, turn, 3.0)
+    packed, norm, correction = ann.encode(v, turn)
+    estimate, off = ann.bounds(np.unpackbits(packed, axis=1, count=512).astype(np.float32), norm, correction, q, turn, 3.0)
     assert (np.abs(estimate - v @ q.T) <= off).mean() > 0.99
+
+
+def test_cells_that_cannot_hold_a_neighbour_are_left_out(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CODES", 40)
+    rng = np.random.default_rng(2)
+    middle = rng.standard_normal((20, 16)) * 20
+    rows = [(i, (middle[i % 20] + rng.standard_normal(16)).astype(np.float32).tolist()) for i in range(800)]
+    check(spark, rows, 10, 0.99)
+
+
+def test_lengths_are_compared_among_themselves(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.standard_normal(4 + i % 2).tolist()) for i in range(60)]
+    table = spark.createDataFrame([(i, v, 0, "") for i, v in rows], SCHEMA)
+    got = ann.nearest(table, lambda c: c % 5 == 0, 5).collect()
+    assert {(r.query_id % 2, r.vec_id % 2) for r in got} == {(0, 0), (1, 1)} and len(got) == 12 * 5
+    for q, v in rows[::5]:
+        near = sorted((-float(np.dot(np.array(v, np.float32).astype(float), np.array(w, np.float32).astype(float))), i) for i, w in rows if i != q and len(w) == len(v))[:5]
+        assert {r.vec_id for r in got if r.query_id == q} == {i for _, i in near}
+    many = spark.createDataFrame([(i, [1.0] * (i + 1), 0, "") for i in range(20)], SCHEMA)
+    try:
+        ann.nearest(many, lambda c: c % 5 == 0)
+        raise AssertionError
+    except ValueError:
+        pass
+
+
+def test_op6_recall(spark):
+    """All queries of the small table against brute force."""
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").toPandas()
+    v = np.stack(table["embedding"]).astype(float)
+    got = ann.op6_nearest_neighbours(spark, "/root/testdata/sf0.01").toPandas()
+    hits = 0
+    for n, q in enumerate(table["vec_id"]):
+        if q % 20 == 0:
+            near = sorted((-float(s), i) for s, i in zip(v @ v[n], table["vec_id"], strict=True) if i != q)[:20]
+            hits += len({i for _, i in near} & set(got[got["query_id"] == q]["vec_id"]))
+    assert hits >= 0.9 * len(got) and len(got) == 20 * (table["vec_id"] % 20 == 0).sum()

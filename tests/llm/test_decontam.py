@@ -31,8 +31,9 @@ def brute(docs, items):
     return out
 
 
-@pytest.mark.parametrize("pass_bytes", [1 << 20, 200])
-def test_as_brute_force(spark, make_docs, pass_bytes):
+@pytest.mark.parametrize(("pass_bytes", "part_words"), [(1 << 20, 50_000), (200, 50_000), (1 << 20, 15)])
+def test_as_brute_force(spark, make_docs, pass_bytes, part_words, monkeypatch):
+    monkeypatch.setattr(decontam, "PART_WORDS", part_words)
     rng = random.Random(5)
     vocab = ["the", "of", "a", "É", "x1", "Über", "42"]
     words = lambda n: [rng.choice(vocab) for _ in range(n)]
@@ -51,3 +52,19 @@ def test_empty_tables(spark, make_docs):
     row = decontam.contaminated(decontam.find_passages(make_docs(["a b"]), none)).first()
     assert (row.n_words, row.n_hit, row.contaminated) == (2, 0, False)
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_memory_of_a_pass():
+    """8 MB of benchmark take well under 500 MB on the driver, and about ten times the text in a task."""
+    import pickle
+    import tracemalloc
+
+    rng = random.Random(0)
+    vocab = [f"word{k}" for k in range(20_000)]
+    items = [(str(i), " ".join(rng.choices(vocab, k=1000))) for i in range(950)]
+    assert 8e6 < sum(len(t) for _, t in items) < 1e7
+    tracemalloc.start()
+    patterns, names = decontam.compile_patterns(items, 13)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500e6 and len(pickle.dumps((patterns, names))) < 120e6

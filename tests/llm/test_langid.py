@@ -68,3 +68,50 @@ def test_copies_of_a_text_take_one_place_of_the_sample(spark):
     for many in (40, 100):
         parts = [r.part for r in langid.sample_windows(spark.createDataFrame(rows, "lang string, text string"), many).collect()]
         assert len(parts) == len(set(parts)) == min(many, 61)
+
+
+def test_the_sample_is_of_the_least_hashes(spark):
+    rows = [("en", f"text {k} of a language with many texts") for k in range(3000)] + [("de", f"text {k}") for k in range(30)] + [(None, "x"), ("de", "")]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    got = langid.sample_windows(docs, 40, window=200)
+    named = docs.where("lang is not null and text <> ''").selectExpr("lang", "text", "shiftrightunsigned(xxhash64(text), 1) as h").collect()
+    want = {("de", r.text) for r in named if r.lang == "de"} | {("en", r.text) for r in sorted((r for r in named if r.lang == "en"), key=lambda r: r.h)[:40]}
+    assert {(r.lang, r.part) for r in got.collect()} == want
+
+
+def test_identify_as_a_plain_forward_pass(spark):
+    """Every byte through the gates one by one, in windows, against the batched network."""
+    net = langid.learn(spark.createDataFrame(documents(100), SCHEMA), steps=30)
+    squash = lambda x: x / (1 + abs(x))
+
+    def states(data, k):
+        hidden = net.us[k].shape[1]
+        h, out = np.zeros(hidden), []
+        for byte in data:
+            x, own = net.tables[k][:, byte].astype(float), net.us[k].astype(float) @ h
+            z, r = (0.5 + 0.5 * squash(x[n * hidden : (n + 1) * hidden] + own[n * hidden : (n + 1) * hidden]) for n in (0, 1))
+            fresh = squash(x[2 * hidden :] + r * own[2 * hidden :])
+            h = z * h + (1 - z) * fresh
+            out.append(h)
+        return out
+
+    texts = ["abc abd", "é aaa " * 40, "b", "xyz " * 33]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame([(i, t, None, 0.0) for i, t in enumerate(texts)], SCHEMA), net).collect()}
+    for i, t in enumerate(texts):
+        data, total = t.encode(), np.zeros(len(net.languages))
+        for at in range(0, len(data), langid.WINDOW):
+            window = list(data[at : at + langid.WINDOW])
+            padded = window + [langid.PAD] * (langid.WINDOW - len(window))
+            one, two = states(padded, 0), states(padded[::-1], 1)[::-1]
+            for a, b in list(zip(one, two, strict=True))[: len(window)]:
+                e = np.exp(net.v.astype(float) @ np.concatenate([a, b]) + net.c[:, 0])
+                total += e / e.sum()
+        total /= len(data)
+        assert got[i].lang_pred == net.languages[int(total.argmax())] and got[i].score == pytest.approx(total.max(), abs=1e-4)
+
+
+def test_windows_are_filled_up_with_what_is_no_byte():
+    import pyarrow as pa
+
+    windows, row = langid.windows_of(*langid.texts_of(pa.array(["abc", "", "d" * 70])), size=8)
+    assert (windows != langid.PAD).sum() == 73 and row.tolist() == [0] + [2] * 9 and windows[0, :4].tolist() == [97, 98, 99, langid.PAD]

@@ -1,7 +1,7 @@
 import random
 
-import corpus_pipeline
 from tallywood.llm import langid
+from tallywood.llm import pipeline as corpus_pipeline
 from test_decontam import brute as contaminated
 from test_linededup import brute as cut_lines
 from test_neardup import brute as near
@@ -9,8 +9,8 @@ from test_neardup import brute as near
 
 def tables(spark, path, texts):
     rng = random.Random(4)
-    rows = [(i, t, rng.choice(["en", None]) if t else None, "s", len(t or ""), "x") for i, t in enumerate(texts)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, places string").write.parquet(f"{path}/documents.parquet")
+    rows = [(i, t, rng.choice(["en", None]) if t else None, "s", len(t or ""), "x", 1, "y", "z", 2, "w") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, places string, _id long, _places string, _chunks string, removed_lines int, inner_0 string").write.parquet(f"{path}/documents.parquet")
     return {i: t for i, t in enumerate(texts)}
 
 
@@ -37,6 +37,7 @@ def test_each_stage_against_a_plain_version(spark, tmp_path):
         if name == "best_fit_packing":
             break
         assert now.columns == columns
+        assert not now.where("not (places = 'x' and _id = 1 and _places = 'y' and _chunks = 'z' and removed_lines = 2 and inner_0 = 'w')").count()
         after, ids = {r.doc_id: r.text for r in now.collect()}, sorted(before)
         if name == "language_id":
             want = {i: t for i, t in docs.items() if t and any(c.isalpha() for c in t)}
@@ -59,3 +60,26 @@ def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     assert langid.UNKNOWN == "und"
+
+
+def test_the_script_has_the_same_stages():
+    import corpus_pipeline as script
+
+    assert script.STAGES is corpus_pipeline.STAGES and script.run is corpus_pipeline.run
+
+
+def test_documents_of_no_one_language_go(spark, tmp_path):
+    rng = random.Random(1)
+    kinds = {"aa": "abcde", "bb": "vwxyz"}
+    text = lambda kind, n: " ".join("".join(rng.choices(kinds[kind], k=5)) for _ in range(n))
+    rows = [(i, text(kind, 60), kind) for i, kind in enumerate(["aa", "bb"] * 100)]
+    rows += [(1000, text("aa", 60) + " " + text("bb", 60), "aa"), (1001, "1234 5678", None), (1002, "", "aa"), (1003, None, "bb"), (None, "12", None), (None, text("aa", 9), "aa"), (1004, "ab vw", None)]
+    docs = spark.createDataFrame([(*r, "s", 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()}
+    assert left == {*range(200), None, 1004}
+
+
+def test_repeated_rows_stay_once(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (3, "h i j k l m"), (None, "x y"), (None, "x z")], "doc_id long, text string")
+    left = sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert left == [(0, "x y"), (0, "x z"), (1, "a b c d e f g"), (3, "h i j k l m")]
