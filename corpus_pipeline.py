@@ -1,76 +1,5 @@
-"""From raw documents to packed sequences: five stages, each written as Parquet and read by the next.
+"""The corpus pipeline: STAGES, ``run`` over ``documents``, and its SQL; the code is in tallywood/llm/pipeline.py."""
 
-Rows with one ``doc_id`` are one document throughout. A row with a null id is never rejected and never
-linked; it may lose passages that other documents have. An empty table passes through every stage.
-"""
+from tallywood.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tallywood.llm import _shared, decontam, langid, linededup, neardup, packing
-
-#: A document whose likeliest language has less than this pooled probability is rejected.
-LEAST_LANGUAGE_SCORE = 0.3
-
-
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """``docs`` without the ids of ``rejected``; the rejected ids are broadcast only if they turn out small."""
-    return docs.join(rejected.select(F.col("doc_id").alias("_id")).where("_id is not null").distinct(), F.col("doc_id") == F.col("_id"), "left_anti")
-
-
-def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a language; texts without a letter, or of no likely language, go."""
-    net = langid.learn(docs.where(_shared.fold("doc_id", 5) != 0))
-    if net is None:
-        return docs
-    found = langid.identify(docs, net)
-    return _without(docs, found.where((F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") < LEAST_LANGUAGE_SCORE)))
-
-
-def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of several lines that stand earlier; a text of which nothing is left goes."""
-    cut = linededup.remove_repeated_lines(docs)
-    cut = cut.where((F.col("removed_lines") == 0) | (F.trim("text") != ""))
-    return cut.select(*docs.columns)
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of least id, of each group of near-duplicates."""
-    return _without(docs, neardup.near_duplicates(docs).where("not kept"))
-
-
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage to speak of."""
-    found = decontam.find_passages(docs, _shared.table(spark, sf_dir, "benchmark"))
-    return _without(docs, decontam.contaminated(found).where("contaminated"))
-
-
-def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of what is left, and their places in sequences."""
-    return packing.pack_documents(docs)
-
-
-STAGES = [
-    ("language_id", language_id),
-    ("line_dedup", line_dedup),
-    ("near_dedup", near_dedup),
-    ("decontamination", decontamination),
-    ("best_fit_packing", best_fit_packing),
-]
-
-#: The network, the tokenizer and the components can't be said in SQL; tests hold each stage against a plain version.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each returns lies as Parquet in the shared folder."""
-    folder = f"{_shared.folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = _shared.table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
