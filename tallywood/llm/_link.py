@@ -1,10 +1,10 @@
 """Exact similarity components among sets of hashes, from candidate keys.
 
-Sets that share a key are candidates. First each set is compared with the least set of each of its
-keys, which joins what is really alike. What is left are keys whose sets lie in different components:
-there all pairs of different components are compared, key by key, in cells of two bounded blocks. So a
-candidate pair is always compared or already joined, loose candidates never chain up across keys, and
-no task holds a whole key.
+Sets that share a key are candidates. Keys that overlap form groups; a group is compared at once where
+that moves fewer sets than comparing each of its keys by itself, so keys with much the same members
+cost once, and loose candidates that chain up across keys cost no more than their keys. Comparisons go
+by cells of two bounded blocks: every candidate pair is compared or already joined, and no task holds a
+whole key or group. A large cell returns only a spanning forest of its links.
 """
 
 from __future__ import annotations
@@ -27,14 +27,13 @@ MOST_NAMED = 1 << 21
 
 
 def _members(keys: DataFrame) -> DataFrame:
-    """``key, node, least``: the members of all keys that have two or more different nodes."""
+    """``key, node``: the members of all keys that have two or more different nodes."""
     # two 32-bit digests say whether a key's nodes differ, and combine before they move
     digest = F.hash("node")
     often = keys.groupBy("key").agg(F.min(digest).alias("low"), F.max(digest).alias("high")).where("low <> high").select("key")
     often = _shared.cut(often)
     named = F.broadcast(often) if often.count() <= MOST_NAMED else often
-    own = _shared.cut(keys.join(named, "key").distinct())
-    return own.join(own.groupBy("key").agg(F.min("node").alias("least")), "key")
+    return keys.join(named, "key").select("key", "node").distinct()
 
 
 def _gather(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -43,7 +42,7 @@ def _gather(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray
 
 
 class _Cells:
-    """Rows of whole cells: cell, side, node, the group it is in, and its set.
+    """Rows of whole cells: cell, side, node, and its set.
 
     ``side`` has bit 1 for the left and bit 2 for the right; a cell's left sets are compared with its right ones.
     """
@@ -54,7 +53,7 @@ class _Cells:
 
     @classmethod
     def of(cls, batch: pa.RecordBatch, held: _Cells | None) -> _Cells:
-        columns = [batch.column(c).to_numpy() for c in ("cell", "side", "node", "of")]
+        columns = [batch.column(c).to_numpy() for c in ("cell", "side", "node")]
         sets = batch.column("hashes").cast(pa.large_binary())
         _, offsets, data = sets.buffers()
         at = np.frombuffer(offsets, np.int64)[sets.offset : sets.offset + len(sets) + 1]
@@ -68,7 +67,7 @@ class _Cells:
         return _Cells([c[lo:hi] for c in self.columns], self.size[lo:hi], self.flat[self.begin[lo] if lo < len(self.size) else end : end])
 
     def links(self, part: float, whole: float) -> list[tuple[int, int]]:
-        cell, side, node, group = self.columns
+        cell, side, node = self.columns
         if not len(cell):
             return []
         edge = np.append(np.flatnonzero(np.append(True, cell[1:] != cell[:-1])), len(cell))
@@ -84,7 +83,7 @@ class _Cells:
             first = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
             j = edge[of_cell[i]] + np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i))))
             least, most = np.minimum(self.size[i], self.size[j]), np.maximum(self.size[i], self.size[j])
-            meet = (side[j] & 2 > 0) & (group[i] != group[j]) & ((side[i] != 3) | (j > i)) & (part * least >= whole * most)
+            meet = (side[j] & 2 > 0) & (node[i] != node[j]) & ((side[i] != 3) | (j > i)) & (part * least >= whole * most)
             i, j = i[meet], j[meet]
             # so many pairs that their sets have some million hashes
             step = max(1, int((1 << 21) // max(1, int((self.size[i] + self.size[j]).mean() if len(i) else 1))))
@@ -101,10 +100,10 @@ class _Cells:
 
     def _large(self, part: float, whole: float) -> list[tuple[int, int]]:
         """Of one cell a forest that joins what is linked."""
-        _, side, node, group = self.columns
+        _, side, node = self.columns
         size, begin = self.size, self.begin
         flat = np.unique(self.flat, return_inverse=True)[1]
-        root = np.unique(group, return_inverse=True)[1]
+        root = np.unique(node, return_inverse=True)[1]
         seen = np.zeros(int(flat.max(initial=0)) + 1, np.int32)
         out = []
         others = np.flatnonzero(side & 2)
@@ -135,8 +134,8 @@ class _Cells:
 
 
 def _compare(cells: DataFrame, sets: DataFrame, part: float, whole: float) -> DataFrame:
-    """``a, b``: the links of ``cells(cell, side, node, of)``; ``of`` names the group that a node is already in."""
-    rows = cells.join(sets, "node").select("cell", "side", "node", "of", "hashes")
+    """``a, b``: the links of ``cells(cell, side, node)``."""
+    rows = cells.join(sets, "node").select("cell", "side", "node", "hashes")
     rows = rows.repartition("cell").sortWithinPartitions("cell", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,6 +161,20 @@ def _blocks(rows: DataFrame, by: str) -> DataFrame:
     return rows.join(rows.groupBy(by).agg(many), by).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
 
 
+def _units(members: DataFrame) -> DataFrame:
+    """``unit, node``: what is compared of ``members(key, node)``, a key or a connected group of keys."""
+    shipped = lambda n: F.col(n) * F.ceil(F.col(n) / BLOCK_SETS)
+    keys = members.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n"))
+    edges = members.join(keys.select("key", "a"), "key").select("a", F.col("node").alias("b"))
+    groups = _shared.cut(_shared.components(edges))
+    of_key = keys.join(groups, F.col("a") == F.col("node")).select("key", "component", shipped("n").alias("cost"))
+    whole = groups.groupBy("component").agg(F.count("*").alias("m")).select("component", shipped("m").alias("whole"))
+    cost = of_key.groupBy("component").agg(F.sum("cost").alias("cost")).join(whole, "component")
+    unit = F.when(F.col("whole") <= F.col("cost"), F.xxhash64(F.lit("group"), "component")).otherwise(F.xxhash64(F.lit("key"), "key"))
+    named = of_key.drop("cost").join(cost, "component").select("key", unit.alias("unit"))
+    return members.join(named, "key").select("unit", "node").distinct()
+
+
 def linked(nodes: DataFrame | int, keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], part: int, whole: int) -> DataFrame:
     """``(node, component)`` of every node that is linked to another.
 
@@ -170,24 +183,10 @@ def linked(nodes: DataFrame | int, keys: DataFrame, sets_of: Callable[[DataFrame
     gives ``node`` and ``hashes`` (its set, as sorted distinct little-endian 64-bit integers) for the
     nodes of a DataFrame ``few``. The component is named by its least node.
     """
-    members = _shared.cut(_members(keys))
     sized = lambda rows: rows.withColumn("size", F.lit(nodes)) if isinstance(nodes, int) else rows.join(nodes.select("node", "size"), "node")
-    # every set meets the least set of each of its keys: a hub's partners are dealt to cells, each with the hub's set
-    stars = sized(members.where("node <> least").select("least", "node").distinct())
-    stars = _shared.cut(_blocks(stars, "least").select("least", "block", "node", F.xxhash64("least", "block").alias("cell")))
-    cells = stars.select("cell", F.lit(2).alias("side"), "node").union(stars.select("cell", F.lit(1), "least").distinct())
-    links = _shared.cut(_compare(cells.withColumn("of", F.col("node")), sets_of(cells.select("node")), part, whole))
-    found = _shared.cut(_shared.components(links))
-    # keys that still hold different components; of keys with the same members one is enough
-    now = members.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("of"))
-    apart = now.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high"), F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same"))
-    apart = apart.where("low <> high and n > 2").groupBy("n", "same").agg(F.min("key").alias("key"))
-    rest = _shared.cut(_blocks(sized(now.join(apart.select("key"), "key")), "key"))
-    if not rest.limit(1).count():
-        return found
+    units = _shared.cut(_blocks(sized(_units(_shared.cut(_members(keys)))), "unit"))
     # block i meets block j >= i in the cell (i, j)
-    cells = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("block") == F.col("other"), 3).when(F.col("block") < F.col("other"), 1).otherwise(2)
-    cells = cells.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), side.alias("side"), "node", "of")
-    more = _compare(cells, sets_of(rest.select("node")), part, whole)
-    return _shared.components(links.union(more))
+    cells = cells.select(F.xxhash64("unit", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), side.alias("side"), "node")
+    return _shared.components(_compare(cells, sets_of(units.select("node")), part, whole))

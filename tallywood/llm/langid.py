@@ -182,7 +182,8 @@ def sample_windows(docs: DataFrame, per_language: int = WINDOWS_PER_LANGUAGE, wi
     # about so many different texts, to 5 %; twice the share that is wanted holds enough of them
     counts = own.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
     most = F.when(F.col("n") <= 2 * per_language, F.lit(2.0**63)).otherwise(2.0 * per_language / F.col("n") * 2.0**63)
-    own = own.join(counts.select("lang", most.alias("most")), "lang").where(F.col("h") <= F.col("most"))
+    # a row for each language, of which the network has an output each
+    own = own.join(F.broadcast(counts.select("lang", most.alias("most"))), "lang").where(F.col("h") <= F.col("most"))
     own = own.withColumn("at", F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - window, F.lit(1))).cast("int") + 1)
     own = own.select("lang", "h", F.expr(f"substring(text, at, {window})").alias("part")).distinct()
     return own.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "part"))).where(F.col("n") <= per_language).select("lang", "part")
