@@ -3,8 +3,8 @@
 Everything is DataFrame functions. A text is split by each pattern, so that the lengths of the pieces
 give the places of the matches. Tokens get chi-squared uniformity, runs and serial-correlation tests
 in the encoding that their characters suggest; as many decoys, stretches of the plain text before
-the tokens of the same length, set the threshold for each range of lengths so that the share of
-decoys among what passes is controlled.
+the tokens of the same length tested in the same encoding, set the threshold for each encoding and
+range of lengths so that the share of decoys among what passes is controlled.
 """
 
 from __future__ import annotations
@@ -49,20 +49,28 @@ def _tail(z: Column) -> Column:
     return 1 / (1 + F.exp(1.5976 * z + 0.070566 * z * z * z))
 
 
-def with_randomness(rows: DataFrame, token: str, out: str) -> DataFrame:
+def encoding(t: Column) -> Column:
+    """The first alphabet that has all characters of ``t``; null if none has."""
+    return F.coalesce(*(F.when(t.rlike(f"^[{a}]+$" if "-" not in a else "^[A-Za-z0-9+/_-]+$"), F.lit(a)) for a in ALPHABETS))
+
+
+def with_randomness(rows: DataFrame, token: str, out: str, like: str | None = None) -> DataFrame:
     """``rows`` and ``out``: the probability, 0 to 1, that a random token of the same encoding looks no more random.
 
+    The encoding is that of the column ``like`` (else of the token); a token of other characters has null.
+
     Three tests (uniformity of characters by chi-squared, runs about the middle of the alphabet, and
     correlation of neighbours), combined by Fisher's method. Null for a token of under 2 characters
     or of others than the encodings have.
     """
     # each step is a column of its own, so that what a lambda looks up is made once for a token
     t = F.col(token)
-    alphabet = F.coalesce(*(F.when(t.rlike(f"^[{a}]+$" if "-" not in a else "^[A-Za-z0-9+/_-]+$"), F.lit(a)) for a in ALPHABETS))
+    alphabet = encoding(F.col(like or token))
     steps = rows.withColumn("_alphabet", F.when(F.length(t) > 1, alphabet)).withColumn("_size", F.length("_alphabet").cast("double"))
     steps = steps.withColumn("_chars", F.filter(F.split(t, ""), lambda c: c != ""))
     values = F.transform("_chars", lambda c: F.instr(F.col("_alphabet"), c).cast("double") - 1)
     steps = steps.withColumn("_values", F.when(F.col("_alphabet").isNotNull(), values))
+    steps = steps.withColumn("_values", F.when(~F.exists("_values", lambda x: x < 0), F.col("_values")))
     squares = F.aggregate(F.array_distinct("_values"), F.lit(0.0), lambda s, c: s + F.pow(F.size(F.filter("_values", lambda x: x == c)).cast("double"), F.lit(2.0)))
     start = F.struct(F.lit(-1.0).alias("last"), F.lit(0.0).alias("turns"), F.lit(0.0).alias("high"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("own"), F.lit(0.0).alias("next"))
 
@@ -105,26 +113,32 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``doc_id, spans array<struct<start, kind, stop, match>>`` for every row of ``docs``, in order.
 
     Places count code points, the end exclusive. ``kind`` is the place in KINDS: what the first three
-    patterns match always counts (an assigned value of 6 characters at least); ``random`` are tokens
-    with letters and digits that pass the tests. A null text counts as empty; rows with one id stay
+    patterns match always counts (an assigned value of 6 characters at least); ``random`` are tokens of 16
+    or more characters, with letters and digits, that pass the tests and lie in no span of a fixed pattern.
+    Tokens of letters alone, or with other characters than the encodings have, are no candidates. A null text counts as empty; rows with one id stay
     apart. An empty table gives no rows.
     """
     rows = _shared.cut(_spans(docs, id_col, text_col))
     tokens = rows.where((F.col("kind") == 3) & F.col("match").rlike("[0-9]") & F.col("match").rlike("[A-Za-z]"))
     length = sum((F.length("match") > end).cast("int") for end in LENGTHS)
     both = F.array(F.struct(F.lit(0).alias("fake"), F.col("match").alias("token")), F.struct(F.lit(1).alias("fake"), F.col("before").alias("token")))
-    tokens = tokens.select("row", "doc_id", "kind", "start", "stop", "match", length.alias("range"), F.inline(both)).where("fake = 0 or length(token) = length(match)")
-    tokens = with_randomness(tokens, "token", "p").withColumn("p", F.coalesce("p", F.lit(0.0)))
+    tokens = tokens.select("row", "doc_id", "kind", "start", "stop", "match", F.concat_ws(" ", encoding(F.col("match")), length.cast("string")).alias("range"), F.inline(both)).where("fake = 0 or length(token) = length(match)")
+    # a decoy is held against the encoding of its token, as chance would have to make one of those
+    tokens = with_randomness(tokens, "token", "p", like="match").withColumn("p", F.coalesce("p", F.lit(0.0)))
     tokens = _shared.cut(tokens.withColumn("step", F.least(F.floor(F.col("p") * STEPS), F.lit(STEPS - 1)).cast("int")))
     counts = tokens.groupBy("range", "step").agg(F.sum(1 - F.col("fake")).alias("token"), F.sum("fake").alias("fake"))
     up = Window.partitionBy("range").orderBy(F.desc("step"))
     passed = counts.withColumn("t", F.sum("token").over(up)).withColumn("f", F.sum("fake").over(up)).where(F.col("f") <= FALSE_SHARE * F.col("t"))
-    least = passed.groupBy("range").agg(F.min("step").alias("least"))  # a row for each range of lengths
+    least = passed.groupBy("range").agg(F.min("step").alias("least"))  # a row for each encoding and range of lengths
     random = tokens.where("fake = 0").join(F.broadcast(least), "range").where((F.col("step") >= F.col("least")) & (F.col("p") >= LEAST))
     span = F.struct("start", "kind", "stop", "match")
     base = rows.select("row", "doc_id", F.when(F.col("kind").isin(0, 1, 2) & F.col("fine"), span).alias("span"))
     both = base.union(random.select("row", "doc_id", span.alias("span")))
-    return both.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list("span")).alias("spans")).drop("row")
+    found = both.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list("span")).alias("spans"))
+    # what a fixed pattern found already isn't added a second time
+    fixed = F.filter("spans", lambda s: s["kind"] < 3)
+    fresh = lambda s: (s["kind"] < 3) | ~F.exists("fixed", lambda b: (b["start"] <= s["start"]) & (s["stop"] <= b["stop"]))
+    return found.withColumn("fixed", fixed).select("doc_id", F.filter("spans", fresh).alias("spans"))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

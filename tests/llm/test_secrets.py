@@ -82,3 +82,32 @@ def test_random_tokens_are_added_and_words_are_not(spark, make_docs):
 
 def test_empty_table(spark, make_docs):
     assert secrets.find_secrets(make_docs([])).count() == 0
+
+
+def test_recall_and_false_share_by_length_and_encoding(spark, make_docs):
+    """Random tokens set in text of random words; words with digits that aren't random are left alone."""
+    rng = random.Random(11)
+    kinds = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+    syllables = ["th", "er", "an", "ing", "tion", "ed", "on", "re", "st", "le", "ou", "en"]
+    word = lambda: "".join(rng.choices(syllables, k=rng.randint(1, 4)))
+    texts, want, dull = [], [], 0
+    for n in (16, 20, 23, 32, 40, 64):
+        for name, alphabet in kinds.items():
+            for _ in range(60):
+                token = "a"
+                while not (any(c.isdigit() for c in token) and any(c.isalpha() for c in token)):
+                    token = "".join(rng.choices(alphabet, k=n))
+                texts.append(" ".join([word() for _ in range(20)] + [token] + [word() for _ in range(5)]))
+                want.append((n, name, token))
+    for k in range(300):
+        texts.append(" ".join([word() for _ in range(20)] + ["thetheingtion" + str(k % 7) * 8, word()]))
+    got = {r.doc_id: {(s.kind, s.match) for s in r.spans} for r in secrets.find_secrets(make_docs(texts)).collect()}
+    hits = {}
+    for i, (n, name, token) in enumerate(want):
+        hits.setdefault((n, name), []).append(any(token.strip("+/") in m for _, m in got[i]))
+    for key, found in sorted(hits.items()):
+        print(key, sum(found) / len(found))
+    for n in (16, 20, 23, 32, 40, 64):
+        assert sum(sum(f) for (m, _), f in hits.items() if m == n) >= 0.9 * 60 * len(kinds)
+    false = sum(any(kind == 3 for kind, _ in got[i]) for i in range(len(want), len(texts)))
+    assert false <= 0.05 * sum(any(kind == 3 for kind, _ in x) for x in got.values())
