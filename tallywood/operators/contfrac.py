@@ -75,7 +75,7 @@ def stable(y: np.ndarray) -> bool:
 
 
 def optimal(hist: np.ndarray, max_terms: int, diagonal: int = 0) -> Fraction | None:
-    """The stable fraction of least degree for a dense histogram (index: multiplicity), or none."""
+    """The stable fraction of least degree for the leading bins of a histogram (index: multiplicity), or none."""
     if max_terms < 3 or max_terms >= len(hist):
         return None
     sign = np.where(np.arange(max_terms) % 2 == 0, 1.0, -1.0)
@@ -87,10 +87,33 @@ def optimal(hist: np.ndarray, max_terms: int, diagonal: int = 0) -> Fraction | N
     return None
 
 
-def dense(multiplicity: np.ndarray, n_keys: np.ndarray) -> np.ndarray:
-    out = np.zeros(int(max(multiplicity, default=0)) + 1)
-    out[np.asarray(multiplicity, int)] = n_keys
-    return out
+@dataclass
+class Histogram:
+    """The bins that a histogram has: multiplicities ``j`` in order and their keys ``h``. Its size is that of the bins, however large a multiplicity."""
+
+    j: np.ndarray
+    h: np.ndarray
+
+    @classmethod
+    def of(cls, multiplicity, n_keys) -> Histogram:
+        j, h = np.asarray(multiplicity, float), np.asarray(n_keys, float)
+        order = np.argsort(j)
+        order = order[h[order] > 0]
+        return cls(j[order], h[order])
+
+    @property
+    def total(self) -> float:
+        return float(self.j @ self.h)
+
+    @property
+    def distinct(self) -> float:
+        return float(self.h.sum())
+
+    def head(self, n: int) -> np.ndarray:
+        """The keys of multiplicities 0 to ``n``."""
+        out, few = np.zeros(n + 1), self.j <= n
+        out[self.j[few].astype(int)] = self.h[few]
+        return out
 
 
 def terms_of(hist: np.ndarray, max_terms: int) -> int:
@@ -100,31 +123,30 @@ def terms_of(hist: np.ndarray, max_terms: int) -> int:
     return n - n % 2
 
 
-def rarefied(hist: np.ndarray, sizes: np.ndarray, compat: str = "reference") -> np.ndarray:
+def rarefied(hist: Histogram, sizes: np.ndarray, compat: str = "reference") -> np.ndarray:
     """Expected distinct keys at sample sizes, as :func:`tallywood.operators.rarefy.rarefaction`."""
-    j = np.flatnonzero(hist > 0)
-    total, n = float(np.arange(len(hist)) @ hist), np.asarray(sizes, float)[:, None]
-    left = total - j
+    total, n = hist.total, np.asarray(sizes, float)[:, None]
+    left = total - hist.j
     with np.errstate(all="ignore"):
         ratio = np.exp(ln_gamma_np(left + 1) - ln_gamma_np(left - n + 1) + ln_gamma_np(total - n + 1) - ln_gamma_np(np.array(total + 1)))
-    unseen = np.where(left >= n, ratio * hist[j], 0.0)
-    return hist.sum() - (np.floor(unseen) if compat == "reference" else unseen).sum(axis=1)
+    unseen = np.where(left >= n, ratio * hist.h, 0.0)
+    return hist.distinct - (np.floor(unseen) if compat == "reference" else unseen).sum(axis=1)
 
 
-def curve(hist: np.ndarray, sizes: np.ndarray, max_terms: int, distinct: float | None = None, defects: bool = False, compat: str = "reference") -> np.ndarray | None:
+def curve(hist: Histogram, sizes: np.ndarray, max_terms: int, distinct: float | None = None, defects: bool = False, compat: str = "reference") -> np.ndarray | None:
     """Expected distinct keys at growing ``sizes``: rarefaction below the total, a continued fraction from there; none without a stable one.
 
     ``defects`` takes the fraction of all even terms, stable or not.
     """
-    total = float(np.arange(len(hist)) @ hist)
-    terms = terms_of(hist, max_terms)
+    total, head = hist.total, hist.head(max_terms + 1)
+    terms = terms_of(head, max_terms)
     if defects:
         sign = np.where(np.arange(terms) % 2 == 0, 1.0, -1.0)
-        fraction = Fraction.of(sign * hist[1 : terms + 1]) if terms else None
+        fraction = Fraction.of(sign * head[1 : terms + 1]) if terms else None
     else:
-        fraction = optimal(hist, terms)
+        fraction = optimal(head, terms)
     if fraction is None:
         return None
     fold = (sizes[sizes >= total] - total) / total
-    beyond = (hist.sum() if distinct is None else distinct) + fold * fraction(fold)
+    beyond = (hist.distinct if distinct is None else distinct) + fold * fraction(fold)
     return np.concatenate([rarefied(hist, sizes[sizes < total], compat), beyond])

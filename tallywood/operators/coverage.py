@@ -41,9 +41,14 @@ def hashed_bins(intervals: DataFrame, bin_size: int, key: Sequence[str], start:
     return rows.where(hash_uniform(*keys, F.col("bin")) <= part).drop("_s", "_e")
 
 
-def base_bins(reads: DataFrame, bin_size: int, key: Sequence[str], start: str = "start", seq: str = "seq") -> DataFrame:
-    """``reads`` exploded to ``bin`` with chance in proportion to the bases of the bin that are known (not N)."""
+def base_bins(reads: DataFrame, bin_size: int, key: Sequence[str], start: str = "start", seq: str = "seq", end: str = "end", max_width: int | None = None) -> DataFrame:
+    """``reads`` exploded to ``bin`` with chance in proportion to the bases of the bin that are known (not N).
+
+    A read that is wider, from ``start`` to ``end``, than ``max_width`` is an error.
+    """
     b = F.lit(bin_size)
+    if max_width is not None:
+        reads = _limit(reads, start, end, max_width).where(F.col(end).isNotNull())  # the filter has every width looked at
     first, last = F.floor(F.col(start) / b), F.floor((F.col(start) + F.length(seq) - 1) / b)
     rows = reads.withColumn("bin", F.explode(F.when(F.length(seq) > 0, F.sequence(first, last))))
     lo = F.greatest(F.col("bin") * b - F.col(start), F.lit(0))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -48,9 +49,9 @@ def quick_curve(hist: DataFrame, step: float = 1e6, most: float = 1e10, max_term
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = contfrac.dense(pdf["multiplicity"].to_numpy(), pdf["n_keys"].to_numpy())
+        h = contfrac.Histogram.of(pdf["multiplicity"], pdf["n_keys"])
         status = _judged(h, max_terms)
-        unit = float(np.arange(len(h)) @ h) if in_totals else 1.0
+        unit = h.total if in_totals else 1.0
         x = _sizes(step * unit, most * unit) if status == "ok" else None
         y = contfrac.curve(h, x, max_terms, defects=defects, compat=compat) if status == "ok" else None
         if y is None:
@@ -60,16 +61,16 @@ def quick_curve(hist: DataFrame, step: float = 1e6, most: float = 1e10, max_term
     return _grouped(hist, by).applyInPandas(one, f"{_fields(hist, by)}x double, expected_distinct double, status string")
 
 
-def _judged(h: np.ndarray, max_terms: int) -> str:
-    sign = np.where(np.arange(len(h)) % 2 == 1, 1.0, -1.0)
-    return "saturated" if sign @ h < 0 else "too_shallow" if contfrac.terms_of(h, max_terms) < 4 else "ok"
+def _judged(hist: contfrac.Histogram, max_terms: int) -> str:
+    sign = np.where(hist.j % 2 == 1, 1.0, -1.0)
+    return "saturated" if sign @ hist.h < 0 else "too_shallow" if contfrac.terms_of(hist.head(max_terms + 1), max_terms) < 4 else "ok"
 
 
 def fraction_of(hist: DataFrame, max_terms: int = 100, by: Sequence[str] = ()) -> DataFrame:
     """``by, degree, ps, cf``: the stable fraction of each histogram; degree 0 where there is none."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = contfrac.dense(pdf["multiplicity"].to_numpy(), pdf["n_keys"].to_numpy())
+        h = contfrac.Histogram.of(pdf["multiplicity"], pdf["n_keys"]).head(max_terms + 1)
         terms = contfrac.terms_of(h, max_terms)
         f = contfrac.optimal(h, terms)
         series = np.where(np.arange(terms) % 2 == 0, 1.0, -1.0) * h[1 : terms + 1]
@@ -82,7 +83,8 @@ def quick_bound(hist: DataFrame, most_points: int = 10, by: Sequence[str] = ())
     """``by, estimate, n_points``: the quadrature bound on the classes of each histogram."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        value, points = moments.richness(contfrac.dense(pdf["multiplicity"].to_numpy(), pdf["n_keys"].to_numpy()), most_points)
+        h = contfrac.Histogram.of(pdf["multiplicity"], pdf["n_keys"])
+        value, points = moments.richness(h.head(2 * most_points + 1), most_points, distinct=h.distinct)
         return _rows(pdf, by, estimate=[value], n_points=[points])
 
     return _grouped(hist, by).applyInPandas(one, f"{_fields(hist, by)}estimate double, n_points int")
@@ -95,11 +97,9 @@ def _small(hist: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return rows["multiplicity"].to_numpy(), rows["n_keys"].to_numpy()
 
 
-def resample(j: np.ndarray, h: np.ndarray, seed: int, attempt: int) -> np.ndarray:
-    """A dense multinomial redraw of a histogram; it depends on the seed and the attempt alone."""
-    drawn = np.random.default_rng([seed, attempt]).multinomial(int(h.sum()), h / h.sum())
-    kept = drawn > 0
-    return contfrac.dense(j[kept], drawn[kept].astype(float))
+def resample(j: np.ndarray, h: np.ndarray, seed: int, attempt: int) -> contfrac.Histogram:
+    """A multinomial redraw of a histogram; it depends on the seed and the attempt alone."""
+    return contfrac.Histogram.of(j, np.random.default_rng([seed, attempt]).multinomial(int(h.sum()), h / h.sum()))
 
 
 def bootstrap_curves(hist: DataFrame, step: float, most: float, replicates: int = 100, max_terms: int = 100, seed: int = 408, budget: int = 100, defects: bool = False, compat: str = "reference") -> DataFrame:
@@ -111,8 +111,7 @@ def bootstrap_curves(hist: DataFrame, step: float, most: float, replicates: int
     spark = hist.sparkSession
     j, h = _small(hist)
     x, distinct = _sizes(step, most), float(h.sum())
-    whole = contfrac.dense(j, h)
-    status = _judged(whole, max_terms)
+    status = _judged(contfrac.Histogram.of(j, h), max_terms)
     if status != "ok":
         raise ValueError(f"the sample is {status.replace('_', ' ')} for extrapolation")
 
@@ -123,14 +122,16 @@ def bootstrap_curves(hist: DataFrame, step: float, most: float, replicates: int
                 if y is not None and (defects or contfrac.stable(y)):
                     yield pd.DataFrame({"attempt": [attempt], "curve": [y]})
 
-    done, found, tasks = 0, None, max(1, spark.sparkContext.defaultParallelism)
+    done, waves, tasks = 0, [], max(1, spark.sparkContext.defaultParallelism)
     while done < budget * replicates:
         wave = min(2 * replicates, budget * replicates - done)
-        new = spark.range(done, done + wave, numPartitions=min(tasks, wave)).mapInPandas(run, "attempt long, curve array<double>").persist()
-        found = new if found is None else found.union(new)
+        waves.append(spark.range(done, done + wave, numPartitions=min(tasks, wave)).mapInPandas(run, "attempt long, curve array<double>").persist())
         done += wave
+        found = reduce(DataFrame.union, waves)
         if found.count() >= replicates:
             return found.orderBy("attempt").limit(replicates)
+    for w in waves:
+        w.unpersist()
     raise ValueError("too few resampled curves were stable")
 
 
@@ -189,7 +190,7 @@ def bound_pop(hist: DataFrame, replicates: int = 500, most_points: int = 10, max
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             drawn = [resample(j, h, seed, int(a)) for a in pdf["id"]]
-            yield pd.DataFrame({"attempt": pdf["id"], "estimate": [moments.richness(d, most_points, first)[0] for d in drawn]})
+            yield pd.DataFrame({"attempt": pdf["id"], "estimate": [moments.richness(d.head(2 * most_points + 1), most_points, first, d.distinct)[0] for d in drawn]})
 
     values = spark.range(0, many, numPartitions=min(many, spark.sparkContext.defaultParallelism)).mapInPandas(run, "attempt long, estimate double")
     return percentile_limits(values, "estimate", (), level)

@@ -19,15 +19,17 @@ def moments_of(hist: np.ndarray, many: int) -> np.ndarray:
     return np.array(out)
 
 
+def determinants(moments: np.ndarray, points: int) -> tuple[float, float]:
+    """Of the Hankel matrix of so many rows and of the shifted one."""
+    at = np.add.outer(np.arange(points), np.arange(points))
+    return float(np.linalg.det(moments[at])), float(np.linalg.det(moments[at + 1]))
+
+
 def definite(moments: np.ndarray, most_points: int, tolerance: float = 1e-20) -> int:
     """Points that the sequence supports: as long as its Hankel matrix and the shifted one have positive determinants."""
     points = 1
-    while points < most_points and 2 * (points + 1) <= len(moments):
-        d = points + 1
-        at = np.add.outer(np.arange(d), np.arange(d))
-        if np.linalg.det(moments[at]) <= tolerance or np.linalg.det(moments[at + 1]) <= tolerance:
-            break
-        points = d
+    while points < most_points and 2 * (points + 1) <= len(moments) and min(determinants(moments, points + 1)) > tolerance:
+        points += 1
     return points
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallywood.functions.special import duck, fold_change, hash_uniform, ln_gamma, ln_gamma_sql, register_functions
-from tallywood.operators import coverage, extrapolate, histogram, rarefy
+from tallywood.operators import contfrac, coverage, extrapolate, histogram, moments, rarefy
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -274,7 +275,6 @@ def qd_coeffs_deg4(spark, sf_dir):
 
 
 def _plain_fraction(hist: DataFrame, degree: int) -> DataFrame:
-    from tallywood.operators import contfrac
 
     def one(pdf):
         import pandas as pd
@@ -288,7 +288,6 @@ def _plain_fraction(hist: DataFrame, degree: int) -> DataFrame:
 
 @query(f"with {WORD_HIST}, {_P}, {_QD} select i as at, round(i * 0.05 * ({_CF}), 4) as y from (select *, i * 0.05 as t from q, (select unnest(range(1, 201)) as i))")
 def cf_eval_grid_deg4(spark, sf_dir):
-    from tallywood.operators import contfrac
 
     def one(pdf):
         import numpy as np
@@ -303,12 +302,16 @@ def cf_eval_grid_deg4(spark, sf_dir):
 
 @query(f"""with {WORD_HIST}, {_P}, {_QD}, g as (select i, i * 0.05 * ({_CF}) as y from (select *, i * 0.05 as t from q, (select unnest(range(1, 201)) as i))),
 d as (select i, y, y - lag(y) over (order by i) as d1, y - 2 * lag(y) over (order by i) + lag(y, 2) over (order by i) as d2 from g)
-select count(*) filter (where y < 0) as negative, count(*) filter (where d1 < -1e-9) as falling, count(*) filter (where d2 > 1e-6) as convex from d""")
+select count(*) filter (where y < 0) as negative, count(*) filter (where d1 < -1e-9) as falling, count(*) filter (where d2 > 1e-6) as convex, count(*) filter (where y < 0 or d1 < 0 or d2 > 0) = 0 as stable from d""")
 def stability_check(spark, sf_dir):
-    curve = cf_eval_exact(spark, sf_dir)
-    order = Window.partitionBy().orderBy("at")
-    rows = curve.withColumn("d1", F.col("y") - F.lag("y").over(order)).withColumn("d2", F.col("y") - 2 * F.lag("y").over(order) + F.lag("y", 2).over(order))
-    return rows.agg(F.count_if(F.col("y") < 0).alias("negative"), F.count_if(F.col("d1") < -1e-9).alias("falling"), F.count_if(F.col("d2") > 1e-6).alias("convex"))
+    import pandas as pd
+
+    def one(pdf):
+        y = pdf.sort_values("at")["y"].to_numpy()
+        d1, d2 = np.diff(y), np.diff(y, 2)
+        return pd.DataFrame({"negative": [(y < 0).sum()], "falling": [(d1 < -1e-9).sum()], "convex": [(d2 > 1e-6).sum()], "stable": [contfrac.stable(y)]})
+
+    return cf_eval_exact(spark, sf_dir).groupBy().applyInPandas(one, "negative long, falling long, convex long, stable boolean")
 
 
 def cf_eval_exact(spark, sf_dir):
@@ -350,7 +353,9 @@ def quick_extrap_docs_dup(spark, sf_dir):
 
 @query(None)
 def gc_extrap_quick(spark, sf_dir):
-    return _rounded(extrapolate.quick_curve(coverage_hist(spark, sf_dir), *FOLDS, in_totals=True), "expected_distinct")
+    """In bases: bins of 10 times their size."""
+    bins = extrapolate.quick_curve(coverage_hist(spark, sf_dir), *FOLDS, in_totals=True)
+    return _rounded(bins.withColumns({c: F.col(c) * 10 for c in ("x", "expected_distinct")}), "expected_distinct")
 
 
 # richness bounds
@@ -376,9 +381,15 @@ _MU = "m as (select 1.0 as m0, max(case when multiplicity = 2 then n_keys end) *
 
 @query(f"with {WORD_HIST}, {_MU} select round(m2 - m1 * m1, 6) as det, round(m1 * m3 - m2 * m2, 6) as shifted from m")
 def hankel_det_2x2(spark, sf_dir):
-    rows = histogram.factorial_moments(hist_words(spark, sf_dir))
-    m = rows.agg(*(F.max(F.when(F.col("r") == k, F.col("moment"))).alias(f"m{k}") for k in range(4)))
-    return m.selectExpr("round(m2 * m0 - m1 * m1, 6) as det", "round(m1 * m3 - m2 * m2, 6) as shifted")
+    import pandas as pd
+
+    def one(pdf):
+        m = moments.moments_of(contfrac.Histogram.of(pdf["multiplicity"], pdf["n_keys"]).head(5), 4)
+        det, shifted = moments.determinants(m, 2)
+        return pd.DataFrame({"det": [det], "shifted": [shifted]})
+
+    few = hist_words(spark, sf_dir).where("multiplicity <= 4").select("multiplicity", "n_keys")
+    return few.groupBy().applyInPandas(one, "det double, shifted double").selectExpr("round(det, 6) as det", "round(shifted, 6) as shifted")
 
 
 @query(f"""with {WORD_HIST}, {_MU}, c as (select *, m1 as a0, (m3 - m1 * m2) / (m2 - m1 * m1) - m1 as a1, m2 - m1 * m1 as b1 from m),

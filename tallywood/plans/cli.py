@@ -59,7 +59,7 @@ def load(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
             rows = coverage.aligned(spark.read.format("bam").load(a.input))
             return coverage.coverage_histogram(coverage.floor_bins(rows, a.bin_size, max_width=a.max_width), "tid")
         else:
-            bins = coverage.base_bins(text.read_mapped_reads(spark, a.input), a.bin_size, ["chrom", "start", "end", "name", "strand"])
+            bins = coverage.base_bins(text.read_mapped_reads(spark, a.input), a.bin_size, ["chrom", "start", "end", "name", "strand"], max_width=a.max_width)
         return coverage.coverage_histogram(bins)
     if a.hist:
         return text.read_histogram(spark, a.input)

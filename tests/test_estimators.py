@@ -56,7 +56,7 @@ def test_rarefaction_properties(spark):
     y = [r.expected_distinct for r in got]
     assert y[0] == pytest.approx(1, abs=1e-6) and y[-1] == sum(long_tail().values())
     assert y == sorted(y)
-    dense = contfrac.dense(*zip(*long_tail().items(), strict=True))
+    dense = contfrac.Histogram.of(*map(list, zip(*long_tail().items(), strict=True)))
     assert contfrac.rarefied(dense, np.array([r.n for r in got]), "exact") == pytest.approx(y, rel=1e-9)
     with pytest.raises(ValueError):
         rarefy.grid(hist, 0)
@@ -174,3 +174,14 @@ def test_published_rarefaction(spark):
     assert lines == ["total_reads\tdistinct_reads", "0\t0", *(f"{100_000 * k}\t{y}" for k, y in enumerate(READS_CURVE, 1))]
     exact = rarefy.rarefaction_curve(hist, 100_000, compat="exact").orderBy("n").first().expected_distinct
     assert exact == pytest.approx(99901.3627, abs=0.05)
+
+
+def test_a_multiplicity_of_any_size(spark):
+    """One key seen 1e12 times costs a bin, not 1e12 of them."""
+    rows = [(1, 4000.0), (2, 1500.0), (3, 700.0), (4, 380.0), (5, 200.0), (6, 110.0), (10**12, 1.0)]
+    hist = spark.createDataFrame(rows, "multiplicity long, n_keys double")
+    got = extrapolate.quick_curve(hist, 0.5, 3, in_totals=True, defects=True).collect()
+    assert [r.status for r in got] == ["ok"] * len(got) and len(got) >= 4
+    bound = extrapolate.quick_bound(hist).first()
+    assert bound.estimate > 6891 and bound.n_points > 0
+    assert len(extrapolate.resample(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), 1, 2).j) <= 7

@@ -77,3 +77,11 @@ def test_running_histogram(spark, tmp_path):
     finally:
         q.stop()
     assert seen[-1] == {1: 1.0, 5: 1.0}
+
+
+def test_a_mapped_read_over_the_width_limit_is_an_error(spark, tmp_path):
+    reads = text.read_mapped_reads(spark, write(tmp_path, "c\t1\t5\tn\t0\t+\tACGN\nc\t10\t40\tm\t0\t+\tACGT\n"))
+    key = ["chrom", "start", "end", "name", "strand"]
+    assert coverage.base_bins(reads, 2, key, max_width=30).count() == coverage.base_bins(reads, 2, key).count()
+    with pytest.raises(Exception, match="wider than the limit"):
+        coverage.base_bins(reads, 2, key, max_width=29).select("bin").collect()
