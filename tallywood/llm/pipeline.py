@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tallywood.llm import _shared, decontam, langid, linededup, neardup, packing
 
 #: A document whose likeliest language has less than this pooled probability is of no one language, and rejected.
-LEAST_LANGUAGE_SCORE = 0.6
+LEAST_LANGUAGE_SCORE = 0.55
 #: Texts of fewer characters are too short to be judged by their score; they go only without a letter.
 LEAST_JUDGED = 128
 
