@@ -256,7 +256,13 @@ def non_n_bases(spark, sf_dir):
     return docs.groupBy("doc_id").agg(F.sum(coverage.known_bases(F.translate("text", "n", "N"))).alias("known"), F.sum(F.length("text")).alias("bases"))
 
 
-@query(None)
+_READS = "(select o_custkey as chrom, o_orderkey % 1000 as s, replace(o_orderpriority, '-', 'N') as seq, o_orderkey as ok from orders)"
+_BASES = f"""(select chrom, bin from (select *, unnest(range(s // 10, (s + length(seq) - 1) // 10 + 1)) as bin from {_READS}),
+lateral (select length(replace(substr(seq, greatest(bin * 10 - s, 0) + 1, least((bin + 1) * 10 - s, length(seq)) - greatest(bin * 10 - s, 0)), 'N', '')) / 10.0 as part)
+where part > 0 and {_uniform_sql('ok', 'bin')} <= part)"""
+
+
+@query(_hist_sql("chrom, bin", _BASES))
 def coverage_by_bases(spark, sf_dir):
     reads = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("chrom"), (F.col("o_orderkey") % 1000).alias("start"), F.translate("o_orderpriority", "-", "N").alias("seq"), "o_orderkey")
     return coverage.coverage_histogram(coverage.base_bins(reads, 10, ["o_orderkey"]))
@@ -328,12 +334,43 @@ def cf_eval_exact(spark, sf_dir):
 FOLDS = 0.5, 1000
 
 
-@query(None)
+def _quick_sql(hists: str, step: float, most: float, by: str = "", times: int = 1) -> str:
+    """The curves of the histograms ``h(sample, multiplicity, n_keys)`` of ``hists``: the fraction of least degree that is stable, of all even ones."""
+    lg = lambda x: duck(ln_gamma_sql(f"({x})"))
+    below = "list_reduce(list_prepend(cast(1 as double), list_reverse(c[2:])), lambda b, x: 1 + x * t / b)"
+    return f"""
+with recursive {hists}, {_TERMS}, {_TWO},
+tot as (select sample, sum(multiplicity * n_keys) as total, sum(n_keys) as seen from h group by sample),
+judged as (select sample, t - t % 2 as terms, case when two_fold < 0 then 'saturated' when t - t % 2 < 4 then 'too_shallow' else 'ok' end as status from terms join two using (sample)),
+series as (select sample, terms, list(case when multiplicity % 2 = 1 then n_keys else -n_keys end order by multiplicity) as p from h join judged using (sample) where status = 'ok' and multiplicity <= terms group by sample, terms),
+qd as (select sample, terms, [p[1]] as c, [p[i + 1] / p[i] for i in range(1, len(p))] as q, [cast(0 as double) for i in range(0, len(p))] as d from series
+  union all select sample, terms, list_concat(c, [-q[1], -e[1]]), [q[i + 1] * e[i + 1] / e[i] for i in range(1, len(e))], e
+  from (select sample, terms, c, q, [q[i + 1] - q[i] + d[i + 1] for i in range(1, len(q))] as e from qd where len(c) + 1 < terms)),
+whole as (select sample, terms, list_append(c, -q[1]) as c from qd where len(c) + 1 = terms),
+cuts as (select sample, degree, c[1:degree] as c from (select sample, c, unnest(case when terms <= 6 then [terms] else range(8, terms + 1, 2) end) as degree from whole)),
+grid as (select 1 as i, cast(0.05 as double) as t union all select i + 1, t + cast(0.05 as double) from grid where i < 2000),
+y0 as (select sample, degree, i, t * (c[1] / {below}) as y from cuts, grid),
+y1 as (select *, y - coalesce(lag(y) over (partition by sample, degree order by i), 0) as d1 from y0),
+y2 as (select *, d1 - lag(d1) over (partition by sample, degree order by i) as d2 from y1),
+good as (select sample, degree from y2 group by sample, degree having bool_and(coalesce(isfinite(y) and y >= 0 and d1 >= 0 and (i = 1 or d2 <= 0), false))),
+best as (select sample, c, total, seen from (select sample, min(degree) as degree from good group by sample) join cuts using (sample, degree) join tot using (sample)),
+points as (select *, (x - total) / total as t from (select *, unnest(range(1, {int(np.ceil(most / step))})) * ({step} * total) as x from best)),
+near as (select sample, x, max(seen) - sum(case when total - multiplicity >= x then floor(exp({lg('greatest(total - multiplicity, 0) + 1')} - {lg('greatest(total - multiplicity - x, 0) + 1')} + {lg('total - x + 1')} - {lg('total + 1')}) * n_keys) else 0 end) as y from points join h using (sample) where x < total group by sample, x),
+found as (select sample, x, y, 'ok' as status from near union all select sample, x, seen + t * (c[1] / {below}), 'ok' from points where x >= total
+  union all select sample, cast(null as double), cast(null as double), case when status = 'ok' then 'unstable' else status end from judged where sample not in (select sample from best))
+select {by and by + ', '}round(x * {times}, 4) as x, round(y * {times}, 4) as expected_distinct, status from found"""
+
+
+def _one(hist: str) -> str:
+    return f"h as (select '' as sample, * from ({hist}))"
+
+
+@query(_quick_sql(_one(_hist_sql("w", WORDS)), *FOLDS))
 def quick_extrap_words(spark, sf_dir):
     return _rounded(extrapolate.quick_curve(hist_words(spark, sf_dir), *FOLDS, in_totals=True), "expected_distinct")
 
 
-@query(None)
+@query(_quick_sql(_ALL, *FOLDS, by="sample"))
 def quick_extrap_samples(spark, sf_dir):
     return _rounded(extrapolate.quick_curve(_keyed(spark, sf_dir), *FOLDS, by=["sample"], in_totals=True), "expected_distinct")
 
@@ -351,7 +388,7 @@ def quick_extrap_docs_dup(spark, sf_dir):
     return _rounded(extrapolate.quick_curve(doc_copies(spark, sf_dir), 500, 20_000), "expected_distinct")
 
 
-@query(None)
+@query(_quick_sql(_one(_hist_sql("chrom, bin", _FLOOR)), *FOLDS, times=10))
 def gc_extrap_quick(spark, sf_dir):
     """In bases: bins of 10 times their size."""
     bins = extrapolate.quick_curve(coverage_hist(spark, sf_dir), *FOLDS, in_totals=True)
