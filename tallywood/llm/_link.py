@@ -32,7 +32,7 @@ def _members(keys: DataFrame) -> DataFrame:
     digest = F.hash("node")
     often = keys.groupBy("key").agg(F.min(digest).alias("low"), F.max(digest).alias("high")).where("low <> high").select("key")
     often = _shared.cut(often)
-    named = F.broadcast(often) if often.count() <= MOST_NAMED else often
+    named = F.broadcast(often) if _shared.count(often) <= MOST_NAMED else often
     return keys.join(named, "key").select("key", "node").distinct()
 
 

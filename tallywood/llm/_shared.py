@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,19 +22,47 @@ def folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Where this is set, the shuffle files of an action go when it ends, and not when the driver next collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _leaving_no_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What is planned and run inside leaves no shuffle files: what it wrote is read from the shared folder."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it from there."""
     folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with _leaving_no_shuffles(df.sparkSession):
+        # the setting holds for what is planned from here on, so the action gets a plan of its own
+        return df.select("*").checkpoint(eager=True)
 
 
 def written(df: DataFrame) -> DataFrame:
     """As :func:`cut`, but as Parquet: for wide or long tables of which later steps read some columns."""
     path = f"{folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _leaving_no_shuffles(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def first(df: DataFrame):
+    """The first row of ``df``, or None."""
+    with _leaving_no_shuffles(df.sparkSession):
+        return df.first()
+
+
+def count(df: DataFrame) -> int:
+    return first(df.agg(F.count("*")))[0]
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of intermediate results that nothing reads any more, on whatever file system it lies."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -75,7 +105,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     seen = None
     while True:
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        now = tuple(first(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))))
         if now == seen or not now[0]:
             break
         seen = now

@@ -130,7 +130,7 @@ def _keys(own: DataFrame, width: int, bands: int) -> DataFrame:
 def _slices(own: DataFrame, wanted: DataFrame) -> DataFrame:
     """``doc_id, part, lo, hi, words``: hashes of the words ``lo`` to ``hi`` (cut off at the ends) of the texts named."""
     wanted = _shared.cut(wanted.groupBy("doc_id", "part").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")))
-    texts, ranges = wanted.agg(F.count("*"), F.coalesce(F.sum(F.size("ranges")), F.lit(0))).first()
+    texts, ranges = _shared.first(wanted.agg(F.count("*"), F.coalesce(F.sum(F.size("ranges")), F.lit(0))))
     # few ranges go to the texts; else at least no other text moves
     if ranges <= MOST_RANGES:
         wanted = F.broadcast(wanted)
@@ -248,7 +248,7 @@ def repeated_passages(docs: DataFrame, width: int = 5, percent: int = 80, least:
 
     def sets_of(few: DataFrame) -> DataFrame:
         few = _shared.cut(few.distinct())
-        few = F.broadcast(few) if few.count() <= MOST_NAMED else few
+        few = F.broadcast(few) if _shared.count(few) <= MOST_NAMED else few
         # one place of each node, found without sorting: the least hash of a place
         name = F.xxhash64("doc_id", "part", "at").alias("name")
         one = _shared.cut(places.join(few, "node", "left_semi").select("node", "doc_id", "part", "at", "n", name))
