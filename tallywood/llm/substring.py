@@ -104,11 +104,15 @@ def _places(own: DataFrame) -> DataFrame:
     return own.mapInArrow(run, "doc_id long, part long, k int, at int, n int, node long")
 
 
-def _keys(own: DataFrame, width: int, bands: int) -> DataFrame:
-    """``key, node``: the bands of all paragraphs; what a task has lately given it doesn't give again."""
+def _keys(own: DataFrame, width: int, bands: int, buckets: int = 0) -> DataFrame:
+    """``key, node``: the bands of all paragraphs, or what :func:`_link.dealt` makes of them for so many ``buckets``.
+
+    What a task has lately given it doesn't give again.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         recent: set[int] = set()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             data, offsets = texts_of(batch.column("text"))
             for lo, hi in spans(offsets):
@@ -122,9 +126,20 @@ def _keys(own: DataFrame, width: int, bands: int) -> DataFrame:
                     recent.clear()
                 recent.update(node.tolist())
                 keys = band_keys(signatures(*shingles_at(hashes, begin[pick], n[pick], width), bands * ROWS, 16))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(node, bands))], ["key", "node"])
+                held.append((keys.ravel(), np.repeat(node, bands)))
+                if not buckets or sum(len(k) for k, _ in held) >= _link.BUCKET:
+                    yield from made(held)
+                    held = []
+        if held:
+            yield from made(held)
+
+    def made(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        key, node = (np.concatenate(x) for x in zip(*held, strict=True))
+        for at in range(0, len(key), _link.BUCKET):
+            some, of = key[at : at + _link.BUCKET], node[at : at + _link.BUCKET]
+            yield _link.dealt(some, of, buckets) if buckets else pa.RecordBatch.from_arrays([pa.array(some.view(np.int64)), pa.array(of)], ["key", "node"])
 
-    return own.select("text").mapInArrow(run, "key long, node long")
+    return own.select("text").mapInArrow(run, "bucket int, pairs binary" if buckets else "key long, node long")
 
 
 def _slices(own: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -267,7 +282,10 @@ def repeated_passages(docs: DataFrame, width: int = 5, percent: int = 80, least:
 
         return got.mapInArrow(run, "node long, hashes binary")
 
-    found = _link.linked(MOST, _keys(own, width, bands_for(percent / 100)), sets_of, 100, percent)
+    bands = bands_for(percent / 100)
+    buckets = min(_shared.count(places) * bands // _link.BUCKET + 1, 1 << 30)
+    often = _link.often_of(_keys(own, width, bands, buckets))
+    found = _link.linked(MOST, _keys(own, width, bands), sets_of, 100, percent, often)
     # the words that two documents have, as they are or alike
     same = places.groupBy("node").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("node")
     often = found.toDF("node", "name").union(same.join(found, "node", "left_anti").select("node", F.col("node").alias("name")))
