@@ -143,8 +143,11 @@ def _keys(own: DataFrame, width: int, bands: int, buckets: int = 0) -> DataFrame
 
 
 def _slices(own: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``doc_id, part, lo, hi, words``: hashes of the words ``lo`` to ``hi`` (cut off at the ends) of the texts named."""
-    wanted = _shared.cut(wanted.groupBy("doc_id", "part").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")))
+    """``doc_id, part, lo, hi, words, late``: hashes of the words ``lo`` to ``hi`` (cut off at the ends) of the texts named.
+
+    ``late`` is as ``wanted`` has it, to tell what is wanted for one side of a join from what is for the other.
+    """
+    wanted = _shared.cut(wanted.groupBy("doc_id", "part").agg(F.collect_set(F.struct("lo", "hi", "late")).alias("ranges")))
     texts, ranges = _shared.first(wanted.agg(F.count("*"), F.coalesce(F.sum(F.size("ranges")), F.lit(0))))
     # few ranges go to the texts; else at least no other text moves
     if ranges <= MOST_RANGES:
@@ -162,6 +165,7 @@ def _slices(own: DataFrame, wanted: DataFrame) -> DataFrame:
                 listed = batch.column("ranges").slice(lo, hi - lo)
                 row = np.repeat(np.arange(hi - lo), listed.value_lengths().to_numpy(zero_copy_only=False))
                 begin, end = (listed.flatten().field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                late = listed.flatten().field(2)
                 a = words.first[row] + np.maximum(begin, 0)
                 b = np.minimum(words.first[row] + end, words.first[row + 1])
                 ids = [batch.column(c).take(pa.array(row + lo)) for c in ("doc_id", "part")]
@@ -169,9 +173,9 @@ def _slices(own: DataFrame, wanted: DataFrame) -> DataFrame:
                 for s in range(0, len(row), step):
                     cut = slice(s, s + step)
                     whole = pa.array([hashes[x:y].tobytes() for x, y in zip(a[cut], b[cut], strict=True)], pa.binary())
-                    yield pa.RecordBatch.from_arrays([*(x.slice(s, step) for x in ids), pa.array(begin[cut], pa.int32()), pa.array(end[cut], pa.int32()), whole], ["doc_id", "part", "lo", "hi", "words"])
+                    yield pa.RecordBatch.from_arrays([*(x.slice(s, step) for x in ids), pa.array(begin[cut], pa.int32()), pa.array(end[cut], pa.int32()), whole, late.slice(s, step)], ["doc_id", "part", "lo", "hi", "words", "late"])
 
-    return texts.select("doc_id", "part", "text", "ranges").mapInArrow(run, "doc_id long, part long, lo int, hi int, words binary")
+    return texts.select("doc_id", "part", "text", "ranges").mapInArrow(run, "doc_id long, part long, lo int, hi int, words binary, late boolean")
 
 
 def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
@@ -270,7 +274,7 @@ def repeated_passages(docs: DataFrame, width: int = 5, percent: int = 80, least:
         one = one.join(one.groupBy("node").agg(F.min("name").alias("name")), ["node", "name"]).dropDuplicates(["node"])
         one = one.select("node", "doc_id", "part", F.col("at").alias("lo"), (F.col("at") + F.col("n")).alias("hi"))
         one = _shared.cut(one)
-        got = _slices(own, one).join(one, ["doc_id", "part", "lo", "hi"]).select("node", "words").dropDuplicates(["node"])
+        got = _slices(own, one.withColumn("late", F.lit(False))).join(one, ["doc_id", "part", "lo", "hi"]).select("node", "words").dropDuplicates(["node"])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -312,9 +316,11 @@ def repeated_passages(docs: DataFrame, width: int = 5, percent: int = 80, least:
     pairs = rows.groupBy(*pair, "stretch").agg(lo.alias("lo"), hi.alias("hi"), F.collect_set("at").alias("seeds"), F.min("passage").alias("passage"))
     pairs = _shared.written(pairs.drop("stretch").withColumn("first_lo", F.col("lo") - F.col("shift")).withColumn("first_hi", F.col("hi") - F.col("shift")))
     earlier = pairs.select(F.col("first_doc_id").alias("doc_id"), F.col("first_part").alias("part"), F.col("first_lo").alias("lo"), F.col("first_hi").alias("hi"))
-    slices = _shared.written(_slices(own, pairs.select("doc_id", "part", "lo", "hi").union(earlier)))
-    both = pairs.join(slices, ["doc_id", "part", "lo", "hi"])
-    both = both.join(slices.toDF("first_doc_id", "first_part", "first_lo", "first_hi", "first_words"), ["first_doc_id", "first_part", "first_lo", "first_hi"])
+    # each join moves its own side's slices alone
+    wanted = pairs.select("doc_id", "part", "lo", "hi", F.lit(True).alias("late")).union(earlier.withColumn("late", F.lit(False)))
+    slices = _shared.written(_slices(own, wanted))
+    both = pairs.join(slices.where("late").drop("late"), ["doc_id", "part", "lo", "hi"])
+    both = both.join(slices.where("not late").drop("late").toDF("first_doc_id", "first_part", "first_lo", "first_hi", "first_words"), ["first_doc_id", "first_part", "first_lo", "first_hi"])
     later = _shared.cut(_aligned(both, least, percent).union(copies).distinct())
     kept = later.select(F.col("first_doc_id").alias("doc_id"), F.col("first_part").alias("part"), F.col("first_word").alias("word"), F.col("first_n_words").alias("n_words"), "first_doc_id", "first_part", "first_word", "first_n_words", "passage").distinct()
     out = later.withColumn("removed", F.lit(True)).union(kept.withColumn("removed", F.lit(False)))
