@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallywood.llm import ann, decontam, langid, licenses, linededup, neardup, packing, pipeline, quality, secrets, substring
+from tallywood.llm import ann, decontam, langid, licenses, linededup, neardup, packing, pipeline, quality, secrets, substring, tokencount
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         substring.op8_substring_dedup,
         quality.op9_quality_classifier,
         neardup.op10_minhash_near_dedup,
+        tokencount.op13_token_counts,
     )
 }
 QUERIES["pipeline"] = pipeline.run
