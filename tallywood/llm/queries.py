@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallywood.llm import ann, decontam, langid, licenses, linededup, neardup, packing, pipeline, quality, secrets, substring, tokencount
+from tallywood.llm import ann, decontam, langid, licenses, linededup, neardup, packing, periodic, pipeline, quality, secrets, substring, tokencount
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         substring.op8_substring_dedup,
         quality.op9_quality_classifier,
         neardup.op10_minhash_near_dedup,
+        periodic.op11_periodic_runs,
         tokencount.op13_token_counts,
     )
 }
@@ -61,6 +62,25 @@ select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(component_id, d.doc_id
 from d left join n using (doc_id) left join least_of on x = d.doc_id
 """
 
-ORACLES = {"op2_benchmark_decontamination": OP2, "op5_line_dedup": OP5, "op10_minhash_near_dedup": OP10}
+# crc32 by its table; a stretch of equal words q apart, of 5 or more, shows as places whose next 5 words stand again q on
+OP11 = r"""
+with recursive bits(b, k, c) as (select b, 0, b from (select unnest(range(0, 256)) as b) union all select b, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from bits where k < 8),
+tab as (select list(c order by b) as t from bits where k = 8),
+ids as (select doc_id, xor(list_reduce(list_prepend(4294967295::bigint, [ascii(x)::bigint for x in string_split(cast(doc_id as varchar), '')]), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) as h from (select distinct doc_id from documents), tab),
+d as (select doc_id, h, h // 10 as g, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents join ids using (doc_id)),
+s as (select *, len(w) as n, case when h % 10 = 0 and len(w) > 0 then g % len(w) end as a from d),
+v as (select doc_id, n, case when a is null then w else [w[1 + case when i < a then i else a + (i - a) % (1 + (n - a) // (3 + g % 8)) end] for i in range(0, n)] end as w from s),
+x as (select doc_id, i, array_to_string(w[i + 1:i + 5], ' ') as t from (select doc_id, w, unnest(range(0, n - 4)) as i from v where n > 5)),
+m as (select p.doc_id, p.i, y.i - p.i as q from x p join x y on p.doc_id = y.doc_id and p.t = y.t and p.i < y.i),
+f as (select doc_id, q, min(i) as start, count(*) + 4 + q as length from (select *, i - row_number() over (partition by doc_id, q order by i) as isle from m) group by doc_id, q, isle having count(*) + 4 + q >= greatest(6, 4 * q)),
+r as (select doc_id, start, length, min(q) as period from f group by doc_id, start, length),
+best as (select doc_id, count(*) as n_runs, arg_min([start, length, period], [-length, start, period]) as b, string_agg(concat(start, ',', length, ',', period, chr(10)), '' order by start, period) as t from r group by doc_id),
+gone as (select distinct doc_id, unnest(range(start + period, start + length)) as i from r),
+kept as (select doc_id, string_agg(w, ' ' order by i) as t from (select doc_id, unnest(w) as w, unnest(range(0, n)) as i from v) anti join gone using (doc_id, i) group by doc_id)
+select v.doc_id, coalesce(n_runs, 0) as n_runs, b[1] as start, b[2] as length, b[3] as period, 1000 * b[2] // b[3] as exponent_milli, sha256(coalesce(best.t, '')) as runs_sha256, sha256(coalesce(kept.t, '')) as collapsed_sha256
+from v left join best using (doc_id) left join kept using (doc_id)
+"""
+
+ORACLES = {"op2_benchmark_decontamination": OP2, "op5_line_dedup": OP5, "op10_minhash_near_dedup": OP10, "op11_periodic_runs": OP11}
 if pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = pipeline.ORACLE_SQL
