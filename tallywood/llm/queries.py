@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallywood.llm import ann, decontam, langid, licenses, linededup, neardup, packing, periodic, pipeline, quality, secrets, substring, tokencount
+from tallywood.llm import ann, collocation, decontam, langid, licenses, linededup, neardup, packing, periodic, pipeline, quality, secrets, substring, tokencount
 
 QUERIES = {
     f.__name__: f
@@ -18,6 +18,7 @@ QUERIES = {
         quality.op9_quality_classifier,
         neardup.op10_minhash_near_dedup,
         periodic.op11_periodic_runs,
+        collocation.op12_phrase_collocations,
         tokencount.op13_token_counts,
     )
 }
@@ -81,6 +82,22 @@ select v.doc_id, coalesce(n_runs, 0) as n_runs, b[1] as start, b[2] as length, b
 from v left join best using (doc_id) left join kept using (doc_id)
 """
 
-ORACLES = {"op2_benchmark_decontamination": OP2, "op5_line_dedup": OP5, "op10_minhash_near_dedup": OP10, "op11_periodic_runs": OP11}
+OP12 = r"""
+with p as (select coalesce(lang, 'und') as lang, regexp_extract_all(unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') as w from documents),
+g as (select lang, m, w[i:i + m - 1] as w from (select lang, m, w, unnest(range(1, len(w) - m + 2)) as i from p, (select unnest([1, 2, 3]) as m) where len(w) >= m)),
+f as (select lang, m, array_to_string(w, ' ') as phrase, any_value(w) as w, count(*) as n from g group by lang, m, array_to_string(w, ' ')),
+totals as (select lang, cast(sum(n) as bigint) as n from f where m = 1 group by lang),
+c as (select lang, phrase, m, w, n as a from f where m > 1 and n >= 10),
+cuts as (select lang, phrase, m, w, a, unnest(range(1, m)) as k from c),
+s as (select c.lang, c.phrase, m, w, a, k, x.n as l, y.n as r, 1000000::hugeint * a * a // (x.n::hugeint * y.n) as score from cuts c
+      join (select lang, phrase, n from f) x on x.lang = c.lang and x.phrase = array_to_string(w[1:k], ' ') join (select lang, phrase, n from f) y on y.lang = c.lang and y.phrase = array_to_string(w[k + 1:], ' ')),
+b as (select * from s qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+inner_of as (select lang, phrase, max(a) as more from (select lang, array_to_string(w[i:i + 1], ' ') as phrase, a from (select lang, w, a, unnest([1, 2]) as i from c where m = 3)) group by lang, phrase),
+kept as (select b.* from b left join inner_of using (lang, phrase) where more is null or 100 * more < 50 * a),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select lang, rank, phrase, a, l, r, totals.n as n, cast(score as bigint) as score from ranked join totals using (lang) where rank <= 2000
+"""
+
+ORACLES = {"op2_benchmark_decontamination": OP2, "op5_line_dedup": OP5, "op10_minhash_near_dedup": OP10, "op11_periodic_runs": OP11, "op12_phrase_collocations": OP12}
 if pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = pipeline.ORACLE_SQL

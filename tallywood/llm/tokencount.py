@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallywood.llm import _shared
@@ -30,6 +30,8 @@ FREQUENT = 1 << 15
 PACKED = 16
 #: Pre-tokens in each of the two generations of a worker's cache, and bytes of the longest of them.
 CACHED, CACHED_BYTES = 200_000, 64
+#: Buckets of pre-tokens in each of which the most frequent are looked for.
+BUCKETS = 1024
 SPACE, FEED = 32, 10
 #: What the cuts are tried on before a model is used.
 PROBE = "A  probe\n\n of cuts\t, café ﬁ Å 　x y ▁z <s> 日本語\n line  "
@@ -186,7 +188,10 @@ def frequent(docs: DataFrame, text_col: str = "text", entries: int = FREQUENT) -
             yield pa.RecordBatch.from_arrays([pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), pa.array(size, pa.int32()), pa.array(n)], ["low", "high", "size", "n"])
 
     rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "low long, high long, size int, n long")
-    top = rows.groupBy("low", "high", "size").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "low", "high", "size").limit(entries)
+    each = Window.partitionBy(F.pmod(F.xxhash64("low", "high", "size"), F.lit(BUCKETS))).orderBy(F.desc("n"), "low", "high", "size")
+    added = rows.groupBy("low", "high", "size").agg(F.sum("n").alias("n")).withColumn("rank", F.row_number().over(each))
+    # several times a bucket's share of the most frequent, so that few rows are left to be sorted together
+    top = added.where(F.col("rank") <= max(8, 8 * entries // BUCKETS)).orderBy(F.desc("n"), "low", "high", "size").limit(entries)
     return [(r.low % (1 << 64) | r.high % (1 << 64) << 64).to_bytes(PACKED, "little")[: r.size] for r in top.collect()]  # ``entries`` rows at most
 
 
