@@ -5,15 +5,17 @@ make a shard, builds their generalised suffix automaton down to substrings of a
 is a set of end places; its number of places is the count of each of its substrings, of which it
 holds those longer than the ones of its suffix link. Spark adds up the counts of all shards.
 
-A phrase is never more frequent than its words, so words are counted first, and in the second pass
-pieces are cut at words that are too rare: whether a word is, says a Bloom filter of fixed largest
-size that lets all frequent ones pass. It saves rows to be counted and never decides.
+A phrase is never more frequent than its parts, so words are counted first, then phrases of two
+words, and so on, and a shard counts a phrase only where what it is without its first and without
+its last word may be frequent: that says a Bloom filter of fixed largest size, which lets all
+frequent ones pass. Filters save rows to be added up and never decide.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -28,10 +30,10 @@ from tallywood.llm._words import mix, spans, texts_of
 #: What ends a piece; blanks and tabs part words.
 ENDS = b".,;:!?\n\x0b\x0c\r"
 _CUT = bytes(10 if c in ENDS else c for c in range(256))
-#: Words of all languages that a task gathers before it counts them, and bytes of text read at once.
-SHARD, TOGETHER = 1 << 20, 1 << 22
-#: Bits a frequent word has in the filter, most bits of the filter (32 MB), probes, and bits of a block that one row of it holds.
-BITS, MOST_BITS, PROBES, BLOCK = 16, 1 << 28, 4, 1 << 15
+#: Words of all languages that a task gathers before it counts them, bytes of text read and phrases written at once.
+SHARD, TOGETHER, JOINED = 1 << 19, 1 << 20, 1 << 16
+#: Bits a frequent phrase has in a filter, most bits of a filter (16 MB), probes, and bits of a block that one row of it holds.
+BITS, MOST_BITS, PROBES, BLOCK = 16, 1 << 27, 4, 1 << 15
 #: Buckets of a language's phrases in each of which the best are looked for, before the best of all.
 BUCKETS = 256
 COUNTS = "lang string, phrase string, n long"
@@ -98,19 +100,19 @@ class Automaton:
 
 
 class _Filter:
-    """A Bloom filter of words by language; Spark's hash of (language, word) sets its bits."""
+    """A Bloom filter of phrases by language; Spark's hash of (language, phrase) sets its bits."""
 
     def __init__(self, blocks: dict[int, bytes], bits: int):
         self.bits = np.zeros(bits // 8, np.uint8)
         for k, block in blocks.items():
             self.bits[k * BLOCK // 8 : (k + 1) * BLOCK // 8] = np.frombuffer(block, np.uint8)
 
-    def has(self, lang: str, words: list[bytes]) -> np.ndarray:
+    def has(self, lang: str, phrases: pa.Array) -> np.ndarray:
         from xxhash import xxh64_intdigest
 
         seed = xxh64_intdigest(lang.encode(), 42)
-        hashes = np.fromiter((xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
-        out = np.ones(len(words), bool)
+        hashes = np.fromiter((xxh64_intdigest(p, seed) for p in phrases.to_pylist()), np.uint64, len(phrases))
+        out = np.ones(len(phrases), bool)
         for at in probes(hashes, 8 * len(self.bits)):
             out &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
         return out
@@ -122,8 +124,8 @@ def probes(hashes: np.ndarray, bits: int) -> Iterator[np.ndarray]:
         yield ((hashes + np.uint64(k) * step) & np.uint64(bits - 1)).astype(np.int64)
 
 
-def frequent_words(words: DataFrame) -> _Filter:
-    """The filter of ``words(lang, phrase)``; it has BITS bits a word up to MOST_BITS in all, and more words only let more pass."""
+def frequent(words: DataFrame) -> _Filter:
+    """The filter of ``words(lang, phrase)``; it has BITS bits a row up to MOST_BITS in all, and more rows only let more pass."""
     n = _shared.count(words)
     bits = min(MOST_BITS, max(BLOCK, 1 << (BITS * n).bit_length()))
 
@@ -164,9 +166,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes],
 
 
 def _rows(lang: str, phrases: pa.Array, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for lo in range(0, len(n), 1 << 16):
-        part = phrases[lo : lo + (1 << 16)].cast(pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), part, pa.array(n[lo : lo + (1 << 16)], pa.int64())], ["lang", "phrase", "n"])
+    for lo in range(0, len(n), JOINED):
+        part = phrases[lo : lo + JOINED].cast(pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), part, pa.array(n[lo : lo + JOINED], pa.int64())], ["lang", "phrase", "n"])
 
 
 def word_counts(own: DataFrame) -> DataFrame:
@@ -193,53 +195,76 @@ def word_counts(own: DataFrame) -> DataFrame:
     return own.mapInArrow(run, COUNTS).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
-def phrase_counts(own: DataFrame, frequent, longest: int) -> DataFrame:
-    """``lang, phrase, n`` of the phrases of 2 to ``longest`` words that the filter (a broadcast) lets pass."""
-    most = min(SHARD, (1 << 63 // longest) - 2)
-
-    def counted(lang: str, parts: list[tuple[np.ndarray, np.ndarray, int]], known: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
-        words = list(known)
-        passes = frequent.value.has(lang, words)
-        number = np.where(passes, np.cumsum(passes), 0)  # from 1 those that pass
-        texts = pa.array([w for w, ok in zip(words, passes.tolist(), strict=True) if ok], pa.binary())
-        line, ends = [], []
-        for ids, piece, shared in parts:
-            at = np.arange(len(ids)) + piece - piece[0] + 1  # a 0 before every piece
-            part, end = np.zeros(at[-1] + 1, np.int64), np.ones(at[-1] + 1, bool)
-            part[at] = number[ids]
-            end[at[:shared]] = False
-            line.append(part)
-            ends.append(end)
-        automaton = Automaton(np.concatenate(line), longest, np.concatenate(ends))
-        for size in range(2, longest + 1):
-            rows, n = automaton.substrings(size)
-            for lo in range(0, len(n), 1 << 18):
-                part = rows[lo : lo + (1 << 18)] - 1
-                yield from _rows(lang, pc.binary_join_element_wise(*(texts.take(pa.array(part[:, k])) for k in range(size)), b" "), n[lo : lo + (1 << 18)])
+class _Shard:
+    """Words of one language as numbers, with the pieces they stand in, until they are counted."""
+
+    def __init__(self) -> None:
+        self.known: dict[bytes, int] = defaultdict(count().__next__)
+        self.words: list[np.ndarray] = []
+        self.ends: list[np.ndarray] = []
+
+    def add(self, words: list[bytes], piece: np.ndarray, shared: int) -> None:
+        """``words``, of which the first ``shared`` end no phrase here: the part before has them."""
+        at = np.arange(len(words)) + piece - piece[0] + 1  # a 0 before every piece
+        line, end = np.zeros(at[-1] + 1, np.int32), np.zeros(at[-1] + 1, bool)
+        line[at] = np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
+        line[at] += 1
+        end[at[shared:]] = True
+        self.words.append(line)
+        self.ends.append(end)
+
+    def phrases(self, lang: str, size: int, filters: list[_Filter]) -> Iterator[tuple[pa.Array, np.ndarray]]:
+        """The phrases of ``size`` words whose parts of 1, 2, ... words pass the filters, and their counts."""
+        words, texts = np.concatenate(self.words).astype(np.int64), pa.array(list(self.known), pa.binary())
+        bits, key = 63 // size, words
+        passes = np.append(False, filters[0].has(lang, texts))[words]
+        for n in range(2, size + 1):
+            # a phrase may be frequent where what it is without its first word and without its last are
+            both = passes.copy()
+            both[1:] &= passes[:-1]
+            both[0] = False
+            if n == size:
+                automaton = Automaton(words, size, both & np.concatenate(self.ends))
+                yield from ((_joined(texts, rows[lo : lo + JOINED]), n[lo : lo + JOINED]) for rows, n in [automaton.substrings(size)] for lo in range(0, len(n), JOINED))
+                return
+            key = np.append(0, key[:-1]) << bits | words
+            at = np.flatnonzero(both)
+            own, of = np.unique(key[at], return_inverse=True)
+            rows = np.stack([own >> bits * (n - 1 - k) & (1 << bits) - 1 for k in range(n)], 1)
+            passes = np.zeros(len(words), bool)
+            passes[at] = filters[n - 1].has(lang, _joined(texts, rows))[of]
+
+
+def _joined(texts: pa.Array, rows: np.ndarray) -> pa.Array:
+    """Phrases of the words that stand at the numbers (from 1) of each row."""
+    return pc.binary_join_element_wise(*(texts.take(pa.array(rows[:, k] - 1)) for k in range(rows.shape[1])), b" ")
+
+
+def phrase_counts(own: DataFrame, size: int, filters: list) -> DataFrame:
+    """``lang, phrase, n`` of the phrases of ``size`` words whose shorter parts the filters (broadcasts, for 1 word and on) let pass."""
+    most = min(SHARD, (1 << 63 // size) - 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = defaultdict(list)
-        known: dict[str, dict[bytes, int]] = {}
-        size = 0
+        held: dict[str, _Shard] = defaultdict(_Shard)
+        full = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for lang, parts in held.items():
-                yield from counted(lang, parts, known[lang])
+            for lang, shard in held.items():
+                for phrases, n in shard.phrases(lang, size, [f.value for f in filters]):
+                    yield from _rows(lang, phrases, n)
             held.clear()
-            known.clear()
 
         for lang, words, piece in _read(batches):
             # what is longer than a shard, as a very long text may be, goes in parts; each begins with the words on which its phrases may begin
-            step = most - longest
+            step = most - size
             for lo in range(0, len(words), step):
-                at = max(lo - longest + 1, 0)
+                at = max(lo - size + 1, 0)
                 part = words[at : lo + step]
-                if size + len(part) > most:
+                if full + len(part) > most:
                     yield from flush()
-                    size = 0
-                numbers = known.setdefault(lang, defaultdict(count().__next__))
-                held[lang].append((np.fromiter(map(numbers.__getitem__, part), np.int64, len(part)), piece[at : lo + step], lo - at))
-                size += len(part)
+                    full = 0
+                held[lang].add(part, piece[at : lo + step], lo - at)
+                full += len(part)
         yield from flush()
 
     return own.mapInArrow(run, COUNTS).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
@@ -267,9 +292,12 @@ def collocations(docs: DataFrame, least: int = 10, longest: int = 3, percent: in
     words = _shared.written(word_counts(own).where(F.col("phrase").isNull() | (F.col("n") >= least)))
     totals = words.where("phrase is null").select("lang", F.col("n").alias("total"))
     words = words.where("phrase is not null")
-    frequent = own.sparkSession.sparkContext.broadcast(frequent_words(words))
-    phrases = _shared.written(phrase_counts(own, frequent, longest).where(F.col("n") >= least))
-    known = words.unionByName(phrases)
+    levels, filters = [words], []
+    for size in range(2, longest + 1):
+        filters.append(own.sparkSession.sparkContext.broadcast(frequent(levels[-1])))
+        levels.append(_shared.written(phrase_counts(own, size, filters).where(F.col("n") >= least)))
+    known = reduce(DataFrame.unionByName, levels)
+    phrases = reduce(DataFrame.unionByName, levels[1:])
 
     parts = phrases.withColumn("w", F.split("phrase", " ", -1))
     cuts = parts.select("lang", "phrase", F.col("n").alias("a"), "w", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("k"))

@@ -83,18 +83,18 @@ def test_rare_words_cut_but_do_not_decide(spark, monkeypatch):
     docs = spark.createDataFrame([(a, b, "p", "n") for a, b in rows], SCHEMA)
     want = plain(rows)
     assert sorted(map(tuple, collocation.collocations(docs).collect())) == want
-    monkeypatch.setattr(collocation, "frequent_words", lambda words: collocation._Filter({0: b"\xff" * (collocation.BLOCK // 8)}, collocation.BLOCK))  # full, so all pass
+    monkeypatch.setattr(collocation, "frequent", lambda words: collocation._Filter({0: b"\xff" * (collocation.BLOCK // 8)}, collocation.BLOCK))  # full, so all pass
     assert sorted(map(tuple, collocation.collocations(docs).collect())) == want
 
 
 def test_the_filter_passes_all_frequent_words(spark):
     words = [(lang, f"w{i}é") for lang in ("en", "de", "") for i in range(3000)]
-    kept = collocation.frequent_words(spark.createDataFrame(words, "lang string, phrase string"))
+    kept = collocation.frequent(spark.createDataFrame(words, "lang string, phrase string"))
     for lang in ("en", "de", ""):
-        assert kept.has(lang, [f"w{i}é".encode() for i in range(3000)]).all()
-    assert kept.has("en", [f"v{i}".encode() for i in range(10000)]).mean() < 0.02
-    none = collocation.frequent_words(spark.createDataFrame([], "lang string, phrase string"))
-    assert not none.has("en", [b"x"]).any()
+        assert kept.has(lang, pa.array([f"w{i}é".encode() for i in range(3000)])).all()
+    assert kept.has("en", pa.array([f"v{i}".encode() for i in range(10000)])).mean() < 0.02
+    none = collocation.frequent(spark.createDataFrame([], "lang string, phrase string"))
+    assert not none.has("en", pa.array([b"x"])).any()
 
 
 def test_automaton_states_are_classes_of_end_places():
