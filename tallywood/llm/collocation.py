@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallywood.llm import _shared
-from tallywood.llm._words import mix, spans, texts_of
+from tallywood.llm._words import U, mix, spans, texts_of
 
 #: What ends a piece; blanks and tabs part words.
 ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -100,38 +100,50 @@ class Automaton:
 
 
 class _Filter:
-    """A Bloom filter of phrases by language; Spark's hash of (language, phrase) sets its bits."""
+    """A Bloom filter of phrases by language, by the hashes of their words."""
 
     def __init__(self, blocks: dict[int, bytes], bits: int):
         self.bits = np.zeros(bits // 8, np.uint8)
         for k, block in blocks.items():
             self.bits[k * BLOCK // 8 : (k + 1) * BLOCK // 8] = np.frombuffer(block, np.uint8)
 
-    def has(self, lang: str, phrases: pa.Array) -> np.ndarray:
-        from xxhash import xxh64_intdigest
-
-        seed = xxh64_intdigest(lang.encode(), 42)
-        hashes = np.fromiter((xxh64_intdigest(p, seed) for p in phrases.to_pylist()), np.uint64, len(phrases))
-        out = np.ones(len(phrases), bool)
+    def passes(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.ones(len(hashes), bool)
         for at in probes(hashes, 8 * len(self.bits)):
             out &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
         return out
 
 
 def probes(hashes: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-    step = mix(hashes) | np.uint64(1)
+    step = mix(hashes) | U(1)
     for k in range(PROBES):
-        yield ((hashes + np.uint64(k) * step) & np.uint64(bits - 1)).astype(np.int64)
+        yield ((hashes + U(k) * step) & U(bits - 1)).astype(np.int64)
+
+
+def word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
+    from xxhash import xxh64_intdigest
+
+    seed = xxh64_intdigest(lang.encode())
+    return np.fromiter((xxh64_intdigest(w, seed) for w in words), U, len(words))
+
+
+def longer(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The hashes of phrases with one more word each."""
+    return mix(hashes * U(0xD6E8FEB86659FD93) + words)
 
 
-def frequent(words: DataFrame) -> _Filter:
-    """The filter of ``words(lang, phrase)``; it has BITS bits a row up to MOST_BITS in all, and more rows only let more pass."""
-    n = _shared.count(words)
+def frequent(phrases: DataFrame) -> _Filter:
+    """The filter of ``phrases(lang, phrase)``; it has BITS bits a row up to MOST_BITS in all, and more rows only let more pass."""
+    n = _shared.count(phrases)
     bits = min(MOST_BITS, max(BLOCK, 1 << (BITS * n).bit_length()))
 
     def at(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places = np.concatenate(list(probes(batch.column(0).to_numpy().view(np.uint64), bits)))
+            hashes = np.zeros(len(batch), U)
+            for i, (lang, phrase) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                own = word_hashes(lang, phrase.encode().split(b" "))
+                hashes[i : i + 1] = reduce(longer, (own[k : k + 1] for k in range(len(own))))
+            places = np.concatenate(list(probes(hashes, bits)))
             yield pa.RecordBatch.from_arrays([pa.array(places // BLOCK, pa.int32()), pa.array(places % BLOCK, pa.int32())], ["block", "bit"])
 
     def joined(key, rows):
@@ -141,7 +153,7 @@ def frequent(words: DataFrame) -> _Filter:
         block[rows["bit"].to_numpy()] = 1
         return pd.DataFrame({"block": [key[0]], "bits": [np.packbits(block, bitorder="little").tobytes()]})
 
-    set_ = words.select(F.xxhash64("lang", "phrase").alias("hash")).mapInArrow(at, "block int, bit int").distinct()
+    set_ = phrases.select("lang", "phrase").mapInArrow(at, "block int, bit int").distinct()
     rows = set_.groupBy("block").applyInPandas(joined, "block int, bits binary").collect()  # MOST_BITS at most
     return _Filter({r.block: bytes(r.bits) for r in rows}, bits)
 
@@ -168,7 +180,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes],
 def _rows(lang: str, phrases: pa.Array, n: np.ndarray) -> Iterator[pa.RecordBatch]:
     for lo in range(0, len(n), JOINED):
         part = phrases[lo : lo + JOINED].cast(pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), part, pa.array(n[lo : lo + JOINED], pa.int64())], ["lang", "phrase", "n"])
+        yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(part)), part, pa.array(n[lo : lo + JOINED], pa.int64())], ["lang", "phrase", "n"])
 
 
 def word_counts(own: DataFrame) -> DataFrame:
@@ -215,24 +227,22 @@ class _Shard:
 
     def phrases(self, lang: str, size: int, filters: list[_Filter]) -> Iterator[tuple[pa.Array, np.ndarray]]:
         """The phrases of ``size`` words whose parts of 1, 2, ... words pass the filters, and their counts."""
-        words, texts = np.concatenate(self.words).astype(np.int64), pa.array(list(self.known), pa.binary())
-        bits, key = 63 // size, words
-        passes = np.append(False, filters[0].has(lang, texts))[words]
+        words, known = np.concatenate(self.words).astype(np.int64), list(self.known)
+        hashes = np.append(U(0), word_hashes(lang, known))
+        passes, hashes = np.append(False, filters[0].passes(hashes[1:]))[words], hashes[words]
+        phrase = hashes
         for n in range(2, size + 1):
             # a phrase may be frequent where what it is without its first word and without its last are
-            both = passes.copy()
-            both[1:] &= passes[:-1]
-            both[0] = False
-            if n == size:
-                automaton = Automaton(words, size, both & np.concatenate(self.ends))
-                yield from ((_joined(texts, rows[lo : lo + JOINED]), n[lo : lo + JOINED]) for rows, n in [automaton.substrings(size)] for lo in range(0, len(n), JOINED))
-                return
-            key = np.append(0, key[:-1]) << bits | words
-            at = np.flatnonzero(both)
-            own, of = np.unique(key[at], return_inverse=True)
-            rows = np.stack([own >> bits * (n - 1 - k) & (1 << bits) - 1 for k in range(n)], 1)
-            passes = np.zeros(len(words), bool)
-            passes[at] = filters[n - 1].has(lang, _joined(texts, rows))[of]
+            passes[1:] &= passes[:-1].copy()
+            passes[0] = False
+            if n < size:
+                phrase = longer(np.append(U(0), phrase[:-1]), hashes)
+                at = np.flatnonzero(passes)
+                passes[at] = filters[n - 1].passes(phrase[at])
+        automaton, texts = Automaton(words, size, passes & np.concatenate(self.ends)), pa.array(known, pa.binary())
+        rows, n = automaton.substrings(size)
+        for lo in range(0, len(n), JOINED):
+            yield _joined(texts, rows[lo : lo + JOINED]), n[lo : lo + JOINED]
 
 
 def _joined(texts: pa.Array, rows: np.ndarray) -> pa.Array:

@@ -87,14 +87,18 @@ def test_rare_words_cut_but_do_not_decide(spark, monkeypatch):
     assert sorted(map(tuple, collocation.collocations(docs).collect())) == want
 
 
-def test_the_filter_passes_all_frequent_words(spark):
-    words = [(lang, f"w{i}é") for lang in ("en", "de", "") for i in range(3000)]
-    kept = collocation.frequent(spark.createDataFrame(words, "lang string, phrase string"))
+def test_the_filter_passes_all_frequent_phrases(spark):
+    rows = [(lang, f"w{i}é x{i}") for lang in ("en", "de", "") for i in range(3000)]
+    kept = collocation.frequent(spark.createDataFrame(rows, "lang string, phrase string"))
+
+    def passes(lang, words, more):
+        return kept.passes(collocation.longer(collocation.word_hashes(lang, words), collocation.word_hashes(lang, more)))
+
     for lang in ("en", "de", ""):
-        assert kept.has(lang, pa.array([f"w{i}é".encode() for i in range(3000)])).all()
-    assert kept.has("en", pa.array([f"v{i}".encode() for i in range(10000)])).mean() < 0.02
+        assert passes(lang, [f"w{i}é".encode() for i in range(3000)], [b"x%d" % i for i in range(3000)]).all()
+    assert passes("en", [f"w{i}é".encode() for i in range(3000)], [b"x%d" % (i + 1) for i in range(3000)]).mean() < 0.02
     none = collocation.frequent(spark.createDataFrame([], "lang string, phrase string"))
-    assert not none.has("en", pa.array([b"x"])).any()
+    assert not none.passes(collocation.word_hashes("en", [b"x"])).any()
 
 
 def test_automaton_states_are_classes_of_end_places():
