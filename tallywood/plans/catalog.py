@@ -8,24 +8,7 @@ from pyspark.sql import functions as F
 
 from tallywood.functions.special import duck, fold_change, hash_uniform, ln_gamma, ln_gamma_sql, register_functions
 from tallywood.operators import contfrac, coverage, extrapolate, histogram, moments, rarefy
-
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(oracle: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from tallywood.plans.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 def _hist_sql(keys: str, of: str, by: str = "") -> str:
     """A histogram in SQL: ``by`` columns, multiplicity, n_keys."""
