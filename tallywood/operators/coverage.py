@@ -61,9 +61,29 @@ def known_bases(seq: Column) -> Column:
     return F.length(F.regexp_replace(seq, "N", ""))
 
 
-def coverage_histogram(bins: DataFrame, chrom: str = "chrom", by: Sequence[str] = ()) -> DataFrame:
-    """How many bins are covered so many times."""
-    return histogram(bins, [chrom, "bin"], by)
+def coverage_histogram(bins: DataFrame, chrom: str = "chrom", by: Sequence[str] = (), compat: str = "exact", origin: tuple | None = None) -> DataFrame:
+    """How many bins are covered so many times.
+
+    ``compat="reference"`` gives what a count of runs over sorted bins gives that never closes its
+    last run and closes one before its first bin: the last bin, by chromosome and place, is missing,
+    and a bin covered once is added, unless the first bin is ``origin`` (chromosome and bin), with
+    which such a count begins. Both are read off the histogram itself, which keeps the first and the
+    last place of each multiplicity.
+    """
+    if compat not in ("exact", "reference"):
+        raise ValueError(f"unknown compat: {compat}")
+    if compat == "exact":
+        return histogram(bins, [chrom, "bin"], by)
+    place = F.struct(F.col(chrom).alias("chrom"), F.col("bin").alias("bin"))
+    covered = bins.groupBy(*by, chrom, "bin").agg(F.count("*").alias("multiplicity"))
+    hist = covered.groupBy(*by, "multiplicity").agg(F.count("*").alias("n"), F.min(place).alias("lo"), F.max(place).alias("hi"))
+    ends = hist.groupBy(*by).agg(F.max_by("multiplicity", "hi").alias("lost"), F.min("lo").alias("lo"))
+    first = F.lit(1) if origin is None else F.when((F.col("lo.chrom") == origin[0]) & (F.col("lo.bin") == origin[1]), 0).otherwise(1)
+    lost = ends.select(*by, F.col("lost").alias("multiplicity"), F.lit(-1).alias("n"))
+    added = ends.where("lost is not null").select(*by, F.lit(1).cast("long").alias("multiplicity"), first.alias("n"))
+    # few rows: those of the histogram and two for each of ``by``
+    both = hist.select(*by, "multiplicity", F.col("n").cast("long").alias("n")).union(lost.where("multiplicity is not null")).union(added)
+    return both.groupBy(*by, "multiplicity").agg(F.sum("n").cast("double").alias("n_keys")).where("n_keys > 0")
 
 
 def reference_length(cigar: Column) -> Column:

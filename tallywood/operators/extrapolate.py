@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallywood.functions.storage import shared_folder
 from tallywood.operators import contfrac, moments
 
 #: Rows of a histogram that may travel to every task; distinct multiplicities grow with the square root of the table.
@@ -90,6 +91,57 @@ def quick_bound(hist: DataFrame, most_points: int = 10, by: Sequence[str] = ())
     return _grouped(hist, by).applyInPandas(one, f"{_fields(hist, by)}estimate double, n_points int")
 
 
+def diagnostics(hist: DataFrame, max_terms: int = 100, most_points: int = 10, by: Sequence[str] = ()) -> DataFrame:
+    """What the estimates of each histogram rest on: ``by, kind, nr, value``, a row for each number.
+
+    ``total``, ``distinct``, ``max_count``, ``n_counts``, ``singletons``, ``two_fold`` and ``terms``
+    (``nr`` 0); of the fraction ``series``, ``coefficient`` and ``degree`` (none where no fraction is
+    stable); of the bound ``moment``, ``alpha``, ``beta``, ``point``, ``weight``, ``n_points`` and
+    ``unseen``, numbered from 0.
+    """
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        h = contfrac.Histogram.of(pdf["multiplicity"], pdf["n_keys"])
+        found = _facts(h, max_terms, most_points)
+        rows = [(kind, at, float(x)) for kind, values in found.items() for at, x in enumerate(np.atleast_1d(values))]
+        return _rows(pdf, by, kind=[r[0] for r in rows], nr=[r[1] for r in rows], value=[r[2] for r in rows])
+
+    return _grouped(hist, by).applyInPandas(one, f"{_fields(hist, by)}kind string, nr int, value double")
+
+
+def bootstrap_diagnostics(hist: DataFrame, replicates: int = 100, max_terms: int = 100, most_points: int = 10, seed: int = 408) -> DataFrame:
+    """:func:`diagnostics` of the first ``replicates`` redraws: ``attempt, kind, nr, value``."""
+    spark = hist.sparkSession
+    j, h = _small(hist)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for attempt in pdf["id"]:
+                found = _facts(resample(j, h, seed, int(attempt)), max_terms, most_points)
+                rows = [(int(attempt), kind, at, float(x)) for kind, values in found.items() for at, x in enumerate(np.atleast_1d(values))]
+                yield pd.DataFrame(rows, columns=["attempt", "kind", "nr", "value"])
+
+    return spark.range(0, replicates, numPartitions=min(replicates, spark.sparkContext.defaultParallelism)).mapInPandas(run, "attempt long, kind string, nr int, value double")
+
+
+def _facts(h: contfrac.Histogram, max_terms: int, most_points: int) -> dict:
+    head = h.head(max(max_terms, 2 * most_points) + 1)
+    terms = contfrac.terms_of(head[: max_terms + 2], max_terms)
+    single = float(head[1]) if len(head) > 1 else 0.0
+    found = {"total": h.total, "distinct": h.distinct, "max_count": h.j.max(initial=0), "n_counts": len(h.j), "singletons": single, "two_fold": float(np.where(h.j % 2 == 1, 1.0, -1.0) @ h.h), "terms": terms}
+    best = contfrac.optimal(head[: max_terms + 2], terms) if terms >= 4 else None
+    if best is not None:
+        found |= {"series": np.where(np.arange(terms) % 2 == 0, 1.0, -1.0) * head[1 : terms + 1], "coefficient": best.fraction, "degree": best.degree}
+    mu = moments.moments_of(head, 2 * most_points) if single > 0 else np.empty(0)
+    found["moment"] = mu
+    if len(mu) >= 2:
+        n = moments.definite(mu, most_points)
+        alpha, beta = moments.recurrence(mu, n)
+        points, weights = moments.rule(mu, n)
+        found |= {"alpha": alpha, "beta": beta, "point": points, "weight": weights, "n_points": len(points), "unseen": float((single * weights / points).sum()) if len(points) else 0.0}
+    return found
+
+
 def _small(hist: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     rows = hist.where("n_keys > 0").select("multiplicity", "n_keys").limit(MOST_BINS + 1).toPandas().sort_values("multiplicity")
     if len(rows) > MOST_BINS:
@@ -97,6 +149,12 @@ def _small(hist: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return rows["multiplicity"].to_numpy(), rows["n_keys"].to_numpy()
 
 
+def local(hist: DataFrame) -> DataFrame:
+    """The histogram as rows of the plan itself, so that what uses it several times computes it once; MOST_BINS rows at most."""
+    j, h = _small(hist)
+    return hist.sparkSession.createDataFrame(pd.DataFrame({"multiplicity": j.astype(np.int64), "n_keys": h.astype(float)}), "multiplicity long, n_keys double")
+
+
 def resample(j: np.ndarray, h: np.ndarray, seed: int, attempt: int) -> contfrac.Histogram:
     """A multinomial redraw of a histogram; it depends on the seed and the attempt alone."""
     return contfrac.Histogram.of(j, np.random.default_rng([seed, attempt]).multinomial(int(h.sum()), h / h.sum()))
@@ -122,16 +180,15 @@ def bootstrap_curves(hist: DataFrame, step: float, most: float, replicates: int
                 if y is not None and (defects or contfrac.stable(y)):
                     yield pd.DataFrame({"attempt": [attempt], "curve": [y]})
 
+    shared_folder(spark)  # for the waves, each of which is run once
     done, waves, tasks = 0, [], max(1, spark.sparkContext.defaultParallelism)
     while done < budget * replicates:
         wave = min(2 * replicates, budget * replicates - done)
-        waves.append(spark.range(done, done + wave, numPartitions=min(tasks, wave)).mapInPandas(run, "attempt long, curve array<double>").persist())
+        waves.append(spark.range(done, done + wave, numPartitions=min(tasks, wave)).mapInPandas(run, "attempt long, curve array<double>").checkpoint())
         done += wave
         found = reduce(DataFrame.union, waves)
         if found.count() >= replicates:
             return found.orderBy("attempt").limit(replicates)
-    for w in waves:
-        w.unpersist()
     raise ValueError("too few resampled curves were stable")
 
 
@@ -173,12 +230,13 @@ def converged(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def pop_size(hist: DataFrame, most: float = 0, steps: int = 50, level: float = 0.95, **options) -> DataFrame:
     """One row ``pop_size_estimate, lower, upper, converged``: the end of a very long curve."""
+    hist = local(hist)
     h = horizon(hist, steps).first()
     end, step = (h.most, h.step) if not most else (most, (most - h.most / 1e9) / steps)
-    curve = lc_extrap(hist, step, end, level, **options).persist()
-    flag = converged(curve.select("x", F.col("median").alias("y")))
-    last = curve.orderBy(F.desc("x")).limit(1)
-    return last.crossJoin(flag).select(F.col("median").alias("pop_size_estimate"), "lower", "upper", "converged")  # one row each
+    curve = with_increments(lc_extrap(hist, step, end, level, **options).withColumn("y", F.col("median")))
+    last = curve.agg(F.max_by(F.struct("median", "lower", "upper", "increment"), "x").alias("_l"), F.count("*").alias("_n"))
+    flag = F.coalesce((F.col("_n") >= 3) & (F.col("_l.increment") < 1), F.lit(False))
+    return last.select(F.col("_l.median").alias("pop_size_estimate"), "_l.lower", "_l.upper", flag.alias("converged"))
 
 
 def bound_pop(hist: DataFrame, replicates: int = 500, most_points: int = 10, max_replicates: int = 100, level: float = 0.95, seed: int = 408) -> DataFrame:

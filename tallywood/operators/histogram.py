@@ -60,34 +60,39 @@ def usable_terms(hist: DataFrame, max_terms: int = 100, by: Sequence[str] = (),
     return out.withColumn("terms", terms - terms % 2 if even else terms)
 
 
+def _leading(hist: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Bins with keys, with ``_leading``: how many bins from 1 on are there without a gap. One pass."""
+    run = hist.where("n_keys > 0 and multiplicity >= 1").withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("multiplicity")))
+    return run.withColumn("_leading", F.count_if(F.col("_n") == F.col("multiplicity")).over(Window.partitionBy(*by)))
+
+
+_SIGN = "case when multiplicity % 2 = 1 then 1D else -1D end"
+
+
 def gate(hist: DataFrame, max_terms: int = 100, least_terms: int = 4, by: Sequence[str] = ()) -> DataFrame:
     """``status``: ``saturated``, ``too_shallow`` or ``ok``, with what it was judged by."""
-    terms, two_fold = usable_terms(hist, max_terms, by), good_toulmin(hist, by)
-    both = terms.join(two_fold, list(by)) if by else terms.crossJoin(two_fold)  # one row each
+    leading, two_fold = F.coalesce(F.max("_leading"), F.lit(0)), F.coalesce(F.sum(F.expr(_SIGN) * F.col("n_keys")), F.lit(0.0))
+    rows = _leading(hist, by).groupBy(*by).agg((leading + 1).alias("first_zero"), two_fold.alias("two_fold"))
+    terms = F.least(F.lit(max_terms).cast("long"), F.col("first_zero") - 1)
     status = F.when(F.col("two_fold") < 0, "saturated").when(F.col("terms") < least_terms, "too_shallow").otherwise("ok")
-    return both.withColumn("status", status)
+    return rows.withColumn("terms", terms - terms % 2).select(*by, "first_zero", "terms", "two_fold", status.alias("status"))
 
 
 def power_series(hist: DataFrame, max_terms: int = 100, by: Sequence[str] = ()) -> DataFrame:
     """``term, coefficient``: the alternating series of new keys per unit of fold change, term from 0."""
-    terms = usable_terms(hist, max_terms, by).select(*by, "terms")
-    rows = hist.join(terms, list(by)) if by else hist.crossJoin(terms)  # one row of terms
-    sign = F.when(F.col("multiplicity") % 2 == 1, 1.0).otherwise(-1.0)
-    return rows.where("multiplicity between 1 and terms").select(*by, (F.col("multiplicity") - 1).alias("term"), (sign * F.col("n_keys")).alias("coefficient"))
+    most = F.least(F.lit(max_terms).cast("long"), F.col("_leading"))
+    rows = _leading(hist, by).where(F.col("multiplicity") <= most - most % 2)
+    return rows.select(*by, (F.col("multiplicity") - 1).alias("term"), (F.expr(_SIGN) * F.col("n_keys")).alias("coefficient"))
 
 
 def factorial_moments(hist: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """``r, moment``: (r + 1)! h[r + 1] / h[1] from r = 0, up to the first empty bin."""
+    """``r, moment, ln_moment``: (r + 1)! h[r + 1] / h[1] from r = 0, up to the first empty bin; the moment is infinite where it passes a double."""
     from tallywood.functions.special import ln_gamma
 
-    run = usable_terms(hist, 1 << 30, by, even=False).select(*by, F.col("terms").alias("_terms"))
-    first = hist.where("multiplicity = 1").select(*by, F.col("n_keys").alias("_h1"))
-    rows = hist
-    for one in (run, first):
-        rows = rows.join(one, list(by)) if by else rows.crossJoin(one)  # one row each
-    r = F.col("multiplicity") - 1
-    moment = F.exp(ln_gamma(F.col("multiplicity") + 1) + F.log("n_keys") - F.log("_h1"))
-    return rows.where("multiplicity between 1 and _terms").select(*by, r.alias("r"), moment.alias("moment"))
+    first = F.max(F.when(F.col("multiplicity") == 1, F.col("n_keys"))).over(Window.partitionBy(*by))
+    rows = _leading(hist, by).withColumn("_h1", first).where("multiplicity <= _leading")
+    moment = ln_gamma(F.col("multiplicity") + 1) + F.log("n_keys") - F.log("_h1")
+    return rows.select(*by, (F.col("multiplicity") - 1).alias("r"), F.exp(moment).alias("moment"), moment.alias("ln_moment"))
 
 
 def chao1(hist: DataFrame, by: Sequence[str] = ()) -> DataFrame:

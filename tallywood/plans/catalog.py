@@ -119,15 +119,15 @@ def depth_gate_status(spark, sf_dir):
     return histogram.gate(_keyed(spark, sf_dir), by=["sample"]).select("sample", "status")
 
 
-@query(f"with {WORD_HIST} select multiplicity - 1 as term, case when multiplicity % 2 = 1 then n_keys else -n_keys end as coefficient from h where multiplicity between 1 and 8")
+@query(f"with {WORD_HIST} select multiplicity - 1 as term, case when multiplicity % 2 = 1 then n_keys else -n_keys end as coefficient from h join (select case when n % 2 = 0 then n else n - 1 end as most from (select least(100, count(*)) as n from (select multiplicity, row_number() over (order by multiplicity) as i from h) where i = multiplicity)) on multiplicity <= most")
 def power_series_coeffs(spark, sf_dir):
-    return histogram.power_series(hist_words(spark, sf_dir), 8)
+    return histogram.power_series(hist_words(spark, sf_dir))
 
 
-@query(f"with {WORD_HIST}, f as (select n_keys as h1 from h where multiplicity = 1) select multiplicity - 1 as r, round(exp({duck(ln_gamma_sql('(multiplicity + 1)'))} + ln(n_keys) - ln(h1)) / pow(10, multiplicity - 1), 6) as moment from h, f where multiplicity <= 12")
+# moments grow to hundreds of digits, so their logarithms are compared
+@query(f"with {WORD_HIST}, f as (select n_keys as h1 from h where multiplicity = 1), i as (select *, row_number() over (order by multiplicity) as i from h) select multiplicity - 1 as r, round({duck(ln_gamma_sql('(multiplicity + 1)'))} + ln(n_keys) - ln(h1), 6) as ln_moment from i, f where i = multiplicity")
 def factorial_moments(spark, sf_dir):
-    rows = histogram.factorial_moments(hist_words(spark, sf_dir)).where("r < 12")
-    return rows.select("r", F.round(F.col("moment") / F.pow(F.lit(10.0), F.col("r")), 6).alias("moment"))
+    return _rounded(histogram.factorial_moments(hist_words(spark, sf_dir)).select("r", "ln_moment"), "ln_moment", digits=6)
 
 
 @query(f"select cast(x as bigint) as x, round({duck(ln_gamma_sql('(x + 1)'))}, 6) as ln_factorial from (select unnest(range(2, 200)) as x)")
@@ -169,11 +169,12 @@ def rarefy_by_group(spark, sf_dir):
     return rarefy.rarefaction_curve(hist, 10_000, ["lang"])
 
 
-@query(f"with {PART_SUPP}, t as (select sum(multiplicity * n_keys) as total from h) select x, round((x - total) / total, 6) as fold_change from (select total, unnest(range(10000, 1000001, 10000)) as x from t)")
+@query(f"with {PART_SUPP}, t as (select sum(multiplicity * n_keys) as total from h) select k, round((k * total / 10 - total) / total, 6) as fold_change from t, (select unnest(range(1, 1001)) as k)")
 def fold_change_grid(spark, sf_dir):
+    """At tenths of the sample, up to a hundred times its size."""
     total = histogram.summary(part_supp(spark, sf_dir)).select("total")
-    rows = total.select("total", F.explode(F.sequence(F.lit(10_000).cast("long"), F.lit(1_000_000).cast("long"), F.lit(10_000).cast("long"))).alias("x"))
-    return rows.select("x", F.round(fold_change(F.col("x"), F.col("total")), 6).alias("fold_change"))
+    rows = total.select("total", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(1000).cast("long"))).alias("k"))
+    return rows.select("k", F.round(fold_change(F.col("k") * F.col("total") / 10, F.col("total")), 6).alias("fold_change"))
 
 
 # intervals: supplier as chromosome, part as start, quantity as width
@@ -358,17 +359,9 @@ def quick_extrap_samples(spark, sf_dir):
     return _rounded(extrapolate.quick_curve(_keyed(spark, sf_dir), *FOLDS, by=["sample"], in_totals=True), "expected_distinct")
 
 
-# where the histogram has four usable terms, as that of whole texts has at the middle scale
-_QUICK = f"""with {DOC_HIST}, {_P}, {_QD}, t0 as (select sum(multiplicity * n_keys) as nn, sum(n_keys) as ss from h),
-g as (select nn, ss, i * 500.0 as x from t0, (select unnest(range(1, 40)) as i)),
-far as (select x, ss + t * ({_CF}) as y from (select x, ss, (x - nn) / nn as t from g where x >= nn), q)
-select cast(x as double) as x, round(cast(y as double), 4) as expected_distinct, 'ok' as status from far
-union all select cast(n as double), round(expected_distinct, 4), 'ok' from ({_rarefy_sql(DOC_HIST, '500', True)}) where n < (select nn from t0)"""
-
-
-@query(_QUICK)
+@query(_quick_sql(_one(_hist_sql("text", "documents")), *FOLDS))
 def quick_extrap_docs_dup(spark, sf_dir):
-    return _rounded(extrapolate.quick_curve(doc_copies(spark, sf_dir), 500, 20_000), "expected_distinct")
+    return _rounded(extrapolate.quick_curve(doc_copies(spark, sf_dir), *FOLDS, in_totals=True), "expected_distinct")
 
 
 @query(_quick_sql(_one(_hist_sql("chrom, bin", _FLOOR)), *FOLDS, times=10))
@@ -440,11 +433,19 @@ def percentile_ci_of_replicates(spark, sf_dir):
 
 @query(None)
 def bootstrap_curve_ci(spark, sf_dir):
-    hist = hist_words(spark, sf_dir).persist()
+    hist = extrapolate.local(hist_words(spark, sf_dir))
     total = histogram.summary(hist).first().total
     return extrapolate.lc_extrap(hist, *(f * total for f in FOLDS))
 
 
+@query(None)
+def gc_extrap_ci(spark, sf_dir):
+    """Bases of covered bins, with limits."""
+    hist = extrapolate.local(coverage_hist(spark, sf_dir))
+    total = histogram.summary(hist).first().total
+    return extrapolate.gc_extrap(hist, 10, *(10 * f * total for f in FOLDS))
+
+
 @query(None)
 def bootstrap_bound_ci(spark, sf_dir):
     return extrapolate.bound_pop(hist_words(spark, sf_dir))
@@ -455,16 +456,16 @@ def pop_size_horizon(spark, sf_dir):
     return _rounded(extrapolate.horizon(part_supp(spark, sf_dir)), "step", digits=2)
 
 
-_RUNNING = "(select user_id, event_id as x, sum(value) over (partition by user_id order by event_id) as y, count(*) over (partition by user_id) as n, row_number() over (partition by user_id order by event_id desc) as back, value as inc from events)"
+_RUNNING = "(select user_id, cast(value as decimal(18, 6)) as inc, count(*) over (partition by user_id) as n, row_number() over (partition by user_id order by event_id desc) as back from events)"
 
 
-@query(f"select user_id, n >= 3 and inc < 1 as converged from {_RUNNING} where back = 1 and abs(inc - 1) > 1e-6")
+@query(f"select user_id, n >= 3 and inc < 1 as converged from {_RUNNING} where back = 1")
 def pop_size_convergence(spark, sf_dir):
+    """Of each user's running sum, in exact decimals."""
     running = Window.partitionBy("user_id").orderBy("event_id")
-    curve = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("x"), F.sum("value").over(running).alias("y"), "value")
-    # increments of about 1 are told apart by rounding only, so neither side has them
-    sure = curve.groupBy("user_id").agg(F.max_by("value", "x").alias("v")).where(F.abs(F.col("v") - 1) > 1e-6).select("user_id")
-    return extrapolate.converged(curve.select("user_id", "x", "y"), ["user_id"]).join(sure, "user_id").select("user_id", "converged")
+    value = F.col("value").cast("decimal(18,6)")
+    curve = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("x"), F.sum(value).over(running).alias("y"))
+    return extrapolate.converged(curve, ["user_id"]).select("user_id", "converged")
 
 
 @query(None)

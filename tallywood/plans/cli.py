@@ -74,9 +74,10 @@ def load(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
 
 def run(spark: SparkSession, argv: list[str]) -> list[str]:
     a = parser().parse_args(argv)
-    hist = load(spark, a).persist()
+    hist = extrapolate.local(load(spark, a))
     if a.verbose:
-        print(histogram.summary(hist).first().asDict(), file=sys.stderr)
+        for r in extrapolate.diagnostics(hist, getattr(a, "terms", 100), getattr(a, "points", 10)).orderBy("kind", "nr").collect():
+            print(f"{r.kind}\t{r.nr}\t{r.value}", file=sys.stderr)
     if a.hist_out:
         with open(a.hist_out, "w") as f:
             f.write("\n".join(report.histogram(hist)) + "\n")

@@ -9,8 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywood.operators import cigar
+from tallywood.functions.storage import shared_folder
+from tallywood.operators import cigar, coverage, extrapolate, histogram, ordering
+from tallywood.plans.catalog import WORDS, _hist_sql, words
 from tallywood.plans.registry import query, table
+from tallywood.streaming import reorder
 
 # An order's mates, as text for both engines: lengths of operations, the mate's place, kinds of conversion.
 _FORWARD = "concat(1 + ok % 4, 'S', 5 + pk % 20, 'M', 1 + ln, 'I', 3 + ok % 11, 'M', 1 + sk % 5, 'D', 4 + pk % 9, '=')"
@@ -131,3 +134,59 @@ def mate_predicates(spark, sf_dir):
     pairs = a.join(b, F.col("a.name") == F.col("b.name"))
     counted = {"pairs": F.lit(True), "mates": cigar.are_mates("a", "b"), "by_start": cigar.precedes_by_start("a", "b"), "by_end": cigar.precedes_by_end_and_strand("a", "b")}
     return pairs.groupBy("a.tid").agg(*(F.count_if(x).alias(k) for k, x in counted.items()))
+
+
+# orders as the rows of a file, in order of their keys; a block is a thousand of them
+_FILE = "r as (select o_orderkey as place, (o_orderkey // 400) % 9 as chrom, o_custkey as s, o_custkey + o_orderkey % 50 as e from orders), p as (select *, lag(chrom) over (order by place) as pc, lag(s) over (order by place) as ps, lag(e) over (order by place) as pe, row_number() over (order by place) as n from r)"
+
+
+@query(f"""with {_FILE}, i as (select *, row_number() over (partition by chrom order by place) as k from p where n = 1 or pc <> chrom), f as (select *, max(s) over (partition by chrom order by place rows between unbounded preceding and 1 preceding) as m from r)
+select place, 'start' as rule from p where pc = chrom and s < ps union all select place, 'pair' from p where pc = chrom and s < ps and e < pe
+union all select place, 'position' from p where chrom < pc or (chrom = pc and s < ps) union all select place, 'returns' from i where k > case when chrom = (select arg_min(chrom, place) from r) then 2 else 1 end
+union all select place, 'reach' from f where s + 500 < m""")
+def order_violations(spark, sf_dir):
+    """Rows that break any rule of order."""
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey div 1000 as block", "o_orderkey as place", "(o_orderkey div 400) % 9 as chrom", "o_custkey as start", "o_custkey + o_orderkey % 50 as end")
+    return ordering.violations(rows, ["block"], "place", rules=ordering.RULES, reach=500, first_may_return=True).select("place", "rule")
+
+
+_COVERED = "c as (select l_suppkey as chrom, l_partkey // 10 as bin, count(*) as m from lineitem group by 1, 2), h as (select m, count(*) as n from c group by m)"
+
+
+@query(f"with {_COVERED}, x as (select arg_max(m, [chrom, bin]) as m from c) select m as multiplicity, cast(sum(n) as double) as n_keys from (select m, n from h union all select m, -1 from x union all select 1, case when (select min([chrom, bin]) from c) = [1, 0] then 0 else 1 end) group by m having sum(n) > 0")
+def coverage_hist_reference(spark, sf_dir):
+    """The coverage histogram as a count of runs gives it that loses its last run and adds one before its first."""
+    bins = table(spark, sf_dir, "lineitem").selectExpr("l_suppkey as chrom", "l_partkey div 10 as bin")
+    return coverage.coverage_histogram(bins, compat="reference", origin=(1, 0))
+
+
+_HOUR = "epoch_us(ts) // 3600000000"
+REACH = 24
+
+
+@query(f"with c as (select user_id, {_HOUR} as hour, count(*) as count from events group by 1, 2), m as (select user_id, max(hour) as m from c group by 1), d as (select *, row_number() over (partition by user_id order by hour desc) as back from c join m using (user_id) where hour + {REACH} < m) select user_id, hour, count from d where back > 1")
+def stream_in_order(spark, sf_dir):
+    """A stream of events counted by user and hour; what no later row within a day can change."""
+    path, own = f"{sf_dir}/events.parquet", reorder.session_with_state(spark)
+    events = own.read.parquet(path)
+    files = own.readStream.schema(events.schema)
+    in_folder = all(f.rsplit("/", 2)[1] == "events.parquet" for f in events.inputFiles())
+    rows = files.parquet(path) if in_folder else files.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    hours = rows.selectExpr("user_id", "timestampdiff(HOUR, timestamp_ntz '1970-01-01 00:00:00', ts) as hour")
+    folder = shared_folder(spark)
+    query = reorder.in_order(hours, ["user_id"], "hour", REACH).writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return own.read.schema("user_id long, hour long, count long, late boolean").parquet(f"{folder}/rows").select("user_id", "hour", "count")
+
+
+@query(f"""with h as ({_hist_sql('w', WORDS)}), s as (select sum(multiplicity * n_keys) as total, sum(n_keys) as d, max(multiplicity) as m, count(*) as n, sum(case when multiplicity = 1 then n_keys else 0 end) as h1, sum(case when multiplicity % 2 = 1 then n_keys else -n_keys end) as two from h),
+f as (select multiplicity as j, n_keys / (select h1 from s) * (case multiplicity when 1 then 1 when 2 then 2 when 3 then 6 else 24 end) as mu from h where multiplicity <= 4),
+m as (select max(mu) filter (where j = 1) as m0, max(mu) filter (where j = 2) as m1, max(mu) filter (where j = 3) as m2, max(mu) filter (where j = 4) as m3 from f)
+select kind, cast(nr as int) as nr, round(value, 4) as value from (select 'total' as kind, 0 as nr, total as value from s union all select 'distinct', 0, d from s union all select 'max_count', 0, m from s union all select 'n_counts', 0, n from s
+union all select 'singletons', 0, h1 from s union all select 'two_fold', 0, two from s union all select 'moment', j - 1, mu from f union all select 'alpha', 0, m1 from m union all select 'beta', 0, m0 from m
+union all select 'alpha', 1, (m3 - m1 * m2) / (m2 - m1 * m1) - m1 from m union all select 'beta', 1, m2 - m1 * m1 from m)""")
+def diagnostics_words(spark, sf_dir):
+    """What the estimates from words rest on: totals, moments and the recurrence of a rule of two points."""
+    rows = extrapolate.diagnostics(histogram.histogram(words(spark, sf_dir), ["w"]), most_points=2)
+    told = ("total", "distinct", "max_count", "n_counts", "singletons", "two_fold", "moment", "alpha", "beta")
+    return rows.where(F.col("kind").isin(*told)).select("kind", "nr", F.round("value", 4).alias("value"))

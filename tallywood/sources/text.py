@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallywood.operators.histogram import histogram_of_counts
+from tallywood.operators.ordering import in_file_order
 
 BED = "chrom string, start long, end long, name string, score double, strand string"
 MAPPED_READS = BED + ", seq string"
@@ -46,21 +47,23 @@ def read_counts(spark: SparkSession, path: str) -> DataFrame:
     return histogram_of_counts(lines.select(F.when(number != "", number).cast("double").alias("count")).where("count is not null"))
 
 
-def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def _table(spark: SparkSession, path: str, schema: str, keep_place: bool = False) -> DataFrame:
     """Tab-separated lines of at least three columns; those beyond the file's are null."""
     names = [c.split() for c in schema.split(", ")]
-    lines = spark.read.text(path).where("trim(value) <> ''")
+    lines = spark.read.text(path)
+    lines = (in_file_order(lines) if keep_place else lines).where("trim(value) <> ''")
+    place = [c for c in lines.columns if c != "value"]
     parts = F.split("value", "\t")
     wrong = (F.size(parts) < 3) | F.get(parts, F.lit(1)).try_cast("long").isNull() | F.get(parts, F.lit(2)).try_cast("long").isNull()
-    rows = lines.select(_error(wrong, "not an interval", F.col("value"), F.col("value")).alias("value")).select(parts.alias("p"))
-    return rows.select(*(F.get("p", F.lit(i)).try_cast(kind).alias(name) for i, (name, kind) in enumerate(names)))
+    rows = lines.select(_error(wrong, "not an interval", F.col("value"), F.col("value")).alias("value"), *place).select(parts.alias("p"), *place)
+    return rows.select(*(F.get("p", F.lit(i)).try_cast(kind).alias(name) for i, (name, kind) in enumerate(names)), *place)
 
 
-def read_bed(spark: SparkSession, path: str) -> DataFrame:
-    """``chrom, start, end, name, score, strand``."""
-    return _table(spark, path, BED)
+def read_bed(spark: SparkSession, path: str, keep_place: bool = False) -> DataFrame:
+    """``chrom, start, end, name, score, strand``; ``keep_place`` adds where a line stands, for :mod:`tallywood.operators.ordering`."""
+    return _table(spark, path, BED, keep_place)
 
 
-def read_mapped_reads(spark: SparkSession, path: str) -> DataFrame:
+def read_mapped_reads(spark: SparkSession, path: str, keep_place: bool = False) -> DataFrame:
     """An interval and its bases ``seq``."""
-    return _table(spark, path, MAPPED_READS)
+    return _table(spark, path, MAPPED_READS, keep_place)
