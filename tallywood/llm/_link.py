@@ -24,23 +24,21 @@ BLOCK_SETS, BLOCK_HASHES = 1024, 1 << 19
 SMALL_CELL = 16
 #: Up to so many keys are named to all tasks (8 bytes each), so that no other key moves; more are joined by a shuffle.
 MOST_NAMED = 1 << 21
-#: A key and a digest of its node, as they move to be counted; and about how many of a bucket are sorted at once.
-PAIR, BUCKET = np.dtype([("key", "<u8"), ("node", "<u4")]), 1 << 20
+#: A key and its node, as they move to meet others; and about how many of a bucket are sorted at once.
+PAIR, BUCKET = np.dtype([("key", "<u8"), ("node", "<u8")]), 1 << 20
 
 
 def _often(keys: DataFrame) -> DataFrame:
     """``key``: the keys that have two or more different nodes."""
-    # two 32-bit digests say whether a key's nodes differ, and combine before they move
-    digest = F.hash("node")
-    return keys.groupBy("key").agg(F.min(digest).alias("low"), F.max(digest).alias("high")).where("low <> high").select("key")
+    return keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
 
 
 def dealt(key: np.ndarray, node: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """``bucket, pairs``: keys (unsigned hashes) and the low 32 bits of their nodes (hashes too), in a row for each bucket that has some."""
+    """``bucket, pairs``: keys (unsigned hashes) and their nodes, in a row for each bucket that has some."""
     bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     pairs = np.empty(len(key), PAIR)
-    pairs["key"], pairs["node"] = key[order], (node[order].astype(np.uint64) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    pairs["key"], pairs["node"] = key[order], node[order].view(np.uint64)
     bucket = bucket[order]
     begin = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.empty(0, np.int64)
     offsets = np.append(begin, len(bucket)).astype(np.int32) * PAIR.itemsize
@@ -48,36 +46,49 @@ def dealt(key: np.ndarray, node: np.ndarray, buckets: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(bucket[begin]), packed], ["bucket", "pairs"])
 
 
-def often_of(pairs: DataFrame) -> DataFrame:
-    """As :func:`_often`, of rows that :func:`dealt` made: keys move as 12 bytes and not as rows, and a task sorts a bucket at a time."""
+def members_of(pairs: DataFrame) -> DataFrame:
+    """``key, node``, once each, of the keys with two or more different nodes among rows that :func:`dealt` made.
+
+    Keys move as 16 bytes and not as rows, and a task sorts a bucket at a time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def again(held: list[bytes]) -> pa.RecordBatch:
+        def shared(held: list[bytes]) -> Iterator[pa.RecordBatch]:
             rows = np.frombuffer(b"".join(held), PAIR)
-            key = rows["key"].copy()
+            key, node = np.ascontiguousarray(rows["key"]), rows["node"]
             order = np.argsort(key)
-            key, node = key[order], rows["node"][order]
-            # of the neighbours in a run of one key, some differ if any do
-            found = np.unique(key[1:][(key[1:] == key[:-1]) & (node[1:] != node[:-1])])
-            return pa.RecordBatch.from_arrays([pa.array(found.astype(np.uint64).view(np.int64))], ["key"])
+            key, node = key[order], node[order]
+            alike = key[1:] == key[:-1]
+            several = np.append(alike, False) | np.append(False, alike)
+            key, node = key[several], node[several]
+            order = np.lexsort((node, key))
+            key, node = key[order], node[order]
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+            key, node = key[new], node[new]
+            alike = key[1:] == key[:-1]
+            several = np.append(alike, False) | np.append(False, alike) if len(key) else np.empty(0, bool)
+            key, node = key[several].view(np.int64), node[several].view(np.int64)
+            for lo in range(0, len(key), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(key[lo : lo + (1 << 16)]), pa.array(node[lo : lo + (1 << 16)])], ["key", "node"])
 
         now, held = None, []
         for batch in batches:
             for bucket, own in zip(batch.column("bucket").to_pylist(), batch.column("pairs"), strict=True):
                 if held and bucket != now:
-                    yield again(held)
+                    yield from shared(held)
                     held = []
                 now = bucket
                 held.append(own.as_py())
         if held:
-            yield again(held)
+            yield from shared(held)
 
-    return pairs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "key long")
+    return pairs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "key long, node long")
 
 
-def _members(keys: DataFrame, often: DataFrame) -> DataFrame:
-    """``key, node``: the members of all keys that are in ``often``."""
-    often = _shared.cut(often)
+def members(keys: DataFrame) -> DataFrame:
+    """``key, node``, once each, of the keys of ``keys(key, node)`` with two or more different nodes."""
+    often = _shared.cut(_often(keys))
     named = F.broadcast(often) if _shared.count(often) <= MOST_NAMED else often
     return keys.join(named, "key").select("key", "node").distinct()
 
@@ -221,17 +232,16 @@ def _units(members: DataFrame) -> DataFrame:
     return members.join(named, "key").select("unit", "node").distinct()
 
 
-def linked(nodes: DataFrame | int, keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], part: int, whole: int, often: DataFrame | None = None) -> DataFrame:
+def linked(nodes: DataFrame | int, members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], part: int, whole: int) -> DataFrame:
     """``(node, component)`` of every node that is linked to another.
 
-    ``nodes`` has ``node`` and ``size`` (of its set), or is the size that none exceeds; ``keys`` has ``key`` and ``node``; two sets
-    with a key in common are linked where ``part * intersection >= whole * union``. ``sets_of(few)``
+    ``nodes`` has ``node`` and ``size`` (of its set), or is the size that none exceeds; ``members`` has ``key`` and ``node`` of
+    keys with several nodes, by :func:`members` or :func:`members_of`; two sets with a key in common are linked where ``part * intersection >= whole * union``. ``sets_of(few)``
     gives ``node`` and ``hashes`` (its set, as sorted distinct little-endian 64-bit integers) for the
-    nodes of a DataFrame ``few``. ``often`` has each ``key`` of two or more different nodes, where the
-    caller can tell them more cheaply. The component is named by its least node.
+    nodes of a DataFrame ``few``. The component is named by its least node.
     """
     sized = lambda rows: rows.withColumn("size", F.lit(nodes)) if isinstance(nodes, int) else rows.join(nodes.select("node", "size"), "node")
-    units = _shared.cut(_blocks(sized(_units(_shared.cut(_members(keys, _often(keys) if often is None else often)))), "unit"))
+    units = _shared.cut(_blocks(sized(_units(_shared.cut(members))), "unit"))
     # block i meets block j >= i in the cell (i, j)
     cells = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("block") == F.col("other"), 3).when(F.col("block") < F.col("other"), 1).otherwise(2)

@@ -18,7 +18,8 @@ ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
 #: Words between white space.
 NONSPACE = np.ones(256, bool)
 NONSPACE[[32, 9, 10, 11, 12, 13]] = False
-_VALUE = _LOWER.astype(U) + U(1)
+#: The first bytes of eight, by how many.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 _powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 
 
@@ -73,12 +74,19 @@ class Words:
     first: np.ndarray
 
     def hashes(self) -> np.ndarray:
-        """64-bit hashes of the words with A-Z lower-cased."""
-        n = len(self.data)
-        up, down = _power_tables(n)
-        sums = np.zeros(n + 1, U)
-        np.cumsum(_VALUE[self.data] * up[:n], out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * down[self.starts])
+        """64-bit hashes of the words with A-Z lower-cased: eight bytes at a time, each step a bijection of what was before."""
+        padded = np.concatenate([_LOWER[self.data], np.zeros(8, np.uint8)])
+        eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+        size = self.ends - self.starts
+        out = mix(size.astype(U) + U(_BASE))
+        left, at = np.arange(len(size)), self.starts
+        while len(left):
+            block = eight[at] & _MASKS[np.minimum(self.ends[left] - at, 8)]
+            out[left] = mix(out[left] * U(_BASE) + mix(block))
+            at = at + 8
+            on = at < self.ends[left]
+            left, at = left[on], at[on]
+        return out
 
     def text(self, i: int, j: int) -> bytes:
         """Words ``i`` to ``j`` lower-cased, one space between them."""

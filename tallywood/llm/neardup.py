@@ -125,7 +125,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         texts = own.select(F.col("doc_id").alias("node"), "text").join(few.distinct(), "node", "left_semi")
         return sets_of_texts(texts, width)
 
-    found = _link.linked(nodes, keys, sets_of, 100, percent)
+    found = _link.linked(nodes, _link.members(keys), sets_of, 100, percent)
     named = members.join(found, "node", "left").select("doc_id", "set_1", "set_2", F.coalesce("component", "node").alias("component_id")).distinct()
     out = rows.select("doc_id", "n_shingles", "set_1", "set_2").join(named, ["doc_id", "set_1", "set_2"], "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))

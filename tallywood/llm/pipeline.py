@@ -47,8 +47,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of least id, of each group of near-duplicates; of rows equal in id and text one."""
-    return _shared.without(docs, neardup.near_duplicates(docs).where("not kept")).dropDuplicates(["doc_id", "text"])
+    """One document, the one of least id, of each group of near-duplicates; of rows equal in id and text one. A row with a null id stays."""
+    name = _shared.fresh(docs, 1)[0]
+    kept = _shared.without(docs, neardup.near_duplicates(docs).where("not kept"))
+    apart = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    return kept.withColumn(name, apart).dropDuplicates(["doc_id", "text", name]).drop(name)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,15 +22,15 @@ from tallywood.llm._words import NONSPACE, U, Words, _power_tables, mix, shingle
 from tallywood.llm.neardup import distinct_sets, signatures
 
 #: A paragraph begins where a word's hash is the least of so many to each side; the most words of one.
-REACH, MOST = 6, 30
+REACH, MOST = 4, 30
 #: Values in a band, and pairs of exactly the least similarity that may agree in no band.
 ROWS, MISSED = 2, 0.01
 #: Words of the shortest passage.
 LEAST = 50
 #: Words around paragraphs that the alignment may go on into, and between two that it may bridge.
 AROUND = 48
-#: Up to so many ranges of words (some 64 bytes each), or ids of texts, are sent to all tasks; more meet the texts in a shuffle.
-MOST_RANGES, MOST_NAMED = 1 << 19, 1 << 21
+#: Up to so many ids of texts are sent to all tasks.
+MOST_NAMED = 1 << 21
 #: Different paragraphs whose keys a task remembers, so that a common one gives its keys once and not each time.
 REMEMBERED = 200_000
 
@@ -104,8 +104,8 @@ def _places(own: DataFrame) -> DataFrame:
     return own.mapInArrow(run, "doc_id long, part long, k int, at int, n int, node long")
 
 
-def _keys(own: DataFrame, width: int, bands: int, buckets: int = 0) -> DataFrame:
-    """``key, node``: the bands of all paragraphs, or what :func:`_link.dealt` makes of them for so many ``buckets``.
+def _keys(own: DataFrame, width: int, bands: int, buckets: int) -> DataFrame:
+    """``bucket, pairs``: the bands of all paragraphs with their nodes, as :func:`_link.dealt` makes them for so many ``buckets``.
 
     What a task has lately given it doesn't give again.
     """
@@ -127,7 +127,7 @@ def _keys(own: DataFrame, width: int, bands: int, buckets: int = 0) -> DataFrame
                 recent.update(node.tolist())
                 keys = band_keys(signatures(*shingles_at(hashes, begin[pick], n[pick], width), bands * ROWS, 16))
                 held.append((keys.ravel(), np.repeat(node, bands)))
-                if not buckets or sum(len(k) for k, _ in held) >= _link.BUCKET:
+                if sum(len(k) for k, _ in held) >= _link.BUCKET:
                     yield from made(held)
                     held = []
         if held:
@@ -136,10 +136,9 @@ def _keys(own: DataFrame, width: int, bands: int, buckets: int = 0) -> DataFrame
     def made(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         key, node = (np.concatenate(x) for x in zip(*held, strict=True))
         for at in range(0, len(key), _link.BUCKET):
-            some, of = key[at : at + _link.BUCKET], node[at : at + _link.BUCKET]
-            yield _link.dealt(some, of, buckets) if buckets else pa.RecordBatch.from_arrays([pa.array(some.view(np.int64)), pa.array(of)], ["key", "node"])
+            yield _link.dealt(key[at : at + _link.BUCKET], node[at : at + _link.BUCKET], buckets)
 
-    return own.select("text").mapInArrow(run, "bucket int, pairs binary" if buckets else "key long, node long")
+    return own.select("text").mapInArrow(run, "bucket int, pairs binary")
 
 
 def _slices(own: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -148,11 +147,8 @@ def _slices(own: DataFrame, wanted: DataFrame) -> DataFrame:
     ``late`` is as ``wanted`` has it, to tell what is wanted for one side of a join from what is for the other.
     """
     wanted = _shared.cut(wanted.groupBy("doc_id", "part").agg(F.collect_set(F.struct("lo", "hi", "late")).alias("ranges")))
-    texts, ranges = _shared.first(wanted.agg(F.count("*"), F.coalesce(F.sum(F.size("ranges")), F.lit(0))))
-    # few ranges go to the texts; else at least no other text moves
-    if ranges <= MOST_RANGES:
-        wanted = F.broadcast(wanted)
-    elif texts <= MOST_NAMED:
+    # no text moves but those named, while their ids are few enough for all tasks
+    if _shared.count(wanted) <= MOST_NAMED:
         own = own.join(F.broadcast(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
     texts = own.join(wanted, ["doc_id", "part"])
 
@@ -288,8 +284,7 @@ def repeated_passages(docs: DataFrame, width: int = 5, percent: int = 80, least:
 
     bands = bands_for(percent / 100)
     buckets = min(_shared.count(places) * bands // _link.BUCKET + 1, 1 << 30)
-    often = _link.often_of(_keys(own, width, bands, buckets))
-    found = _link.linked(MOST, _keys(own, width, bands), sets_of, 100, percent, often)
+    found = _link.linked(MOST, _link.members_of(_keys(own, width, bands, buckets)), sets_of, 100, percent)
     # the words that two documents have, as they are or alike
     same = places.groupBy("node").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("node")
     often = found.toDF("node", "name").union(same.join(found, "node", "left_anti").select("node", F.col("node").alias("name")))

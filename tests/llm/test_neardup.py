@@ -68,6 +68,36 @@ def test_signature_distance_is_guaranteed():
         assert (ka == kb).any(axis=1).all()
 
 
+def test_ids_whose_digests_agree_are_linked(spark):
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(10**9)}" for _ in range(201)]
+    # two ids of one 32-bit hash
+    ids = [-3965417102674106237, -6054336684747022631]
+    rows = [(ids[0], " ".join(words)), (ids[1], " ".join([*words[:-1], "other"]))]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert {r.component_id for r in got} == {min(ids)}
+
+
+def test_words_of_known_collisions_differ(spark):
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))  # one hash with it by any polynomial modulo 2^64
+    rows = [(1, f"x {word} y"), (2, f"x {other} y"), (3, f"X {word.upper()} y")]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_hashes_tell_words_of_all_lengths_apart():
+    words = [b"a" * k for k in range(1, 40)] + [b"a" * k + b"\0" for k in range(1, 40)] + [b"b" + b"a" * k for k in range(40)]
+    data = b" ".join(words)
+    found = neardup.words_of(np.frombuffer(data, np.uint8), np.array([0, len(data)]), neardup.NONSPACE)
+    hashes = found.hashes()
+    assert len(hashes) == len(words) == len(set(hashes.tolist()))
+    again = neardup.words_of(np.frombuffer(data.upper(), np.uint8), np.array([0, len(data)]), neardup.NONSPACE)
+    assert (again.hashes() == hashes).all()
+
+
 def test_odd_rows(spark):
     schema = "doc_id long, text string, node string, component string"
     assert neardup.near_duplicates(spark.createDataFrame([], schema)).count() == 0

@@ -151,21 +151,22 @@ def test_bands_reach_the_recall():
 
 
 @pytest.mark.parametrize("buckets", [1, 7, 100_000])
-def test_often_of_dealt_keys(spark, buckets):
+def test_members_of_dealt_keys(spark, buckets):
     rng = np.random.default_rng(buckets)
     names = rng.integers(0, 1 << 64, 3000, np.uint64)
-    key, node = names[rng.integers(0, 3000, 6000)], rng.integers(-(1 << 63), 1 << 63, 40)[rng.integers(0, 40, 6000)]
+    # nodes that agree in their low or their high 32 bits
+    nodes = np.concatenate([rng.integers(-(1 << 63), 1 << 63, 20), np.arange(10) << 32, np.arange(10)])
+    key, node = names[rng.integers(0, 3000, 6000)], nodes[rng.integers(0, 40, 6000)]
     batches = [_link.dealt(key[a : a + 1500], node[a : a + 1500], buckets) for a in range(0, 6000, 1500)] + [_link.dealt(key[:0], node[:0], buckets)]
     rows = [(b, p) for x in batches for b, p in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True)]
-    assert all(b < buckets and p for b, p in rows) and sum(len(p) for _, p in rows) == 12 * 6000
+    assert all(b < buckets and p for b, p in rows) and sum(len(p) for _, p in rows) == 16 * 6000
     plain = spark.createDataFrame(list(zip(key.view(np.int64).tolist(), node.tolist(), strict=True)), "key long, node long")
-    expected = {r.key for r in _link._often(plain).collect()}
     of = {}
     for k, n in zip(key.view(np.int64).tolist(), node.tolist(), strict=True):
         of.setdefault(k, set()).add(n)
-    assert expected == {k for k, n in of.items() if len(n) > 1}
-    got = [r.key for r in _link.often_of(spark.createDataFrame(rows, "bucket int, pairs binary")).collect()]
-    assert set(got) == expected and len(got) == len(expected)
+    want = sorted((k, n) for k, ns in of.items() if len(ns) > 1 for n in ns)
+    assert sorted(map(tuple, _link.members(plain).collect())) == want
+    assert sorted(map(tuple, _link.members_of(spark.createDataFrame(rows, "bucket int, pairs binary")).collect())) == want
 
 
 @pytest.mark.parametrize("rows", [[], [(1, None)], [(1, "few words")]])
