@@ -440,8 +440,10 @@ def bootstrap_curve_ci(spark, sf_dir):
 
 @query(None)
 def gc_extrap_ci(spark, sf_dir):
-    """Bases of covered bins, with limits."""
-    hist = extrapolate.local(coverage_hist(spark, sf_dir))
+    """Bases of covered bins, with limits: a word is a read of 20 bases, from the place on that its checksum names."""
+    reads = words(spark, sf_dir).select(F.col("lang").alias("chrom"), (F.crc32("w") % (1 << 24) * 10).alias("start"))
+    reads = reads.withColumn("end", F.col("start") + 20)
+    hist = extrapolate.local(coverage.coverage_histogram(coverage.floor_bins(reads, 10)))
     total = histogram.summary(hist).first().total
     return extrapolate.gc_extrap(hist, 10, *(10 * f * total for f in FOLDS))
 
