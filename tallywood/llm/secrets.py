@@ -1,8 +1,9 @@
 """Secrets in texts: fixed patterns, and tokens that a battery of randomness tests can't tell from random.
 
 Everything is DataFrame functions. A text is split by each pattern, so that the lengths of the pieces
-give the places of the matches. Tokens get chi-squared uniformity, runs and serial-correlation tests
-in the encoding that their characters suggest; as many decoys, stretches of the plain text before
+give the places of the matches. Tokens get tests of runs of kinds of characters, which leave out
+identifiers of words and numbers, then chi-squared uniformity, runs and serial-correlation tests, in
+the encoding that their characters suggest; as many decoys, stretches of the plain text before
 the tokens of the same length tested in the same encoding, set the threshold for each encoding and
 range of lengths so that the share of decoys among what passes is controlled.
 """
@@ -25,11 +26,13 @@ PATTERNS = (
 #: An assigned value has so many characters at least.
 ASSIGNED = 6
 # Alphabets of encodings, the first whose characters a token is made of is taken.
-ALPHABETS = ("0123456789abcdef", "0123456789ABCDEF", "0123456789abcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_")
+ALPHABETS = ("0123456789abcdef", "0123456789ABCDEF", "0123456789abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_")
 #: Upper ends of the ranges of lengths that have their own thresholds.
 LENGTHS = (23, 31, 47, 95)
 #: Most decoys for each token that passes, least combined probability, and steps of probability.
 FALSE_SHARE, LEAST, STEPS = 0.05, 0.01, 50
+#: Least probability of as few changes between kinds of characters, and of as long a run of digits. Identifiers made of words and numbers have few and long ones.
+LEAST_CHANGES, LEAST_DIGITS = 0.06, 0.002
 
 
 def _matches(text: Column, kind: int) -> Column:
@@ -54,6 +57,38 @@ def encoding(t: Column) -> Column:
     return F.coalesce(*(F.when(t.rlike(f"^[{a}]+$" if "-" not in a else "^[A-Za-z0-9+/_-]+$"), F.lit(a)) for a in ALPHABETS))
 
 
+def _kinds_of(alphabet: str) -> list[float]:
+    """The shares of digits, small letters, capitals and signs in an alphabet."""
+    each = [sum(map(kind, alphabet)) for kind in (str.isdigit, str.islower, str.isupper)]
+    return [n / len(alphabet) for n in (*each, len(alphabet) - sum(each))]
+
+
+def with_structure(rows: DataFrame, token: str, changes: str, digits: str) -> DataFrame:
+    """``rows`` with the probabilities that a random token of the same encoding changes as seldom between kinds of characters, and has as long a run of digits.
+
+    A normal approximation to the number of changes (their mean and spread for independent
+    characters), and the expected number of runs of digits of at least the longest. Null for a token
+    of under 2 characters or of others than the encodings have.
+    """
+    t = F.col(token)
+    steps = rows.withColumn("_alphabet", F.when(F.length(t) > 1, encoding(t)))
+    signs = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, "[0-9]", "0"), "[+/_-]", "-"), "[A-Z]", "A"), "[a-z]", "a")
+    steps = steps.withColumn("_n", F.length(t).cast("double")).withColumn("_signs", signs)
+    # a run of one kind is what another kind ends
+    same = F.size(F.regexp_extract_all("_signs", F.lit("(0+|a+|A+|-+)"), F.lit(1))).cast("double") - 1
+    longest = F.coalesce(F.array_max(F.transform(F.regexp_extract_all("_signs", F.lit("(0+)"), F.lit(1)), lambda x: F.length(x))), F.lit(0)).cast("double")
+    mean, both, share = F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(None).cast("double")
+    for alphabet in ALPHABETS:
+        of, here = _kinds_of(alphabet), F.col("_alphabet") == alphabet
+        mean, both, share = (F.when(here, F.lit(x)).otherwise(y) for x, y in ((1 - sum(x * x for x in of), mean), (sum(x * (1 - x) ** 2 for x in of), both), (of[0], share)))
+    n = F.col("_n")
+    spread = F.sqrt((n - 1) * mean * (1 - mean) + 2 * (n - 2) * (both - mean * mean))
+    steps = steps.withColumn("_few", _tail(((n - 1) * mean - same - 0.5) / spread))
+    steps = steps.withColumn("_long", F.least(F.lit(1.0), F.pow(share, longest) * (1 + (n - longest) * (1 - share))))
+    known = F.col("_alphabet").isNotNull()
+    return steps.select(*rows.columns, F.when(known, F.col("_few")).alias(changes), F.when(known, F.col("_long")).alias(digits))
+
+
 def with_randomness(rows: DataFrame, token: str, out: str, like: str | None = None) -> DataFrame:
     """``rows`` and ``out``: the probability, 0 to 1, that a random token of the same encoding looks no more random.
 
@@ -115,6 +150,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Places count code points, the end exclusive. ``kind`` is the place in KINDS: what the first three
     patterns match always counts (an assigned value of 6 characters at least); ``random`` are tokens of 16
     or more characters, with letters and digits, that pass the tests and lie in no span of a fixed pattern.
+    Tests of runs come first: of changes between kinds of characters, and of the longest run of digits.
     Tokens of letters alone, or with other characters than the encodings have, are no candidates. A null text counts as empty; rows with one id stay
     apart. An empty table gives no rows.
     """
@@ -122,6 +158,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     tokens = rows.where((F.col("kind") == 3) & F.col("match").rlike("[0-9]") & F.col("match").rlike("[A-Za-z]"))
     length = sum((F.length("match") > end).cast("int") for end in LENGTHS)
     both = F.array(F.struct(F.lit(0).alias("fake"), F.col("match").alias("token")), F.struct(F.lit(1).alias("fake"), F.col("before").alias("token")))
+    # identifiers of words and numbers look random to the other tests, so they go before decoys are drawn
+    tokens = with_structure(tokens, "match", "few", "long").where((F.col("few") >= LEAST_CHANGES) & (F.col("long") >= LEAST_DIGITS))
     tokens = tokens.select("row", "doc_id", "kind", "start", "stop", "match", F.concat_ws(" ", encoding(F.col("match")), length.cast("string")).alias("range"), F.inline(both)).where("fake = 0 or length(token) = length(match)")
     # a decoy is held against the encoding of its token, as chance would have to make one of those
     tokens = with_randomness(tokens, "token", "p", like="match").withColumn("p", F.coalesce("p", F.lit(0.0)))

@@ -45,10 +45,14 @@ def test_query_digests(spark, tmp_path):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == j for _, k, _ in own) for j in range(3))
 
 
+def tail(z):
+    z = max(-12, min(12, z))
+    return 1 / (1 + math.exp(1.5976 * z + 0.070566 * z**3))
+
+
 def statistic(token):
     alphabet = next((a for a in secrets.ALPHABETS if set(token) <= set(a)), None)
     v, n, size = [alphabet.index(c) for c in token], len(token), len(alphabet)
-    tail = lambda z: 1 / (1 + math.exp(1.5976 * (z := max(-12, min(12, z))) + 0.070566 * z**3))
     chi = sum((v.count(c) - n / size) ** 2 / (n / size) for c in range(size))
     k = size - 1
     p1 = tail(((chi / k) ** (1 / 3) - (1 - 2 / (9 * k))) / math.sqrt(2 / (9 * k)))
@@ -111,3 +115,52 @@ def test_recall_and_false_share_by_length_and_encoding(spark, make_docs):
         assert sum(sum(f) for (m, _), f in hits.items() if m == n) >= 0.9 * 60 * len(kinds)
     false = sum(any(kind == 3 for kind, _ in got[i]) for i in range(len(want), len(texts)))
     assert false <= 0.05 * sum(any(kind == 3 for kind, _ in x) for x in got.values())
+
+
+def test_structure_against_a_plain_version(spark):
+    rng = random.Random(4)
+    tokens = sorted({"".join(rng.choices(a, k=rng.randint(2, 60))) for a in secrets.ALPHABETS for _ in range(20)} | {"1" * 30 + "a", "a" * 30 + "1", "aA1-" * 9, "abc123"})
+
+    def plain(t):
+        alphabet = next(a for a in secrets.ALPHABETS if set(t) <= set(a))
+        kind = lambda c: "0" if c.isdigit() else "-" if not c.isalpha() else "a" if c.islower() else "A"
+        signs = [kind(c) for c in t]
+        shares = [sum(kind(c) == k for c in alphabet) / len(alphabet) for k in "0aA-"]
+        n, changes = len(t), sum(a != b for a, b in zip(signs, signs[1:], strict=False))
+        mean, both = 1 - sum(x * x for x in shares), sum(x * (1 - x) ** 2 for x in shares)
+        z = ((n - 1) * mean - changes - 0.5) / math.sqrt((n - 1) * mean * (1 - mean) + 2 * (n - 2) * (both - mean * mean))
+        longest = max((len(x) for x in "".join(signs).replace("a", " ").replace("A", " ").replace("-", " ").split()), default=0)
+        return tail(z), min(1.0, shares[0] ** longest * (1 + (n - longest) * (1 - shares[0])))
+
+    got = secrets.with_structure(spark.createDataFrame([(t,) for t in [*tokens, "", None, "é1"]], "t string"), "t", "few", "long").collect()
+    found = {r.t: (r.few, r.long) for r in got}
+    assert [found[t] for t in ("", None, "é1")] == [(None, None)] * 3
+    for t in tokens:
+        assert found[t] == pytest.approx(plain(t), rel=1e-6, abs=1e-9), t
+
+
+def test_identifiers_of_every_encoding_are_left_alone(spark, make_docs):
+    """Words and numbers put together, set in prose of random letters that make good decoys."""
+    rng = random.Random(8)
+    names = "order shipment invoice customer report product account service message article version".split()
+    made = {
+        "upper": lambda: (rng.choice(names) + str(rng.randrange(1990, 2030)) + rng.choice(names)).upper(),
+        "lower": lambda: rng.choice(names) + str(rng.randrange(10, 100)) + rng.choice(names) + rng.choice(names),
+        "hex": lambda: "".join(rng.choices("0123456789", k=16)) + "ab",
+        "upper hex": lambda: "".join(rng.choices("0123456789", k=18)) + "BC",
+        "camel": lambda: "".join(w.capitalize() for w in rng.sample(names, 2)) + str(rng.randrange(1, 10)),
+        "date": lambda: "v" + str(rng.randrange(10**7, 10**8)) + rng.choice(names) + str(rng.randrange(10, 100)),
+    }
+    texts, kinds = [], []
+    for kind, make in made.items():
+        for _ in range(150):
+            token = ""
+            while len(token) < 16:
+                token = make()
+            prose = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(25)]
+            texts.append(" ".join([*prose[:20], token, *prose[20:]]))
+            kinds.append(kind)
+    flagged = {r.doc_id: any(s.kind == 3 for s in r.spans) for r in secrets.find_secrets(make_docs(texts)).collect()}
+    by = {k: sum(flagged[i] for i, x in enumerate(kinds) if x == k) / 150 for k in made}
+    print(by)
+    assert max(by.values()) <= 0.05, by
