@@ -8,6 +8,7 @@ bucket, narrowed by the prefix hash, names the patterns that are compared with t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,7 @@ PASS_BYTES = 8 << 20
 PART_WORDS = 50_000
 #: Cursors per text: a lane of so many words has one.
 LANE = 128
+HITS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 FOUND = "doc_id long, n_words long, hits array<struct<start:long,stop:long>>, items array<string>"
 
 
@@ -130,8 +132,8 @@ def _parts(items: DataFrame, window: int) -> DataFrame:
     return items.mapInArrow(run, "item string, text string")
 
 
-def _pass(docs: DataFrame, patterns: list[Patterns], names: list[str], keep_text: bool) -> DataFrame:
-    """Adds the hits and items of one block of patterns to what ``docs(doc_id, text, hits, items)`` has."""
+def _pass(docs: DataFrame, patterns: list[Patterns], names: list[str]) -> DataFrame:
+    """What one block of patterns hits of ``docs(doc_id, text)``, and the hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,25 +154,35 @@ def _pass(docs: DataFrame, patterns: list[Patterns], names: list[str], keep_text
                 counts += np.diff(ends).tolist()
                 hits += [seen[r][0] if r in seen else [] for r in range(hi - lo)]
                 items += [sorted(names[i] for i in seen[r][1]) if r in seen else [] for r in range(hi - lo)]
-            had = batch.column("hits").to_pylist(), batch.column("items").to_pylist()
-            merged = []
-            for old, new in zip(had[0], hits, strict=True):
-                out: list[list[int]] = []
-                for a, b in sorted([(x["start"], x["stop"]) for x in old] + new):
-                    if out and a <= out[-1][1]:
-                        out[-1][1] = max(out[-1][1], b)
-                    else:
-                        out.append([a, b])
-                merged.append([{"start": a, "stop": b} for a, b in out])
-            columns = {
-                "doc_id": batch.column("doc_id"),
-                "n_words": pa.array(counts, pa.int64()),
-                "hits": pa.array(merged, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
-                "items": pa.array([sorted({*x, *y}) for x, y in zip(had[1], items, strict=True)], pa.list_(pa.string())),
-            }
-            yield pa.RecordBatch.from_pydict(columns | ({"text": batch.column("text")} if keep_text else {}))
-
-    return docs.mapInArrow(run, FOUND + (", text string" if keep_text else ""))
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array([_joined(h) for h in hits], HITS), pa.array(items, pa.list_(pa.string()))], ["digest", "doc_id", "n_words", "hits", "items"])
+
+    return docs.mapInArrow(run, f"digest string, {FOUND}").select("doc_id", "digest", "n_words", "hits", "items")
+
+
+def _joined(hits: list[tuple[int, int]]) -> list[dict]:
+    """Disjoint ranges in order that cover what ``hits`` do."""
+    out: list[list[int]] = []
+    for a, b in sorted(hits):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [{"start": a, "stop": b} for a, b in out]
+
+
+def _together(rows: DataFrame) -> DataFrame:
+    """``rows`` with the hits and items of the last pass and those of the passes before (``more``) as one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits, items = [], []
+            for own, its, more in zip(batch.column("hits").to_pylist(), batch.column("items").to_pylist(), batch.column("more").to_pylist(), strict=True):
+                rest = more or []
+                hits.append(_joined([(x["start"], x["stop"]) for x in own] + [(x["start"], x["stop"]) for m in rest for x in m["hits"]]))
+                items.append(sorted({*its, *(i for m in rest for i in m["items"])}))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(hits, HITS), pa.array(items, pa.list_(pa.string()))], ["doc_id", "n_words", "hits", "items"])
+
+    return rows.mapInArrow(run, FOUND)
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", pass_bytes: int = PASS_BYTES) -> DataFrame:
@@ -180,7 +192,8 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_co
     ids (as strings) of the items they come from. An item of fewer words than ``window`` is one
     pattern; one without words or with a null text or id is none. Null and empty texts have no
     words; rows with one id are each their own document. A benchmark of more than ``pass_bytes`` is
-    searched for in several passes. Of a pass the driver and each task hold the text and arrays of about 60 bytes
+    searched for in several passes, each a job that reads the texts again, so that a task holds the
+    tables of one. Of a pass the driver and each task hold the text and arrays of about 60 bytes
     for each of its words (some ten times the text, measured in a test); long items are cut into parts before.
     """
     own = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")).where("item is not null and text is not null")
@@ -188,12 +201,22 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_co
     passes = max(1, -(-size // pass_bytes))
     if longest > 2 * PART_WORDS:  # only then can an item have more words than a part
         own = _parts(own, window)
-    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.expr("cast(array() as array<struct<start:long,stop:long>>)").alias("hits"), F.expr("cast(array() as array<string>)").alias("items"))
+    # hits depend on the text alone, by which those of several passes meet; each pass is a job of its own
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.md5(text) if passes > 1 else F.lit(None).cast("string")).alias("digest"), text.alias("text"))
+    before = []
     for k in range(passes):
         block = own if passes == 1 else own.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k)
         patterns, names = compile_patterns([(r.item, r.text) for r in block.collect()], window)
-        found = _pass(found, patterns, names, keep_text=k + 1 < passes)
-    return found
+        found = _pass(rows, patterns, names)
+        if k + 1 < passes:
+            # of copies of a text one row; what has no hit isn't kept
+            some = found.where(F.size("items") > 0).groupBy("digest").agg(F.first(F.struct("hits", "items")).alias("of"))
+            before.append(_shared.written(some))
+    if not before:
+        return found.drop("digest")
+    more = reduce(DataFrame.union, before).groupBy("digest").agg(F.collect_list("of").alias("more"))
+    return _together(found.join(more, "digest", "left"))
 
 
 def contaminated(found: DataFrame, one_in: int = 20) -> DataFrame:

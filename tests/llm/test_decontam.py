@@ -68,3 +68,18 @@ def test_memory_of_a_pass():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 500e6 and len(pickle.dumps((patterns, names))) < 120e6
+
+
+def test_ten_passes_are_ten_jobs(spark, make_docs):
+    rng = random.Random(9)
+    items = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(20)) for _ in range(40)]
+    texts = [f"{rng.random()} {items[k]} {items[-k]} end" for k in range(30)] + [None, "", "nothing here", f"again {items[3]}", f"again {items[3]}"]
+    bench = spark.createDataFrame([(f"i{k:02d}", t) for k, t in enumerate(items)], "item_id string, text string")
+    size = sum(map(len, items)) // 10 + 1
+    many = decontam.find_passages(make_docs(texts, "digest string"), bench, pass_bytes=size)
+    # one pass and what puts the passes together, whatever their number
+    assert many._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2
+    one = decontam.find_passages(make_docs(texts), bench)
+    key = lambda r: repr(r)
+    assert sorted(many.collect(), key=key) == sorted(one.collect(), key=key)
+    assert sum(len(r.hits) > 0 for r in one.collect()) == 32
