@@ -55,8 +55,7 @@ def load(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
         if a.bed:
             bins = coverage.hashed_bins(text.read_bed(spark, a.input), a.bin_size, ["chrom", "start", "end", "name", "strand"])
         elif a.bam:
-            bam.register(spark)
-            rows = coverage.aligned(spark.read.format("bam").load(a.input))
+            rows = coverage.aligned(bam.read_bam(spark, a.input))
             return coverage.coverage_histogram(coverage.floor_bins(rows, a.bin_size, max_width=a.max_width), "tid")
         else:
             bins = coverage.base_bins(text.read_mapped_reads(spark, a.input), a.bin_size, ["chrom", "start", "end", "name", "strand"], max_width=a.max_width)
@@ -66,8 +65,7 @@ def load(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     if a.vals:
         return text.read_counts(spark, a.input)
     if a.bam:
-        bam.register(spark)
-        rows = coverage.aligned(spark.read.format("bam").load(a.input))
+        rows = coverage.aligned(bam.read_bam(spark, a.input))
         return histogram.histogram(rows, ["tid", "pos", "mtid", "mpos"] if a.pe else ["tid", "pos"])
     return coverage.deduplicated(text.read_bed(spark, a.input), a.pe)
 

@@ -2,8 +2,9 @@ import struct
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
-from tallywood.operators import coverage
+from tallywood.operators import cigar, coverage
 from tallywood.plans import report
 from tallywood.sources import bam, text
 from tallywood.streaming import counts
@@ -64,6 +65,34 @@ def test_bam_file(spark, tmp_path):
     rows = spark.read.format("bam").load(str(path))
     assert [(r.name, r.start, r.end, r.cigar) for r in rows.orderBy("name").collect()] == [("a", 10, 35, "20M3I5D"), ("b", 10, 19, "9M"), ("u", -1, -1, "")]
     assert coverage.aligned(rows).count() == 2
+    same = bam.read_bam(spark, str(path))
+    assert sorted(map(repr, same.collect())) == sorted(map(repr, rows.collect())) and same.schema == rows.schema
+    path.write_bytes(block(data[:40]))
+    with pytest.raises(Exception, match="ends within a record"):
+        bam.read_bam(spark, str(path)).collect()
+
+
+def test_bases_and_tags_of_a_bam_file(spark, tmp_path):
+    def read(name, flag, pos, mate, seq, cv):
+        codes = [bam.BASES.index(b) for b in seq] + [0] * (len(seq) % 2)
+        packed = bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2], strict=True))
+        tags = b"NMC" + bytes([2]) + b"CVA" + cv + b"XZZ" + b"some text\0" + b"XBBs" + struct.pack("<ihh", 2, -1, 300) + b"XFf" + struct.pack("<f", 0.5)
+        body = struct.pack("<iiBBHHHiiii", 0, pos, len(name) + 1, 37, 0, 1, flag, len(seq), 0, mate, 0) + name + b"\0" + struct.pack("<I", len(seq) << 4) + packed + b"\xff" * len(seq) + tags
+        return struct.pack("<i", len(body)) + body
+
+    head = b"BAM\1" + struct.pack("<i", 0) + struct.pack("<i", 1) + struct.pack("<i", 5) + b"chr1\0" + struct.pack("<i", 1000)
+    path = tmp_path / "y.bam"
+    path.write_bytes(block(head + read(b"r", 99, 10, 13, "ACGTN", b"A") + read(b"r", 147, 13, 10, "TTGA", b"T")) + block(b""))
+    rows = bam.read_bam(spark, str(path))
+    got = {r.flag: r for r in rows.collect()}
+    assert (got[99].seq, got[147].seq, got[99].mapq) == ("ACGTN", "TTGA", 37)
+    assert got[99].tags == {"NM": "2", "CV": "A", "XZ": "some text", "XB": "-1,300", "XF": "0.5"}
+    # as they are sequenced, mates become a fragment
+    read_on = cigar.standardised(rows, "abismal")
+    turned = read_on.withColumn("seq", F.when(cigar.is_reverse(F.col("flag")), cigar.reverse_complement(F.col("seq"))).otherwise(F.col("seq")))
+    assert [tuple(r) for r in cigar.fragments(turned).collect()] == [("overlap", "r", 64, 0, 10, 37, "7M", 7, "ACGTTGA", 4, "A")]
+    with pytest.raises(ValueError, match="unknown type"):
+        bam.tags_of(b"XXq1")
 
 
 def test_running_histogram(spark, tmp_path):
