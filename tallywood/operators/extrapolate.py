@@ -193,9 +193,20 @@ def bootstrap_curves(hist: DataFrame, step: float, most: float, replicates: int
 
 
 def percentile_limits(replicates: DataFrame, value: str, by: Sequence[str] = (), level: float = 0.95) -> DataFrame:
-    """``by, median, lower, upper``: exact quantiles, interpolated between ranks."""
-    q = F.percentile(value, F.array(F.lit(0.5), F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
-    return replicates.groupBy(*by).agg(q.alias("_q")).select(*by, *(F.col("_q")[i].alias(name) for i, name in enumerate(("median", "lower", "upper"))))
+    """``by, median, lower, upper``: exact quantiles, interpolated between ranks; nulls have no rank, and a group of nulls alone has null limits.
+
+    Ranks come from a sort, which spills, so a group may be of any size.
+    """
+    group = Window.partitionBy(*by)
+    ranked = replicates.select(*by, F.col(value).cast("double").alias("_v"))
+    ranked = ranked.withColumn("_n", F.count("_v").over(group)).withColumn("_r", F.row_number().over(group.orderBy(F.asc_nulls_last("_v"))) - 1)
+    shares = {"median": 0.5, "lower": (1 - level) / 2, "upper": (1 + level) / 2}
+    ends = []
+    for name, q in shares.items():
+        at = (F.col("_n") - 1) * q
+        ends += [F.max(F.when(F.col("_r") == F.floor(at), F.col("_v"))).alias(f"_lo_{name}"), F.max(F.when(F.col("_r") == F.ceil(at), F.col("_v"))).alias(f"_hi_{name}"), F.max(at - F.floor(at)).alias(f"_part_{name}")]
+    found = ranked.groupBy(*by).agg(*ends)
+    return found.select(*by, *((F.col(f"_lo_{n}") * (1 - F.col(f"_part_{n}")) + F.col(f"_hi_{n}") * F.col(f"_part_{n}")).alias(n) for n in shares))
 
 
 def lc_extrap(hist: DataFrame, step: float = 1e6, most: float = 1e10, level: float = 0.95, **options) -> DataFrame:

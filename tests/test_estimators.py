@@ -185,3 +185,15 @@ def test_a_multiplicity_of_any_size(spark):
     bound = extrapolate.quick_bound(hist).first()
     assert bound.estimate > 6891 and bound.n_points > 0
     assert len(extrapolate.resample(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), 1, 2).j) <= 7
+
+
+def test_percentile_limits_are_those_of_numpy(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, float(x)) for k, n in ((0, 1), (1, 2), (2, 101), (None, 40)) for x in rng.normal(size=n)] + [(2, None), (3, None)]
+    df = spark.createDataFrame(rows, "k int, v double")
+    got = {r.k: (r.median, r.lower, r.upper) for r in extrapolate.percentile_limits(df, "v", ["k"], 0.9).collect()}
+    for k in (0, 1, 2, None):
+        own = [v for g, v in rows if g == k and v is not None]
+        assert got[k] == pytest.approx(np.quantile(own, [0.5, 0.05, 0.95]), abs=1e-12)
+    assert got[3] == (None, None, None) and len(got) == 5
+    assert extrapolate.percentile_limits(df.where("false"), "v", ["k"]).collect() == []
