@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywood.functions.storage import shared_folder
@@ -15,6 +15,8 @@ from tallywood.operators import contfrac, moments
 
 #: Rows of a histogram that may travel to every task; distinct multiplicities grow with the square root of the table.
 MOST_BINS = 2_000_000
+#: Rows up to which a group is sorted whole for its quantiles, and the share of a larger one's rows sorted on each side of a quantile.
+MANY, NEAR = 100_000, 0.001
 
 
 def _sizes(step: float, most: float, total: float | None = None) -> np.ndarray:
@@ -192,19 +194,57 @@ def bootstrap_curves(hist: DataFrame, step: float, most: float, replicates: int
     raise ValueError("too few resampled curves were stable")
 
 
-def percentile_limits(replicates: DataFrame, value: str, by: Sequence[str] = (), level: float = 0.95) -> DataFrame:
+def percentile_limits(replicates: DataFrame, value: str, by: Sequence[str] = (), level: float = 0.95, many: int | None = MANY) -> DataFrame:
     """``by, median, lower, upper``: exact quantiles, interpolated between ranks; nulls have no rank, and a group of nulls alone has null limits.
 
-    Ranks come from a sort, which spills, so a group may be of any size.
+    A group of up to ``many`` rows is sorted. In a larger one, approximate quantiles on both sides of
+    each wanted one part the values into classes; rows are counted by class, and only the classes
+    that hold a wanted rank, some thousandths of the rows, are counted by value and sorted. The ranks are
+    exact however good the approximation is. ``replicates`` is read several times, unless ``many`` is None, for
+    groups that are known to be small.
     """
-    group = Window.partitionBy(*by)
-    ranked = replicates.select(*by, F.col(value).cast("double").alias("_v"))
-    ranked = ranked.withColumn("_n", F.count("_v").over(group)).withColumn("_r", F.row_number().over(group.orderBy(F.asc_nulls_last("_v"))) - 1)
     shares = {"median": 0.5, "lower": (1 - level) / 2, "upper": (1 + level) / 2}
+    rows = replicates.select(*by, F.col(value).cast("double").alias("_v"))
+    if many is None:
+        return _limits_at(_by_sort(rows, by), by, shares)
+    near = sorted({min(max(q + d, 0.0), 1.0) for q in shares.values() for d in (-NEAR, NEAR)})
+    large = rows.groupBy(*by).agg(F.count("_v").alias("_n"), F.percentile_approx("_v", near, round(10 / NEAR)).alias("_s")).where(F.col("_n") > many)
+    large = F.broadcast(large.select(*(F.col(k).alias(f"_of_{k}") for k in by), "_n", *(F.col("_s")[i].alias(f"_s{i}") for i in range(len(near)))))
+    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in by), F.lit(True))
+    valued = rows.where("_v is not null")
+    nulls = rows.where("_v is null").groupBy(*by).agg(F.max("_v").alias("_v")).withColumns({c: F.lit(None).cast("long") for c in ("_n", "_first", "_last")})
+    ranked = [_by_sort(valued.join(large, same, "left_anti"), by), _by_classes(valued.join(large, same), by, shares, len(near)), nulls]
+    return _limits_at(reduce(DataFrame.unionByName, ranked), by, shares)
+
+
+def _by_sort(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``by, _v, _n, _first, _last``: each value with the rows of its group and the ranks, from 0, that it takes there."""
+    group = Window.partitionBy(*by)
+    rank = F.row_number().over(group.orderBy(F.asc_nulls_last("_v"))) - 1
+    return rows.withColumn("_n", F.count("_v").over(group)).withColumn("_first", rank.cast("long")).withColumn("_last", F.col("_first"))
+
+
+def _by_classes(rows: DataFrame, by: Sequence[str], shares: dict[str, float], cuts: int) -> DataFrame:
+    """:func:`_by_sort` of ``by, _v, _n, _s0, _s1, ...`` in which only values near the wanted ranks appear; each cut is a class of its own."""
+    own = [F.col(f"_s{i}") for i in range(cuts)]
+    rows = rows.select(*by, "_v", "_n", sum(((F.col("_v") > s).cast("int") + (F.col("_v") >= s).cast("int") for s in own), F.lit(0)).alias("_c"))
+    upto = F.sum("_rows").over(Window.partitionBy(*by).orderBy("_c"))
+    classes = rows.groupBy(*by, "_n", "_c").agg(F.count("*").alias("_rows")).withColumn("_before", upto - F.col("_rows"))
+    ranks = [f(at) for q in shares.values() for at in ((F.col("_n") - 1) * q,) for f in (F.floor, F.ceil)]
+    held = reduce(Column.__or__, ((F.col("_before") <= r) & (r < F.col("_before") + F.col("_rows")) for r in ranks))
+    held = classes.where(held).select(*(F.col(k).alias(f"_of_{k}") for k in by), F.col("_c").alias("_of_c"), "_before")
+    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in by), F.col("_c") == F.col("_of_c"))
+    values = rows.join(F.broadcast(held), same).groupBy(*by, "_n", "_c", "_before", "_v").agg(F.count("*").alias("_rows"))
+    last = F.col("_before") + F.sum("_rows").over(Window.partitionBy(*by, "_c").orderBy("_v")) - 1
+    return values.withColumn("_last", last).select(*by, "_v", "_n", (F.col("_last") - F.col("_rows") + 1).alias("_first"), "_last")
+
+
+def _limits_at(ranked: DataFrame, by: Sequence[str], shares: dict[str, float]) -> DataFrame:
     ends = []
     for name, q in shares.items():
         at = (F.col("_n") - 1) * q
-        ends += [F.max(F.when(F.col("_r") == F.floor(at), F.col("_v"))).alias(f"_lo_{name}"), F.max(F.when(F.col("_r") == F.ceil(at), F.col("_v"))).alias(f"_hi_{name}"), F.max(at - F.floor(at)).alias(f"_part_{name}")]
+        low, high = (F.max(F.when(f(at).between(F.col("_first"), F.col("_last")), F.col("_v"))) for f in (F.floor, F.ceil))
+        ends += [low.alias(f"_lo_{name}"), high.alias(f"_hi_{name}"), F.max(at - F.floor(at)).alias(f"_part_{name}")]
     found = ranked.groupBy(*by).agg(*ends)
     return found.select(*by, *((F.col(f"_lo_{n}") * (1 - F.col(f"_part_{n}")) + F.col(f"_hi_{n}") * F.col(f"_part_{n}")).alias(n) for n in shares))
 
@@ -213,7 +253,7 @@ def lc_extrap(hist: DataFrame, step: float = 1e6, most: float = 1e10, level: flo
     """``x, median, lower, upper``: the yield curve with bootstrap limits; see :func:`bootstrap_curves`."""
     curves = bootstrap_curves(hist, step, most, **options)
     points = curves.select(F.posexplode("curve").alias("at", "y"))
-    return percentile_limits(points, "y", ["at"], level).select(((F.col("at") + 1) * step).alias("x"), "median", "lower", "upper")
+    return percentile_limits(points, "y", ["at"], level, many=None).select(((F.col("at") + 1) * step).alias("x"), "median", "lower", "upper")
 
 
 def gc_extrap(hist: DataFrame, bin_size: int = 10, step: float = 1e8, most: float = 1e12, budget: int = 10, **options) -> DataFrame:
@@ -262,4 +302,4 @@ def bound_pop(hist: DataFrame, replicates: int = 500, most_points: int = 10, max
             yield pd.DataFrame({"attempt": pdf["id"], "estimate": [moments.richness(d.head(2 * most_points + 1), most_points, first, d.distinct)[0] for d in drawn]})
 
     values = spark.range(0, many, numPartitions=min(many, spark.sparkContext.defaultParallelism)).mapInPandas(run, "attempt long, estimate double")
-    return percentile_limits(values, "estimate", (), level)
+    return percentile_limits(values, "estimate", (), level, many=None)

@@ -197,3 +197,38 @@ def test_percentile_limits_are_those_of_numpy(spark):
         assert got[k] == pytest.approx(np.quantile(own, [0.5, 0.05, 0.95]), abs=1e-12)
     assert got[3] == (None, None, None) and len(got) == 5
     assert extrapolate.percentile_limits(df.where("false"), "v", ["k"]).collect() == []
+
+
+def most_rows_of_a_stage(spark, df):
+    """Runs ``df``; its rows, and the most rows that a stage of it read by shuffle."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    empty = lambda: spark.sparkContext._jvm.java.util.ArrayList()
+    stages = lambda: store.stageList(empty(), False, False, gateway.new_array(gateway.jvm.double, 0), empty())
+    known = {stages().apply(i).stageId() for i in range(stages().size())}
+    rows = df.collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    done = stages()
+    return rows, max(s.shuffleReadRecords() for i in range(done.size()) if (s := done.apply(i)).stageId() not in known)
+
+
+def test_percentile_limits_move_few_rows_of_a_large_group(spark):
+    values = spark.range(0, 400_000, 1, 4).selectExpr("cast(id % 2 as int) as k", "cast(xxhash64(id) % 1000003 as double) as v")
+    got, moved = most_rows_of_a_stage(spark, extrapolate.percentile_limits(values, "v", ["k"]))
+    pdf = values.toPandas()
+    for r in got:
+        assert (r.median, r.lower, r.upper) == pytest.approx(tuple(np.quantile(pdf.v[pdf.k == r.k], [0.5, 0.025, 0.975])), abs=1e-6)
+    assert len(got) == 2 and moved < 20_000
+    got, moved = most_rows_of_a_stage(spark, extrapolate.percentile_limits(values.selectExpr("k", "if(k = 0, v, null) as v"), "v", ["k"]))
+    assert sum(r.median is None for r in got) == 1 and len(got) == 2 and moved < 20_000
+
+
+@pytest.mark.parametrize("by", [["k"], ["k", "g"], []])
+def test_percentile_limits_of_large_groups_are_those_of_a_sort(spark, by):
+    rng = np.random.default_rng(5)
+    kinds = (rng.normal(size=900), rng.integers(0, 3, 700), np.zeros(400), np.r_[np.zeros(500), rng.normal(size=450)], [1e300, -1e300, 0.5] * 30, [np.nan] * 20 + [2.0] * 300, [7.0], [])
+    rows = [(k if k else None, k % 2, float(x)) for k, xs in enumerate(kinds) for x in xs] + [(k, 1, None) for k in (1, 3, 9) for _ in range(60)]
+    df = spark.createDataFrame(rows, "k int, g int, v double")
+    # 0 sends each group by classes, 90 is the size of one, and None sorts them all
+    want, *others = (sorted(map(str, extrapolate.percentile_limits(df, "v", by, 0.9, many).collect())) for many in (None, 0, 89, 90, 100_000))
+    assert want and all(got == want for got in others)
