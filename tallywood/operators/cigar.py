@@ -43,12 +43,13 @@ def _once(f):
 def parsed(cigar: Column | str) -> Column:
     """The operations ``n, op`` of a CIGAR string; ``*`` and the empty string have none, null gives null and anything else an error."""
     cigar = F.col(cigar) if isinstance(cigar, str) else cigar
-    ops = F.transform(F.regexp_extract_all(cigar, F.lit(rf"(\d+[{OPERATIONS}])"), F.lit(1)), lambda t: F.struct(F.expr("0L").alias("n"), t.alias("op")))
-    ops = F.transform(ops, lambda t: F.struct(F.substring(t["op"], F.lit(1), F.length(t["op"]) - 1).cast("long").alias("n"), F.right(t["op"], F.lit(1)).alias("op")))
+    n = F.split(F.rtrim(F.translate(cigar, OPERATIONS, " " * len(OPERATIONS))), " ").cast("array<long>")
+    ops = F.arrays_zip(n, F.split(F.translate(cigar, "0123456789", ""), "")).cast(OPS)
     none = F.array().cast(OPS)
     return F.when(cigar.isNull(), F.lit(None).cast(OPS)).when(cigar.isin("*", ""), none).when(F.regexp_replace(cigar, rf"\d+[{OPERATIONS}]", "") == "", ops).otherwise(_error("not a CIGAR: ", cigar))
 
 
+@_once
 def written(ops: Column) -> Column:
     """The CIGAR string of operations; ``*`` for none."""
     text = F.array_join(F.transform(ops, lambda o: F.concat(o["n"].cast("string"), o["op"])), "")
@@ -80,15 +81,23 @@ def read_length(ops: Column) -> Column:
 @_once
 def merged(ops: Column) -> Column:
     """Neighbours of one kind made one. Each operation is read a fixed number of times, however many there are."""
-    heads = F.filter(F.sequence(F.lit(1), F.size(ops)), lambda i: (i == 1) | (F.element_at(ops, i)["op"] != F.element_at(ops, F.greatest(i - 1, F.lit(1)))["op"]))
+    return F.when(ops.isNull() | (F.size(ops) < 2), ops).otherwise(_merged(ops["n"], ops["op"]))
+
+
+def _merged(n: Column, kinds: Column) -> Column:
+    """:func:`merged` of lengths and kinds, one or more, each an array."""
 
-    def one(i: Column, k: Column, at: Column) -> Column:
-        end = F.when(k + 1 < F.size(at), F.get(at, k + 1)).otherwise(F.size(ops) + 1)
-        n = F.aggregate(F.slice(ops, i, end - i), F.lit(0).cast("long"), lambda s, o: s + o["n"])
-        return F.struct(n.alias("n"), F.element_at(ops, i)["op"].alias("op"))
+    def of(n: Column, kinds: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(0), F.size(n) - 1), lambda i: (i == 0) | (F.get(kinds, i) != F.get(kinds, i - 1)))
 
-    joined = _let(heads, lambda at: F.transform(at, lambda i, k: one(i, k, at)))
-    return F.when(ops.isNull() | (F.size(ops) < 2), ops).otherwise(joined)
+        def one(i: Column, k: Column, at: Column) -> Column:
+            long = F.coalesce(F.get(at, k + 1), F.size(n)) - i
+            total = F.when(long == 1, F.get(n, i)).otherwise(F.aggregate(F.slice(n, i + 1, long), F.lit(0).cast("long"), lambda s, x: s + x))
+            return F.struct(total.alias("n"), F.get(kinds, i).alias("op"))
+
+        return _let(heads, lambda at: F.transform(at, lambda i, k: one(i, k, at)))
+
+    return _let(n, lambda n: _let(kinds, lambda kinds: of(n, kinds)))
 
 
 @_once
@@ -96,18 +105,22 @@ def corrected(ops: Column) -> Column:
     """Whatever stands outside the first and last operation on the reference made a soft clip, soft clips between them insertions, and equal neighbours merged.
 
     A single operation stays as it is; two or more of which none is on the reference are an error.
+    The kinds are edited as one text, a sign for each operation.
     """
-    on = F.transform(ops, lambda o: eats_reference(o["op"]))
-    ends = _let(on, lambda on: F.struct((F.array_position(on, True) - 1).alias("first"), (F.size(on) - F.array_position(F.reverse(on), True)).alias("last")))
+    marks = "".join("+" if op in ON_REFERENCE else "-" for op in OPERATIONS)
+
+    def edited(kinds: Column) -> Column:
+        def of(on: Column) -> Column:
+            before, after = F.instr(on, "+") - 1, F.instr(F.reverse(on), "+") - 1
+            inside = F.translate(F.substring(kinds, before + 1, F.length(kinds) - before - after), "S", "I")
+            return F.when(before >= 0, F.split(F.concat(F.repeat(F.lit("S"), before), inside, F.repeat(F.lit("S"), after)), ""))
 
-    def edited(ends: Column) -> Column:
-        def one(o: Column, i: Column) -> Column:
-            kind = F.when((i < ends["first"]) | (i > ends["last"]), "S").when(o["op"] == "S", "I").otherwise(o["op"])
-            return F.struct(o["n"].alias("n"), kind.alias("op"))
+        return _let(F.translate(kinds, OPERATIONS, marks), of)
 
-        return F.transform(ops, one)
+    def right(kinds: Column) -> Column:
+        return F.when(kinds.isNull(), _error("no operation on the reference: ", written(ops))).otherwise(_merged(ops["n"], kinds))
 
-    return F.when(ops.isNull() | (F.size(ops) < 2), ops).when(F.exists(ops, lambda o: eats_reference(o["op"])), merged(_let(ends, edited))).otherwise(_error("no operation on the reference: ", written(ops)))
+    return F.when(ops.isNull() | (F.size(ops) < 2), ops).otherwise(_let(_let(F.array_join(ops["op"], ""), edited), right))
 
 
 @_once

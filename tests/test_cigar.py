@@ -200,3 +200,26 @@ def test_strands_and_tags(spark):
         cigar.standardised(df.withColumn("tags", F.expr("map('ZS', '++')")), "bsmap").collect()
     with pytest.raises(Exception, match="no conversion"):
         cigar.flipped(df.withColumn("cv", F.lit(None).cast("string"))).collect()
+
+
+def test_operations_are_computed_once(spark):
+    rows = spark.createDataFrame([("2I3S4M5S1M1M2I",)], "cigar string")
+    out = rows.select(cigar.written(cigar.corrected(cigar.parsed("cigar"))).alias("cigar"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 1 and "regexp_extract_all" not in plan
+    assert out.first().cigar == "5S4M5I2M2S"
+
+
+def test_correcting_and_merging_at_the_edges(spark):
+    texts = ["7I", "3S2S", "1M", "2I1M", "1M2I", "1M1M", "1M1M1M2S3S", "5H4S3M2S1H", "4S1D2I2S1X9P", "3=3=2S2I3=", "00012M1M", "5M" * 3000 + "1I2M" * 3000, "*", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, cigar string").select("i", cigar.parsed("cigar").alias("ops"))
+    for r in rows.select("i", cigar.written(cigar.merged(F.col("ops"))).alias("m"), cigar.written(F.col("ops")).alias("w")).collect():
+        ops = None if texts[r.i] is None else ops_of(texts[r.i])
+        assert (r.m, r.w) == ((None, None) if ops is None else (text_of(plain_merged(ops)), text_of(ops)))
+    for r in rows.where("i <> 1").select("i", cigar.written(cigar.corrected(F.col("ops"))).alias("c")).collect():
+        assert r.c == (None if texts[r.i] is None else text_of(plain_corrected(ops_of(texts[r.i]))))
+    with pytest.raises(Exception, match="no operation on the reference: 3S2S"):
+        rows.where("i = 1").select(cigar.corrected(F.col("ops"))).collect()
+    for bad in ("5M\n", "5M ", " 5M", "5MM", "M", "5M6", "5٣M", "5M*"):
+        with pytest.raises(Exception, match="not a CIGAR"):
+            spark.createDataFrame([(bad,)], "cigar string").select(cigar.parsed("cigar")).collect()
